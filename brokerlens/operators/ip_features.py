@@ -54,9 +54,9 @@ def with_ip_features(df: DataFrame, ip: str = "general_ip",
                      features: list[str] | None = None) -> DataFrame:
     """Attach per-IP features to every message (null IP -> null features)."""
     stats = per_ip_stats(df, ip)
-    if features is not None:
-        stats = stats.select(ip, *features)
-    return df.join(stats, on=ip, how="left")
+    features = features or IP_FEATURES
+    stats = stats.select(ip, *features)
+    return df.join(stats, on=ip, how="left").select(*[F.col(f"`{c}`") for c in df.columns], *features)
 
 
 def ddos_condition(t: LabelThresholds = LabelThresholds()):
