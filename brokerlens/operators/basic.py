@@ -99,3 +99,48 @@ def share_within(df: DataFrame, count_col: str, partition: list[str], name: str
     already aggregated (small) table."""
     w = Window.partitionBy(*partition)
     return df.withColumn(name, ratio(F.col(count_col), F.sum(count_col).over(w)) * F.lit(100.0))
+
+
+def running_sums(df: DataFrame, group: list[str], order: str, cols: list[str],
+                 descending: bool = False, parts: int | None = None) -> DataFrame:
+    """Add ``cum_<c>``: the sum of ``c`` over the rows of the same ``group``
+    whose ``order`` value is <= the current one (>= when ``descending``).
+
+    Distributed prefix sum, no single-task window: rows are range
+    partitioned on (group, order), each partition computes local running
+    sums, and the totals of the earlier partitions of the same group
+    (a table of at most groups x partitions rows) are added as offsets.
+    Equal order values fall in the same range partition, so ties share
+    one cumulative value (``rangeBetween``).
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(order) if not descending else -F.col(order)
+    d = (df.withColumn("_ord", key.cast("double"))
+           .repartitionByRange(parts, *[F.col(g) for g in group], F.col("_ord"))
+           .withColumn("_pid", F.spark_partition_id()))
+    wl = (Window.partitionBy("_pid", *group).orderBy("_ord")
+                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.select("*", *[F.sum(c).over(wl).alias(f"_loc_{c}") for c in cols])
+    tot = d.groupBy("_pid", *group).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+    wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", *group, *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}")
+                                       for c in cols])
+    out = d.join(off, on=["_pid", *group])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols])
+
+
+def dense_codes(values: DataFrame, col: str, name: str = "code") -> DataFrame:
+    """Distinct non-null values of ``col`` numbered 0..n-1 in sort order
+    (code-point order for strings), computed without a global window."""
+    d = values.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartitionByRange(parts, F.col(col)).withColumn("_pid", F.spark_partition_id())
+    wl = Window.partitionBy("_pid").orderBy(col)
+    d = d.withColumn("_loc", F.row_number().over(wl) - F.lit(1))
+    tot = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    off = tot.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return d.join(off, "_pid").select(col, (F.col("_loc") + F.col("_off")).cast("int").alias(name))
