@@ -70,7 +70,7 @@ def _prep(train, test, features, label, scale):
 
 def _scored(pred: DataFrame, keys) -> DataFrame:
     return pred.select(*keys, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-                       vector_to_array("probability")[1].alias("probability"))
+                       F.coalesce(F.get(vector_to_array("probability"), 1), F.lit(0.0)).alias("probability"))
 
 
 class Fitted:
@@ -103,6 +103,8 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos"
     tr = train.withColumn("label", F.col(label).cast("double"))
     tr, scaler = assemble(tr, features, name not in TREE_MODELS)
     if name == "svm":
+        if tr.select("label").distinct().limit(2).count() < 2:
+            raise ValueError("svm needs both classes in the training part")
         rff = _rff(len(features), seed)
         trz = rff(tr).persist()
         svc = LinearSVC(maxIter=100, regParam=0.0, labelCol="label", rawPredictionCol="margin_vec").fit(trz)
@@ -298,14 +300,19 @@ def compare_models(train: DataFrame, test: DataFrame, features: list[str], names
     spark = train.sparkSession
     rows = []
     for name in names:
-        f = fit(train, features, name, label)
+        try:
+            f = fit(train, features, name, label)
+        except Exception as e:  # a model that cannot train is reported, not fatal
+            rows.append((name, None, None, None, None, None, None, None, None, str(e).splitlines()[0][:200]))
+            continue
         s_te, s_tr = f.score(test), f.score(train)
         mt = binary_metrics(s_te).first()
         auc = roc_auc(s_te).first()["roc_auc"]
         acc_tr = binary_metrics(s_tr).first()["accuracy"]
         rows.append((name, mt["accuracy"], mt["precision"], mt["recall"], mt["f1"], auc, acc_tr,
-                     acc_tr - mt["accuracy"], float(f.seconds)))
+                     acc_tr - mt["accuracy"], float(f.seconds), None))
     df = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double, "
-                                     "roc_auc double, train_accuracy double, gap double, train_seconds double")
+                                     "roc_auc double, train_accuracy double, gap double, train_seconds double, "
+                                     "error string")
     best = min(rows, key=lambda r: (-(r[4] or 0.0), r[0]))[0]
     return df.withColumn("overfit", overfit_band(F.col("gap"))).withColumn("best", F.col("model") == best)
