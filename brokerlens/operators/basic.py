@@ -131,16 +131,18 @@ def running_sums(df: DataFrame, group: list[str], order: str, cols: list[str],
                       *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols])
 
 
-def dense_codes(values: DataFrame, col: str, name: str = "code") -> DataFrame:
+def dense_codes(values: DataFrame, col: str, name: str = "code", group: list[str] | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` numbered 0..n-1 in sort order
-    (code-point order for strings), computed without a global window."""
-    d = values.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    (code-point order for strings), separately per ``group``, computed
+    without a global window: range partitions on (group, value), local
+    row numbers, and offsets from a table of partition counts."""
+    group = list(group or [])
+    d = values.select(*group, col).where(F.col(col).isNotNull()).distinct()
     spark = values.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartitionByRange(parts, F.col(col)).withColumn("_pid", F.spark_partition_id())
-    wl = Window.partitionBy("_pid").orderBy(col)
-    d = d.withColumn("_loc", F.row_number().over(wl) - F.lit(1))
-    tot = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    off = tot.select("_pid", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return d.join(off, "_pid").select(col, (F.col("_loc") + F.col("_off")).cast("int").alias(name))
+    d = d.repartitionByRange(parts, *[F.col(g) for g in group], F.col(col)).withColumn("_pid", F.spark_partition_id())
+    d = d.withColumn("_loc", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(col)) - F.lit(1))
+    tot = d.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))
+    off = tot.select("_pid", *group, F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return d.join(off, ["_pid", *group]).select(*group, col, (F.col("_loc") + F.col("_off")).cast("int").alias(name))

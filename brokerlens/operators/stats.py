@@ -7,9 +7,7 @@ parameters are one row per feature.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,14 +32,14 @@ def as_text(df: DataFrame, c: str):
 
 # ---- label encoding ------------------------------------------------------------
 def encoding_map(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value, code): sorted distinct text -> 0..n-1, null as
-    'MISSING', which is always present so unseen values have a code."""
-    maps = []
-    for c in cols:
-        vals = df.select(F.coalesce(as_text(df, c), F.lit(MISSING)).alias("value"))
-        vals = vals.unionByName(df.sparkSession.range(1).select(F.lit(MISSING).alias("value")))
-        maps.append(dense_codes(vals, "value").select(F.lit(c).alias("column"), "value", "code"))
-    return reduce(lambda a, b: a.unionByName(b), maps)
+    """(column, value, code): sorted distinct text -> 0..n-1 per column, null
+    as 'MISSING', which is always present so unseen values have a code.
+    All columns are numbered in one distributed pass."""
+    longv = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.coalesce(as_text(df, c), F.lit(MISSING)).alias("value")) for c in cols
+    ])).alias("r")).select("r.*")
+    miss = df.sparkSession.createDataFrame([(c, MISSING) for c in cols], "column string, value string")
+    return dense_codes(longv.unionByName(miss), "value", "code", group=["column"])
 
 
 def label_encode_apply(df: DataFrame, emap: DataFrame, cols: list[str], suffix: str = "_encoded",
@@ -86,13 +84,6 @@ def standardize(df: DataFrame, params, cols: list[str]) -> DataFrame:
 
 
 # ---- correlation -------------------------------------------------------------------
-def _pearson(x, y):
-    """Pearson over rows where both are non-null; null when one side is constant."""
-    xf = F.when(y.isNotNull(), x)
-    yf = F.when(x.isNotNull(), y)
-    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(xf) * F.stddev_pop(yf), F.lit(0.0))
-
-
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Pairwise-complete Pearson correlation for the given column pairs.
 

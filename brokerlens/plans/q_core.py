@@ -99,3 +99,17 @@ SELECT count(*) FILTER (WHERE is_ddos = 0) AS n_normal, count(*) FILTER (WHERE i
 FROM labelled"""), dbl=("imbalance_ratio",))
 def q_imbalance_ratio(spark, sf):
     return ipf.imbalance_ratio(labelled(spark, sf))
+
+
+@register("avg_qos_per_ip", oq("SELECT mqtt_message_id, general_ip, avg_qos_per_ip FROM labelled"),
+          dbl=("avg_qos_per_ip",))
+def q_avg_qos_per_ip(spark, sf):
+    return ipf.with_ip_features(mqtt_messages(spark, sf), features=["avg_qos_per_ip"]) \
+              .select("mqtt_message_id", "general_ip", "avg_qos_per_ip")
+
+
+@register("retained_rate_per_ip", oq("SELECT mqtt_message_id, general_ip, retained_rate_per_ip FROM labelled"),
+          dbl=("retained_rate_per_ip",))
+def q_retained_rate_per_ip(spark, sf):
+    return ipf.with_ip_features(mqtt_messages(spark, sf), features=["retained_rate_per_ip"]) \
+              .select("mqtt_message_id", "general_ip", "retained_rate_per_ip")

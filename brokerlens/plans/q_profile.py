@@ -326,3 +326,22 @@ def q_recombine(spark, sf):
     train, test = SP.random_split(labelled(spark, sf), 0.2, 42)
     return SP.recombine(train.select("mqtt_message_id", "general_ip", "is_ddos"),
                         test.select("mqtt_message_id", "general_ip", "is_ddos"))
+
+
+@register("has_message", oq("SELECT mqtt_message_id, mqtt_message_value IS NOT NULL AS has_message FROM mqtt"))
+def q_has_message(spark, sf):
+    return mqtt_messages(spark, sf).select("mqtt_message_id", S.has_message().alias("has_message"))
+
+
+ALIGN_TRAIN = ["mqtt_qos", "hour", "requests_per_ip", "avg_qos_per_ip", "day"]
+
+
+@register("align_columns", oq("""
+SELECT mqtt_qos, hour, requests_per_ip, 0 AS avg_qos_per_ip, day FROM labelled
+WHERE ts >= TIMESTAMP '2024-01-25 00:00:00'"""))
+def q_align(spark, sf):
+    """Test part whose frame lacks ``avg_qos_per_ip`` (and has extra columns),
+    aligned to the train part's column order: absent -> 0, extra dropped."""
+    lab = labelled(spark, sf)
+    test = lab.where(F.col("ts") >= F.to_timestamp(F.lit("2024-01-25 00:00:00"))).drop("avg_qos_per_ip")
+    return C.align_columns(test, ALIGN_TRAIN)

@@ -230,3 +230,17 @@ def q_attack_duration_summary(spark, sf):
 @register("attack_duration_hist", oq(DUR_SQL + hist("duration", "dlong", 50, by="unit")), dbl=HB)
 def q_attack_duration_hist(spark, sf):
     return R.attack_duration_hist(labelled(spark, sf), 50)
+
+
+@register("duplicate_rate", oq("""
+SELECT CAST(sum(CAST(mqtt_duplicate AS BIGINT)) AS DOUBLE) * 100 / count(*) AS duplicate_rate_pct FROM mqtt"""),
+          dbl=("duplicate_rate_pct",))
+def q_dup_rate(spark, sf):
+    return R.flag_rates(msgs(spark, sf)).select("duplicate_rate_pct")
+
+
+@register("retained_rate", oq("""
+SELECT CAST(sum(CAST(mqtt_retained AS BIGINT)) AS DOUBLE) * 100 / count(*) AS retained_rate_pct FROM mqtt"""),
+          dbl=("retained_rate_pct",))
+def q_ret_rate(spark, sf):
+    return R.flag_rates(msgs(spark, sf)).select("retained_rate_pct")
