@@ -28,7 +28,9 @@ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM even
 
 def mqtt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages for the tests and the bench, derived from ``events``."""
+    import zlib
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    view = "events"
+    # a private view name per folder, so no view of the caller is replaced
+    view = f"brokerlens_events_{zlib.crc32(sf_dir.encode()):08x}"
     events.createOrReplaceTempView(view)
-    return spark.sql(MQTT_FIXTURE_SQL)
+    return spark.sql(MQTT_FIXTURE_SQL.replace("FROM events) e", f"FROM {view}) e"))
