@@ -101,32 +101,54 @@ def share_within(df: DataFrame, count_col: str, partition: list[str], name: str
     return df.withColumn(name, ratio(F.col(count_col), F.sum(count_col).over(w)) * F.lit(100.0))
 
 
+def _buckets(order: Column, bounds: Column) -> Column:
+    """Index of the bucket of ``order``: the number of bounds below it.
+    A pure function of the value, so every branch of a plan agrees."""
+    return F.size(F.filter(bounds, lambda b: b < order)).cast("int")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Eager, reliable checkpoint into the session's shared checkpoint
+    folder: the (small, already aggregated) table is computed once and
+    every branch of the plan that follows reads it; the lineage is cut, so
+    a lost executor does not recompute the upstream scan."""
+    from brokerlens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def running_sums(df: DataFrame, group: list[str], order: str, cols: list[str],
-                 descending: bool = False, parts: int | None = None) -> DataFrame:
+                 descending: bool = False, parts: int | None = None, materialized: bool = False) -> DataFrame:
     """Add ``cum_<c>``: the sum of ``c`` over the rows of the same ``group``
     whose ``order`` value is <= the current one (>= when ``descending``).
 
-    Distributed prefix sum, no single-task window: rows are range
-    partitioned on (group, order), each partition computes local running
-    sums, and the totals of the earlier partitions of the same group
-    (a table of at most groups x partitions rows) are added as offsets.
-    Equal order values fall in the same range partition, so ties share
-    one cumulative value (``rangeBetween``).
+    Distributed prefix sum, no single-task window.  Rows go to value
+    buckets whose bounds are approximate quantiles of the order value (one
+    scalar subquery, run once per query); each (bucket, group) computes
+    local running sums, and the totals of the earlier buckets of the same
+    group (a table of at most buckets x groups rows) are added as offsets.
+    The bucket is a function of the value alone, so equal values share a
+    bucket (ties get one cumulative value, ``rangeBetween``) and the local
+    and total branches of the plan agree without a shared shuffle.
     """
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(order) if not descending else -F.col(order)
-    d = (df.withColumn("_ord", key.cast("double"))
-           .repartitionByRange(parts, *[F.col(g) for g in group], F.col("_ord"))
-           .withColumn("_pid", F.spark_partition_id()))
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = (F.col(order) if not descending else -F.col(order)).cast("double")
+    d = df.withColumn("_ord", key)
+    if not materialized:
+        d = materialize(d)
+    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = d.agg(F.percentile_approx("_ord", probs, 10000)).scalar()
+    # the bounds enter as a column (subqueries may not appear inside lambdas)
+    d = d.withColumn("_bounds", bounds).withColumn("_pid", _buckets(F.col("_ord"), F.col("_bounds"))).drop("_bounds")
     wl = (Window.partitionBy("_pid", *group).orderBy("_ord")
                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.select("*", *[F.sum(c).over(wl).alias(f"_loc_{c}") for c in cols])
+    loc = d.select("*", *[F.sum(c).over(wl).alias(f"_loc_{c}") for c in cols])
     tot = d.groupBy("_pid", *group).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
     wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *group, *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}")
                                        for c in cols])
-    out = d.join(off, on=["_pid", *group])
+    out = loc.join(off, on=["_pid", *group])
     return out.select(*[F.col(f"`{c}`") for c in df.columns],
                       *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols])
 
@@ -146,3 +168,40 @@ def dense_codes(values: DataFrame, col: str, name: str = "code", group: list[str
     off = tot.select("_pid", *group, F.coalesce(F.sum("_n").over(
         Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return d.join(off, ["_pid", *group]).select(*group, col, (F.col("_loc") + F.col("_off")).cast("int").alias(name))
+
+
+def quantiles_from_counts(counts: DataFrame, group: list[str], x: str, c: str, qs) -> DataFrame:
+    """Exact quantiles (linear interpolation, pandas' default) from a
+    materialized table of (group..., value, count) rows: rows (group..., q,
+    value).  Cumulative counts come from ``running_sums``; for each q the
+    values at 0-based ranks floor(h) and ceil(h), h = q (n-1), are picked by
+    a filter and a grouped max."""
+    group = list(group)
+    cum = running_sums(counts, group, x, [c], materialized=True)
+    n = counts.groupBy(*group).agg(F.sum(c).alias("_n"))
+    qarr = F.array(*[F.lit(float(q)) for q in qs])
+    j = cum.join(n, group) if group else cum.withColumn("_n", n.select("_n").scalar())
+    j = j.select(*group, x, c, f"cum_{c}", "_n", F.explode(qarr).alias("q"))
+    h = F.col("q") * (F.col("_n") - F.lit(1)).cast("double")
+    lo, hi = F.floor(h), F.ceil(h)
+    first = F.col(f"cum_{c}") - F.col(c)           # 0-based rank of the first copy of this value
+    holds = lambda r: (first <= r) & (r < F.col(f"cum_{c}"))
+    agg = j.groupBy(*group, "q").agg(
+        F.max(F.when(holds(lo), F.col(x))).alias("_lo"), F.max(F.when(holds(hi), F.col(x))).alias("_hi"),
+        F.max(h - lo).alias("_f"))
+    return agg.select(*group, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
+
+
+def exact_quantiles(df: DataFrame, group: list[str], col: str, qs) -> DataFrame:
+    """Exact quantiles with linear interpolation, per ``group``: rows
+    (group..., q, value).
+
+    Fully distributed: values are counted per (group, value) and that
+    table is materialized once; cumulative counts come from
+    ``running_sums``.  No task holds a group's whole value list (Spark's
+    ``percentile`` merges it into one map).
+    """
+    group = list(group)
+    counts = materialize(df.select(*group, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+                           .groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    return quantiles_from_counts(counts, group, "_x", "_c", qs)

@@ -94,9 +94,13 @@ def count_infinite(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def fit_medians(df: DataFrame, cols: list[str]) -> dict:
-    """Exact median per column (nulls skipped), as one small row."""
-    row = df.agg(*[F.median(q(c).cast("double")).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    """Exact median per column (nulls skipped): one row per column, from
+    the distributed exact quantiles."""
+    from brokerlens.operators.basic import quantiles_from_counts
+    from brokerlens.operators.profile import _value_counts_long
+    rows = quantiles_from_counts(_value_counts_long(df, cols), ["column"], "x", "c", [0.5]).collect()
+    got = {r["column"]: r["value"] for r in rows}
+    return {c: got.get(c) for c in cols}
 
 
 def impute_median(df: DataFrame, medians: dict) -> DataFrame:

@@ -85,7 +85,7 @@ def roc_curve(df: DataFrame, by=()) -> DataFrame:
     the share of each class scored at or above the threshold."""
     by = list(by)
     cum = running_sums(_score_counts(df, by), by, "probability", ["pos", "neg"], descending=True)
-    tot = _score_counts(df, by).groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    tot = cum.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if by:
         j = cum.join(tot, by)
     else:  # one-row totals as scalar subqueries

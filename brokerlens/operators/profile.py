@@ -5,10 +5,10 @@ Every multi-column profile is ONE aggregate over the table (a struct per
 column inside an array), exploded to long rows afterwards: never one job
 per column.
 
-Quantiles: ``exact=True`` uses ``percentile`` (exact, linear interpolation
-like pandas; its merge state grows with the number of distinct values of a
-column), ``exact=False`` uses ``percentile_approx`` whose state is bounded
-by ``accuracy`` -- the choice for high-cardinality columns at large scale.
+Quantiles: ``exact=True`` uses ``basic.exact_quantiles`` (linear
+interpolation like pandas, computed from distributed cumulative counts, so
+no task holds a column's value list); ``exact=False`` uses
+``percentile_approx`` (one pass, state bounded by ``accuracy``).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brokerlens.functions.scalar import ratio
+from brokerlens.operators.basic import materialize, quantiles_from_counts
 from brokerlens.sources.schema import columns_by_type
 
 
@@ -50,19 +51,68 @@ def dtype_counts(df: DataFrame) -> DataFrame:
     return column_info(df).groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column."""
-    cols = cols or columns_by_type(df)[0]
+def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, x) rows for the given columns as double, nulls dropped."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols
+    ])).alias("_r")).select("_r.*").where(F.col("x").isNotNull())
+
+
+def _value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, x, c): the distinct values of every column with their
+    counts, materialized once (one pass over the data)."""
+    return materialize(_long_values(df, cols).groupBy("column", "x").agg(F.count(F.lit(1)).alias("c")))
+
+
+def _quartiles_from_counts(counts: DataFrame, qs=(0.25, 0.5, 0.75)) -> DataFrame:
+    names = [f"q{int(round(q * 100))}" for q in qs]
+    long_q = quantiles_from_counts(counts, ["column"], "x", "c", qs)
+    return long_q.groupBy("column").agg(*[F.max(F.when(F.col("q") == F.lit(float(q)), F.col("value"))).alias(n)
+                                          for q, n in zip(qs, names)])
+
+
+def quartiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
+    """(column, one column per quantile named q25 / q50 / ...)."""
+    names = [f"q{int(round(q * 100))}" for q in qs]
+    if exact:
+        return _quartiles_from_counts(_value_counts_long(df, cols), qs)
     items = []
     for c in cols:
-        x = F.col(f"`{c}`").cast("double")
-        q = _q(x, (0.25, 0.5, 0.75), exact)
-        items.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                              F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"),
-                              q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max")))
+        qv = _q(F.col(f"`{c}`").cast("double"), qs, False)
+        items.append(F.struct(F.lit(c).alias("column"), *[qv[i].alias(n) for i, n in enumerate(names)]))
     return _long(df, items)
 
 
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column.
+
+    exact: one pass over the data builds the (column, value, count) table;
+    moments (mean first, then the centred sum of squares, for stability)
+    and quantiles are computed from that small table.  approximate: one
+    aggregate pass with ``percentile_approx``."""
+    cols = cols or columns_by_type(df)[0]
+    if not exact:
+        items = []
+        for c in cols:
+            x = F.col(f"`{c}`").cast("double")
+            qv = _q(x, (0.25, 0.5, 0.75), False)
+            items.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
+                                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), qv[0].alias("q25"),
+                                  qv[1].alias("q50"), qv[2].alias("q75"), F.max(x).alias("max")))
+        return _long(df, items)
+    counts = _value_counts_long(df, cols)
+    m = counts.groupBy("column").agg(F.sum("c").alias("count"),
+                                     (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
+                                     F.min("x").alias("min"), F.max("x").alias("max"))
+    ss = (counts.join(m.select("column", "mean", "count"), "column")
+                .groupBy("column").agg(F.sum(F.col("c") * F.pow(F.col("x") - F.col("mean"), 2)).alias("ss")))
+    std = F.sqrt(F.try_divide(F.col("ss"), (F.col("count") - F.lit(1)).cast("double")))
+    spine = F.broadcast(df.sparkSession.createDataFrame([(c,) for c in cols], "column string"))
+    return (spine.join(m, "column", "left").join(ss, "column", "left").join(_quartiles_from_counts(counts), "column", "left")
+                 .select("column", F.coalesce(F.col("count"), F.lit(0)).alias("count"), "mean", std.alias("std"),
+                         "min", "q25", "q50", "q75", "max"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(column, nulls, rows) for every column, one pass."""
     n = F.count(F.lit(1))
@@ -130,22 +180,23 @@ def categorical_values(df: DataFrame, cols: list[str] | None = None, all_below:
 def boxplot_stats(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5,
                   exact: bool = True) -> DataFrame:
     """q1, median, q3, whiskers (furthest values within 1.5 IQR) and the
-    number of outliers, per numeric column.  Long form: (column, x) rows;
-    the per-column quartile table is tiny and joined back."""
+    number of outliers, per numeric column -- all from the materialized
+    (column, value, count) table, so the data is read once."""
     cols = cols or columns_by_type(df)[0]
-    longv = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols
-    ])).alias("_r")).select("_r.*").where(F.col("x").isNotNull())
-    q = _q(F.col("x"), (0.25, 0.5, 0.75), exact)
-    quart = longv.groupBy("column").agg(q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
+    counts = _value_counts_long(df, cols)
+    if exact:
+        qt = _quartiles_from_counts(counts)
+    else:
+        qt = quartiles(df, cols, exact=False)
+    quart = qt.select("column", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"))
     lo = F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))
     inside = (F.col("x") >= lo) & (F.col("x") <= hi)
-    return (longv.join(quart, "column")
-                 .groupBy("column", "q1", "median", "q3")
-                 .agg(F.min(F.when(inside, F.col("x"))).alias("lower_whisker"),
-                      F.max(F.when(inside, F.col("x"))).alias("upper_whisker"),
-                      F.count(F.when(~inside, 1)).alias("outliers")))
+    return (counts.join(quart, "column")
+                  .groupBy("column", "q1", "median", "q3")
+                  .agg(F.min(F.when(inside, F.col("x"))).alias("lower_whisker"),
+                       F.max(F.when(inside, F.col("x"))).alias("upper_whisker"),
+                       F.coalesce(F.sum(F.when(~inside, F.col("c"))), F.lit(0)).alias("outliers")))
 
 
 def kde_curve(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, tail_sd: float = 9.0) -> DataFrame:

@@ -51,18 +51,27 @@ def build_session(master: str | None = None, app: str = "brokerlens",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
+_LOCAL_CKPT: dict = {}
+
+
+def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool | None = None) -> str:
     """Point ``SparkContext.checkpoint`` at the cluster's shared folder.
 
     The folder comes from the session setting ``spark.checkpoint.dir``.
-    Only when it is unset *and* ``local_fallback`` is true (tests, local
-    bench) is a fresh local directory created.
+    Only when it is unset *and* a local fallback is allowed is a fresh
+    local directory created; by default that is allowed only under a
+    ``local`` master (tests, local bench), never on a cluster.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if local_fallback is None:
+        local_fallback = spark.sparkContext.master.startswith("local")
+    if not path and local_fallback and id(spark.sparkContext) in _LOCAL_CKPT:
+        path = _LOCAL_CKPT[id(spark.sparkContext)]
     if not path:
         if not local_fallback:
             raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
         path = tempfile.mkdtemp(prefix="brokerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        _LOCAL_CKPT[id(spark.sparkContext)] = path
     spark.sparkContext.setCheckpointDir(path)
     return path
