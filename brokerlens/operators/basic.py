@@ -156,10 +156,13 @@ def running_sums(df: DataFrame, group: list[str], order: str, cols: list[str],
 def dense_codes(values: DataFrame, col: str, name: str = "code", group: list[str] | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` numbered 0..n-1 in sort order
     (code-point order for strings), separately per ``group``, computed
-    without a global window: range partitions on (group, value), local
-    row numbers, and offsets from a table of partition counts."""
+    without a global window: the distinct values are materialized, range
+    partitioned on (group, value), numbered locally, and offset by a table
+    of partition counts."""
     group = list(group or [])
-    d = values.select(*group, col).where(F.col(col).isNotNull()).distinct()
+    # materialized once: the range sampling below then sees fixed partitions
+    # in every branch of the plan, so the local and total branches agree
+    d = materialize(values.select(*group, col).where(F.col(col).isNotNull()).distinct())
     spark = values.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartitionByRange(parts, *[F.col(g) for g in group], F.col(col)).withColumn("_pid", F.spark_partition_id())
