@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brokerlens.operators.cleaning import MODEL_FEATURES
 from brokerlens.operators.ip_features import FIXTURE_THRESHOLDS as FT
 from brokerlens.plans.prepare import fixture_labelled
+from brokerlens.plans.q_stats import ANOVA
 from brokerlens.plans.registry import oq, register
 from brokerlens.session import ensure_checkpoint_dir
 from brokerlens.sources import sinks as SK
@@ -50,7 +51,9 @@ def q_read_messages(spark, sf):
                      "mqtt_topic", "mqtt_qos", "mqtt_duplicate")
 
 
-@register("cached_messages")
+@register("cached_messages", oq("""
+SELECT CAST(is_ddos AS VARCHAR) AS key, count(*) AS count FROM labelled GROUP BY 1
+UNION ALL SELECT CAST(hour AS VARCHAR), count(*) FROM labelled GROUP BY 1"""))
 def q_cached(spark, sf):
     """Persisted labelled table (memory and disk), reused by two reports."""
     lab = cached_messages(fixture_labelled(spark, sf, FT))
@@ -60,7 +63,8 @@ def q_cached(spark, sf):
         b.select(F.col("hour").cast("string").alias("key"), "count"))
 
 
-@register("write_selected_features")
+@register("write_selected_features", oq("SELECT " + ", ".join(MODEL_FEATURES) + ", is_ddos FROM labelled"),
+          dbl=("duplicate_rate_per_ip",))
 def q_write_selected(spark, sf):
     """Write the ten model features with the label, read them back."""
     out = shared_dir(spark) + "/selected"
@@ -68,7 +72,8 @@ def q_write_selected(spark, sf):
     return spark.read.parquet(out)
 
 
-@register("write_feature_list")
+@register("write_feature_list", oq(ANOVA + " SELECT feature AS value FROM fs WHERE f_score IS NOT NULL "
+                                            "ORDER BY f_score DESC, feature LIMIT 5"))
 def q_write_feature_list(spark, sf):
     """Features with the top ANOVA F scores written one per line, read back."""
     from brokerlens.operators.stats import anova_f, select_k_best

@@ -260,7 +260,9 @@ def q_parse_ts(spark, sf):
     return raw_timestamps(spark, sf).withColumn("timestamp_parsed", TM.parse_timestamp("@timestamp"))
 
 
-@register("parse_timestamp_strict")
+@register("parse_timestamp_strict", oq(RAW_TS_SQL + """
+SELECT mqtt_message_id, "@timestamp", strptime("@timestamp", '%Y-%m-%dT%H:%M:%SZ') AS timestamp_parsed FROM raw
+WHERE "@timestamp" <> 'not a date'"""))
 def q_parse_ts_strict(spark, sf):
     """Strict parse of the readable rows (unreadable text would fail the query)."""
     raw = raw_timestamps(spark, sf).where(F.col("@timestamp") != "not a date")

@@ -118,3 +118,20 @@ def test_compare_models_reports_failures(spark):
     rows = {r["model"]: r for r in M.compare_models(tr, te, feats, ["naive_bayes", "svm"]).collect()}
     assert rows["svm"]["error"] and rows["svm"]["f1"] is None
     assert rows["naive_bayes"]["error"] is None and rows["naive_bayes"]["accuracy"] is not None
+
+
+def test_deduplicate_stream_drops_replays(spark):
+    from brokerlens.operators.detect import with_full_id
+    from brokerlens.streaming.rate_limit import deduplicate_stream
+    d = tempfile.mkdtemp(prefix="dedup-src-", dir="/tmp")
+    base = dt.datetime(2024, 1, 1, 12, 0, 0)
+    rows = [msg(1, value="p", ts=base), msg(2, value="p", ts=base + dt.timedelta(seconds=5)),
+            msg(3, value="q", ts=base + dt.timedelta(seconds=6))]
+    frame(spark, rows).coalesce(1).write.parquet(f"{d}/f1")
+    stream = with_full_id(spark.readStream.schema(MSG).parquet(f"{d}/f*"))
+    out = tempfile.mkdtemp(prefix="dedup-out-", dir="/tmp")
+    q = (deduplicate_stream(stream, watermark="1 minute").writeStream.format("parquet")
+         .option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start(f"{out}/data"))
+    q.awaitTermination()
+    got = sorted(r["mqtt_message_value"] for r in spark.read.parquet(f"{out}/data").collect())
+    assert got == ["p", "q"]

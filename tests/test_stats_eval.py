@@ -167,3 +167,21 @@ def test_profile_describe_matches_numpy(spark):
     assert abs(d["q25"] - np.percentile(x, 25)) < 1e-12 and d["q50"] == np.median(x)
     b = P.boxplot_stats(df, ["x"]).first()
     assert b["outliers"] == 1 and b["upper_whisker"] == 8.0
+
+
+def test_exact_quantiles_match_numpy_and_repeat(spark):
+    from brokerlens.operators.basic import exact_quantiles
+    rng = np.random.default_rng(1)
+    rows = [("a", float(v)) for v in rng.integers(0, 5000, 20001)] + [("b", float(v)) for v in rng.normal(size=10)]
+    rows += [("c", 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    first = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, ["g"], "x", qs).collect()}
+    again = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, ["g"], "x", qs).collect()}
+    assert first == again
+    for g in "abc":
+        xs = np.array([v for gg, v in rows if gg == g])
+        for q in qs:
+            assert abs(first[(g, q)] - np.percentile(xs, q * 100)) < 1e-9
+    glob = exact_quantiles(df, [], "x", [0.5]).first()["value"]
+    assert abs(glob - np.median([v for _, v in rows])) < 1e-9
