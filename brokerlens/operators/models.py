@@ -280,8 +280,8 @@ def cross_validate(train: DataFrame, features: list[str], name: str, folds: int
     rows = []
     for f in range(folds):
         tr, te = base.where(F.col("fold") != f), base.where(F.col("fold") == f)
-        sc_te, _, _ = fit_predict(tr, te, features, name, label)
-        sc_tr, _, _ = fit_predict(tr, tr, features, name, label)
+        fitted = fit(tr, features, name, label, seed)    # one fit, scored on both sides
+        sc_te, sc_tr = fitted.score(te), fitted.score(tr)
         mt = binary_metrics(sc_te).first()
         mr = binary_metrics(sc_tr).first()
         rows.append((name, f, mr["accuracy"], mt["accuracy"], mr["f1"], mt["f1"], mr["accuracy"] - mt["accuracy"]))
