@@ -108,13 +108,17 @@ def _buckets(order: Column, bounds: Column) -> Column:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Eager, reliable checkpoint into the session's shared checkpoint
-    folder: the (small, already aggregated) table is computed once and
-    every branch of the plan that follows reads it; the lineage is cut, so
-    a lost executor does not recompute the upstream scan."""
+    """Write a (small, already aggregated) table once as Parquet under the
+    session's shared checkpoint folder and read it back: every branch of
+    the plan that follows reads the same rows, the lineage is cut, so a lost
+    executor does not recompute the upstream scan, and the reads stay
+    columnar (a ``checkpoint()`` would go through row-serialised RDD files)."""
+    import uuid
     from brokerlens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/materialized-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def running_sums(df: DataFrame, group: list[str], order: str, cols: list[str],
