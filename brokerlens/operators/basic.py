@@ -164,12 +164,13 @@ def dense_codes(values: DataFrame, col: str, name: str = "code", group: list[str
     partitioned on (group, value), numbered locally, and offset by a table
     of partition counts."""
     group = list(group or [])
-    # materialized once: the range sampling below then sees fixed partitions
-    # in every branch of the plan, so the local and total branches agree
-    d = materialize(values.select(*group, col).where(F.col(col).isNotNull()).distinct())
+    # the range partition of every row is written down: both branches below
+    # read it, so they agree whatever the optimizer reuses or samples anew
     spark = values.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartitionByRange(parts, *[F.col(g) for g in group], F.col(col)).withColumn("_pid", F.spark_partition_id())
+    d = values.select(*group, col).where(F.col(col).isNotNull()).distinct()
+    d = materialize(d.repartitionByRange(parts, *[F.col(g) for g in group], F.col(col))
+                     .withColumn("_pid", F.spark_partition_id()))
     d = d.withColumn("_loc", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(col)) - F.lit(1))
     tot = d.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))
     off = tot.select("_pid", *group, F.coalesce(F.sum("_n").over(
