@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from brokerlens.llm.mixing import q_op1
 from brokerlens.llm.packing import q_op3
+from brokerlens.llm.sharding import q_op4
+from brokerlens.llm.simhash import q_op7
 from brokerlens.llm.token_count import q_op2
+from brokerlens.llm.winnowing import q_op9
 
 QUERIES = {
     "op1_mix_sources": q_op1,
     "op2_token_counts": q_op2,
     "op3_packing": q_op3,
+    "op4_sharding": q_op4,
+    "op7_simhash": q_op7,
+    "op9_winnowing": q_op9,
 }
 ORACLE: dict[str, str] = {}
