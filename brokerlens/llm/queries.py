@@ -7,6 +7,7 @@ from brokerlens.llm.packing import q_op3
 from brokerlens.llm.sharding import q_op4
 from brokerlens.llm.simhash import q_op7
 from brokerlens.llm.token_count import q_op2
+from brokerlens.llm.toxicity import q_op5
 from brokerlens.llm.winnowing import q_op9
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_token_counts": q_op2,
     "op3_packing": q_op3,
     "op4_sharding": q_op4,
+    "op5_toxicity": q_op5,
     "op7_simhash": q_op7,
     "op9_winnowing": q_op9,
 }
