@@ -257,6 +257,14 @@ def _marginals(model: Model):
 SPANS = "array<struct<start: int, end: int, probability: double>>"
 
 
+def _strong(counts: DataFrame, n0: int, n1: int) -> DataFrame:
+    """Rows of (feature, clean, toxic) whose share of toxic documents is high beyond chance, with ``g``."""
+    x, y, n = F.col("toxic"), F.col("clean"), n0 + n1
+    part = lambda got, want: F.when(got > 0, got * F.log(got / want)).otherwise(F.lit(0.0))
+    g = 2 * (part(x, (x + y) * n1 / n) + part(y, (x + y) * n0 / n))
+    return counts.where(x / n1 > 8 * y / n0).withColumn("g", g).where(F.col("g") >= MIN_G)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of the labelled rows that are not held out, on at most ``sample`` documents per class."""
     scratch = Scratch(docs.sparkSession, "toxicity")
@@ -288,12 +296,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     df = (texts.mapInArrow(document_counts, "feature string, clean long, toxic long")
                .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    x, y, n = F.col("toxic"), F.col("clean"), n0 + n1
-    part = lambda got, want: F.when(got > 0, got * F.log(got / want)).otherwise(F.lit(0.0))
-    g = 2 * (part(x, (x + y) * n1 / n) + part(y, (x + y) * n0 / n))
-    strong = (df.where((x / n1 > 8 * y / n0)).withColumn("g", g).where(F.col("g") >= MIN_G)
-                .orderBy(F.desc("g"), "feature").limit(FEATURES).select("feature"))
-    index = {r["feature"]: i for i, r in enumerate(sorted(strong.collect()))}
+    strong = (_strong(df, n0, n1).orderBy(F.desc("g"), "feature").limit(4 * FEATURES)
+              .select("feature", "clean", "toxic").collect())
+    candidates = {r["feature"] for r in strong}
+
+    def contexts(batches):
+        import pyarrow as pa
+        for batch in batches:
+            seen = set()
+            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = (t or "").split() if c else []
+                for i, w in enumerate(words):
+                    seen.update((f, " ".join(words[max(0, i - 1):i] + words[i + 1:i + 2])) for f in word_features(w) if f in candidates)
+            pairs = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())],
+                                             names=["feature", "context"])
+
+    # words that many toxic documents copied from one another stand in one context: they count once
+    varied = (texts.mapInArrow(contexts, "feature string, context string").groupBy("feature")
+                   .agg(F.countDistinct("context").alias("contexts")))
+    spark = docs.sparkSession
+    strong = spark.createDataFrame([tuple(r) for r in strong], "feature string, clean long, toxic long")
+    kept = _strong(strong.join(varied, "feature").withColumn("toxic", F.least("toxic", "contexts")), n0, n1)
+    kept = kept.orderBy(F.desc("g"), "feature").limit(FEATURES).select("feature").collect()
+    index = {f: i for i, f in enumerate(sorted(r["feature"] for r in kept))}
     if not index:
         scratch.drop(texts)
         return Model({}, logistic=(math.log(n1 / n0), 0.0, 0.0))
