@@ -16,6 +16,8 @@ import re
 CHUNK = re.compile(r"\s*\S+|\s+")
 # fixed values: characters on which regular-expression engines differ whether they are white space
 UNSURE = re.compile("[\x1c-\x1f\x85᠎]")
+# fixed values: outside ASCII text, Latin letters, general punctuation and the euro sign
+DISPUTED = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ‐-…€]")
 SAFE_CUT = re.compile(r"(?<=\S)(?=\s)")
 KEEP_LEN = 48            # longer chunks are encoded, but not kept
 KEEP = 500_000           # chunks kept in a worker
@@ -44,9 +46,9 @@ class Encoder:
 
     @classmethod
     def get(cls, name: str) -> "Encoder":
-        if name not in _LOADED:
-            _LOADED[name] = cls(name)
-        return _LOADED[name]
+        if (cls, name) not in _LOADED:
+            _LOADED[cls, name] = cls(name)
+        return _LOADED[cls, name]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         from array import array
@@ -81,6 +83,33 @@ class Encoder:
         return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
 
+class RankEncoder(Encoder):
+    """The same ids from the vocabulary's rank file, by the rank-based library.
+
+    Taken only for texts of characters whose classes no regular-expression engine disputes
+    (``DISPUTED`` finds the others); the rest goes to the tokenizer file's own library."""
+
+    def __init__(self, name: str):
+        super().__init__(name)
+        import base64
+        import public_tokenizers
+        import tiktoken
+        with open(tokenizer_path(name.removesuffix(".json") + ".tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.ranked = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if DISPUTED.search(text):
+                out += super().encode([text])
+            else:
+                out.append(b"".join(self.ranked.encode_to_numpy(s, allowed_special="all").astype("<u4").tobytes()
+                                    for s in (self.segments(text) if len(text) > SEGMENT else (text,))))
+        return out
+
+
 def byte_balanced(texts: list[str | None]):
     """Slices of ``texts`` whose characters together stay near BATCH_CHARS (a longer text is alone)."""
     start, chars = 0, 0

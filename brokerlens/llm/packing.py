@@ -69,8 +69,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ
         import zlib
         import numpy as np
         import pyarrow as pa
-        from brokerlens.llm.bpe import Encoder, byte_balanced
-        enc, end, step = Encoder.get(tokenizer), int(end_id).to_bytes(4, "little"), 4 * seq_len
+        from brokerlens.llm.bpe import RankEncoder, byte_balanced
+        enc, end, step = RankEncoder.get(tokenizer), int(end_id).to_bytes(4, "little"), 4 * seq_len
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in byte_balanced(texts):
