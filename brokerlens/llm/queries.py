@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brokerlens.llm.line_dedup import q_op8
 from brokerlens.llm.mixing import q_op1
 from brokerlens.llm.packing import q_op3
 from brokerlens.llm.sharding import q_op4
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_sharding": q_op4,
     "op5_toxicity": q_op5,
     "op7_simhash": q_op7,
+    "op8_line_dedup": q_op8,
     "op9_winnowing": q_op9,
 }
 ORACLE: dict[str, str] = {}
