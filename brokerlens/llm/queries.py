@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brokerlens.llm.lattice import q_op10
 from brokerlens.llm.line_dedup import q_op8
 from brokerlens.llm.mixing import q_op1
 from brokerlens.llm.packing import q_op3
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_simhash": q_op7,
     "op8_line_dedup": q_op8,
     "op9_winnowing": q_op9,
+    "op10_embedding_links": q_op10,
 }
 ORACLE: dict[str, str] = {}
