@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brokerlens.llm.html_extract import q_op6
 from brokerlens.llm.lattice import q_op10
 from brokerlens.llm.line_dedup import q_op8
 from brokerlens.llm.mixing import q_op1
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_packing": q_op3,
     "op4_sharding": q_op4,
     "op5_toxicity": q_op5,
+    "op6_html_text": q_op6,
     "op7_simhash": q_op7,
     "op8_line_dedup": q_op8,
     "op9_winnowing": q_op9,
