@@ -35,9 +35,9 @@ CROWD = 2048        # fingerprints of a grid point that are compared in one task
 SEGMENTS = 16       # of 4 bits each
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint (as a signed long) of every document row."""
-    kind = dict(docs.dtypes)["doc_id"]
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp[, mark]): the 64-bit fingerprint (as a signed long) of every document row; ``mark`` passes through."""
+    kind, marked = dict(docs.dtypes)["doc_id"], mark is not None
 
     def majority(batches):
         import numpy as np
@@ -67,9 +67,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
         for batch in batches:
             data = batch.column(1)
             out = [fp(data[i].as_py() or b"") for i in range(len(data))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            more = [batch.column(2)] if marked else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), *more], names=["doc_id", "fp", "mark"][:2 + len(more)])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(majority, f"doc_id {kind}, fp long")
+    more = [mark.alias("mark")] if marked else []
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *more).mapInArrow(
+        majority, f"doc_id {kind}, fp long" + ", mark long" * len(more))
 
 
 def popcounts(fp: Column) -> Column:
@@ -172,21 +175,55 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> DataFra
     return found.where(F.col("b").isNotNull()).union(stars).where(F.col("a") != F.col("b")).distinct()
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id) per document row; ``component_id`` is the smallest doc_id reachable
-    over links of ``max_bits`` or fewer differing bits."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.table(fingerprints(docs, shingle, seed))
+def _by_fingerprint(rows: DataFrame, scratch: Scratch, max_bits: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of ``rows`` (doc_id, fp)."""
     fps = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comp = connected_components(links(fps.select("fp"), scratch, max_bits), scratch)
     rooted = scratch.table(fps.join(comp, F.col("fp") == F.col("node"), "left")
                               .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = scratch.table(rooted.join(least, "root").select("fp", "component_id"))
+    by_fp = scratch.table(rooted.join(least, "root").select("fp", "root", "component_id"))
     scratch.drop(fps, rooted)
+    return by_fp
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, component_id) per document row; ``component_id`` is the smallest doc_id reachable
+    over links of ``max_bits`` or fewer differing bits."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.table(fingerprints(docs, shingle, seed))
+    by_fp = _by_fingerprint(rows, scratch, max_bits)
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """The documents with all but one of each component gone, all columns.
+
+    The one with the smallest id stays (a null id after all others, equal ids by the hash of their text);
+    rows of equal id and text count as one."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    mark = F.xxhash64("text")
+    rows = scratch.table(fingerprints(docs, shingle, seed, mark))
+    by_fp = _by_fingerprint(rows, scratch, max_bits)
+    placed = rows.join(by_fp.select("fp", "root"), "fp").select("root", "doc_id", "mark")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = scratch.table(placed.groupBy("root").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                                .select("root", F.col("f.doc_id").alias("first_id"), F.col("f.mark").alias("first_mark")))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    grouped = placed.join(first, "root")
+    gone = scratch.table(grouped.where(~same).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct())
+    again = scratch.table(grouped.where(same).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                                 .select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    on = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
+    kept = docs.select(whole_row, F.col("doc_id").alias("id"), mark.alias("mark")).join(gone, on, "left_anti")
+    if not again.isEmpty():
+        # repeated rows of a kept document: one of them stays
+        repeated = kept.join(again, on, "left_semi").dropDuplicates(["id", "mark"])
+        kept = kept.join(again, on, "left_anti").union(repeated)
+    return kept.select("doc.*")
+
+
 def q_op7(spark, sf_dir: str) -> DataFrame:
     """op7: SimHash fingerprints of all documents, 3-word shingles, components at 2 or fewer differing bits."""
     found = simhash_components(documents(spark, sf_dir))
