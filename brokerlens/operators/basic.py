@@ -26,11 +26,6 @@ def value_counts(df: DataFrame, col: str, n: int | None = None, percent: bool =
     return ordered.limit(n) if n is not None else ordered
 
 
-def top_by(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """Global top-k: per-partition top-k, then one small merge."""
-    return df.orderBy(*order).limit(n)
-
-
 def _bin(x: Column, lo: Column, hi: Column, n: int) -> Column:
     """Bin 1..n of equal width over [lo, hi]; last bin closed; lo == hi is
     widened to [lo - .5, hi + .5] as numpy does."""
@@ -86,14 +81,6 @@ def class_counts(df: DataFrame, keys: list[str], label: str = "is_ddos") -> Data
                    F.count(F.when(F.col(label) == 1, 1)).alias("ddos")))
 
 
-def class_percent(df: DataFrame, keys: list[str], label: str = "is_ddos") -> DataFrame:
-    """Row-normalised crosstab: percent of each class within the key."""
-    c = class_counts(df, keys, label)
-    tot = F.col("normal") + F.col("ddos")
-    return c.select(*keys, ratio(F.col("normal") * F.lit(100.0), tot).alias("normal_pct"),
-                    ratio(F.col("ddos") * F.lit(100.0), tot).alias("ddos_pct"))
-
-
 def share_within(df: DataFrame, count_col: str, partition: list[str], name: str = "percent") -> DataFrame:
     """Percent of ``count_col`` within each ``partition`` group of an
     already aggregated (small) table."""
@@ -101,10 +88,27 @@ def share_within(df: DataFrame, count_col: str, partition: list[str], name: str
     return df.withColumn(name, ratio(F.col(count_col), F.sum(count_col).over(w)) * F.lit(100.0))
 
 
-def _buckets(order: Column, bounds: Column) -> Column:
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Equi-join on the string column ``key`` with a ``right`` that is grouped by ``key``.
+
+    The right side is compared through an expression of its key, so it gets an
+    exchange of its own: grouped and joined in one partitioning, AQE could not
+    split the left rows of a hot key (its skew rule needs an exchange on both
+    sides).  The extra exchange moves one row per key."""
+    other = "_" + key
+    while other in left.columns or other in right.columns:
+        other = "_" + other
+    r = right.withColumn(other, F.concat(F.col(f"`{key}`"), F.lit(""))).drop(key)
+    return left.join(r, F.col(f"`{key}`") == F.col(f"`{other}`"), how).drop(other)
+
+
+def _buckets(order: Column, bounds: Column, heads: Column, step: int) -> Column:
     """Index of the bucket of ``order``: the number of bounds below it.
-    A pure function of the value, so every branch of a plan agrees."""
-    return F.size(F.filter(bounds, lambda b: b < order)).cast("int")
+    A pure function of the value, so every branch of a plan agrees.  Looked
+    up in two steps, among every ``step``-th bound and then between two of them."""
+    below = lambda arr: F.size(F.filter(arr, lambda b: b < order))
+    block = F.greatest(below(heads) - 1, F.lit(0)) * step
+    return (block + below(F.slice(bounds, block + 1, F.lit(step)))).cast("int")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -142,9 +146,13 @@ def running_sums(df: DataFrame, group: list[str], order: str, cols: list[str],
     if not materialized:
         d = materialize(d)
     probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    bounds = d.agg(F.percentile_approx("_ord", probs, 10000)).scalar()
+    step = max(1, int(parts ** 0.5))
+    found = d.agg(F.percentile_approx("_ord", probs, 10000).alias("b"))
+    every = F.filter("b", lambda _, i: i % step == 0)
+    bounds = found.select(F.struct(F.col("b").alias("all"), every.alias("heads"))).scalar()
     # the bounds enter as a column (subqueries may not appear inside lambdas)
-    d = d.withColumn("_bounds", bounds).withColumn("_pid", _buckets(F.col("_ord"), F.col("_bounds"))).drop("_bounds")
+    d = d.withColumn("_bounds", bounds).withColumn(
+        "_pid", _buckets(F.col("_ord"), F.col("_bounds.all"), F.col("_bounds.heads"), step)).drop("_bounds")
     wl = (Window.partitionBy("_pid", *group).orderBy("_ord")
                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     loc = d.select("*", *[F.sum(c).over(wl).alias(f"_loc_{c}") for c in cols])

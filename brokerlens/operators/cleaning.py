@@ -77,11 +77,11 @@ def fill_missing_category(df: DataFrame, cols: list[str] | None = None, token: s
 
 
 def replace_infinite(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """+-inf -> null in floating columns (before any median is taken)."""
+    """+-inf and NaN -> null in floating columns (before any median is taken)."""
     fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     s = set(cols or fl) & set(fl)
-    inf = [float("inf"), float("-inf")]
-    return df.select(*[F.when(q(c).isin(inf), F.lit(None).cast("double")).otherwise(q(c)).alias(c)
+    gone = [float("inf"), float("-inf"), float("nan")]
+    return df.select(*[F.when(q(c).isin(gone), F.lit(None).cast("double")).otherwise(q(c)).alias(c)
                        if c in s else q(c) for c in df.columns])
 
 

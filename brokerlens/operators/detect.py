@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from brokerlens.functions.scalar import message_length, ratio
 from brokerlens.functions.topics import matches_topic_filter, topic_levels
+from brokerlens.operators.basic import split_join
 
 # Fixed values of the reference
 HOURLY_SPIKE_STD = 3.0
@@ -66,7 +67,7 @@ def blocklist(df: DataFrame, label: str = "is_ddos", ts: str = "ts") -> DataFram
 
 def filter_blocked(df: DataFrame, blocked: DataFrame) -> DataFrame:
     """Messages whose IP is not on the block list (null IPs are kept)."""
-    return df.join(blocked.select("general_ip"), on="general_ip", how="left_anti")
+    return split_join(df, blocked.select("general_ip"), "general_ip", "left_anti")
 
 
 def rate_limit(df: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE, window: str = "1 minute",
@@ -82,8 +83,8 @@ def rate_limit(df: DataFrame, limit: int = RATE_LIMIT_PER_MINUTE, window: str =
 
 def compromised_devices(df: DataFrame, label: str = "is_ddos") -> DataFrame:
     """All messages of the MACs that took part in an attack (semi join)."""
-    macs = df.where((F.col(label) == 1) & F.col("general_mac").isNotNull()).select("general_mac")
-    return df.join(macs, on="general_mac", how="left_semi")
+    macs = df.where((F.col(label) == 1) & F.col("general_mac").isNotNull()).select("general_mac").distinct()
+    return split_join(df, macs, "general_mac", "left_semi")
 
 
 def ip_mac_mismatch(df: DataFrame, min_ips: int = 1) -> DataFrame:
@@ -116,6 +117,10 @@ def deduplicate_messages(df: DataFrame, keys=("general_full_id", "ts"),
     """One message per key: the one with the smallest ``order`` value
     (null first), further ties by the remaining columns.
 
+    A full id is null when one of its parts is; such messages are told apart by
+    the parts themselves (MAC, IP, topic), so that messages of several devices
+    are not taken for copies of one another.
+
     An aggregate ``min(struct)`` instead of ``row_number``: the partial
     aggregation collapses a hot group of copies on the map side, where a
     window would sort the whole group in one task."""
@@ -123,7 +128,11 @@ def deduplicate_messages(df: DataFrame, keys=("general_full_id", "ts"),
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys and c != order]
     best = F.min(F.struct(F.col(order), *[F.col(c) for c in rest])).alias("m")
-    return df.groupBy(*keys).agg(best).select(*keys, "m.*").select(*df.columns)
+    parts = []
+    if "general_full_id" in keys:
+        have = [c for c in ("general_mac", "general_ip", "mqtt_topic") if c in df.columns]
+        parts = [F.when(F.col("general_full_id").isNull(), F.col(c)).alias(f"_part_{c}") for c in have]
+    return df.groupBy(*keys, *parts).agg(best).select(*keys, "m.*").select(*df.columns)
 
 
 def replay_candidates(df: DataFrame, min_count: int = 1) -> DataFrame:

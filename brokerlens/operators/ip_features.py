@@ -7,7 +7,8 @@ stage, and its single distinct column (topic) is planned as a
 (ip, topic) pre-aggregate, so a hot IP is spread over tasks by topic
 before the final per-IP merge.  The join back is planned by AQE: the
 per-IP side becomes a broadcast when its measured size is small,
-otherwise a sort-merge join whose skewed partitions AQE splits.
+otherwise a sort-merge join whose skewed partitions AQE splits
+(``basic.split_join`` gives the per-IP side the exchange that needs).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brokerlens.functions.scalar import ratio
+from brokerlens.operators.basic import split_join
 
 IP_FEATURES = ["requests_per_ip", "duplicate_rate_per_ip", "unique_topics_per_ip",
                "avg_qos_per_ip", "retained_rate_per_ip"]
@@ -56,7 +58,7 @@ def with_ip_features(df: DataFrame, ip: str = "general_ip",
     stats = per_ip_stats(df, ip)
     features = features or IP_FEATURES
     stats = stats.select(ip, *features)
-    return df.join(stats, on=ip, how="left").select(*[F.col(f"`{c}`") for c in df.columns], *features)
+    return split_join(df, stats, ip, "left").select(*[F.col(f"`{c}`") for c in df.columns], *features)
 
 
 def ddos_condition(t: LabelThresholds = LabelThresholds()):

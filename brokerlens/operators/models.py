@@ -33,6 +33,10 @@ MODEL_NAMES = ["logistic", "tree_simple", "tree_deep", "knn_3", "knn_5", "knn_10
                "mlp", "naive_bayes", "svm"]
 
 
+class OneClassError(ValueError):
+    """A model that needs both classes was given one."""
+
+
 def estimator(name: str, n_features: int, seed: int = 42):
     if name == "logistic":
         return LogisticRegression(maxIter=1000, labelCol="label")
@@ -104,7 +108,7 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos"
     tr, scaler = assemble(tr, features, name not in TREE_MODELS)
     if name == "svm":
         if tr.select("label").distinct().limit(2).count() < 2:
-            raise ValueError("svm needs both classes in the training part")
+            raise OneClassError("svm needs both classes in the training part")
         rff = _rff(len(features), seed)
         trz = rff(tr).persist()
         svc = LinearSVC(maxIter=100, regParam=0.0, labelCol="label", rawPredictionCol="margin_vec").fit(trz)
@@ -147,66 +151,78 @@ def _rff(p: int, seed: int, n_components: int = 100):
     return apply
 
 
-# ---- exact distance-weighted kNN ------------------------------------------------------------------
+# ---- distance-weighted kNN ------------------------------------------------------------------------
+KNN_TRAIN = 20_000       # training rows at most
+KNN_CELLS = 4_000_000    # distances held at once by a task
+
+
+def knn_train_rows(train: DataFrame, features: list[str], label: str, limit: int, order: str = "mqtt_message_id"):
+    """(X, y, id) of at most ``limit`` training rows as numpy arrays: all rows if they are that few, else
+    of each class its share, the rows with the lowest hash of their id and features."""
+    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    key = F.xxhash64(*[F.col(c) for c in ([order] if order in train.columns else []) + features])
+    rows = train.select(F.col(label).cast("int").alias("y"), key.alias("key"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+    got = []
+    for y, n in sorted(counts.items(), key=lambda c: (c[0] is None, c[0] or 0)):
+        of_class = rows.where(F.col("y").eqNullSafe(F.lit(y).cast("int")))
+        share = n if total <= limit else max(1, n * limit // total)
+        got += of_class.orderBy("key", *[f"f{i}" for i in range(len(features))]).limit(share).collect()
+    X = np.array([[np.nan if v is None else v for v in r[2:]] for r in got], float).reshape(len(got), len(features))
+    return X, np.array([r["y"] or 0 for r in got], int)
+
+
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], k: int, label: str = "is_ddos",
-                keys=("mqtt_message_id",), tiles: int | None = None) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean, standardised with train
-    statistics), weights 1/d, and a zero distance takes all the weight.
-
-    Block nested loops: train and test rows are hashed into ``tiles``
-    tiles each; every (test tile, train tile) pair is one co-group whose
-    numpy task keeps only the k best train rows per test row, so no pair
-    of rows is ever emitted and no task holds a whole side; the final
-    step keeps the k best of the tiles x k candidates per test row.
-    """
-    spark = train.sparkSession
-    tiles = tiles or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+                keys=("mqtt_message_id",), max_train: int = KNN_TRAIN) -> DataFrame:
+    """k nearest neighbours (Euclidean, standardised with train statistics), weights 1/d; zero
+    distances take all the weight.
+
+    A lazy learner's model is its training rows, so they are bounded: at most
+    ``max_train``, stratified by class (exact while the training part has no more).
+    They are sent to the tasks as one small matrix of that size; every test row is
+    scored in place, in chunks of bounded size, with no shuffle and no copy of a row.
+    A missing value counts as the mean."""
     p = len(features)
     stats = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)],
                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    z = [((F.col(c).cast("double") - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0)).alias(f"f{i}")
-         for i, c in enumerate(features)]
-    tr = train.select(F.monotonically_increasing_id().alias("rid"), F.col(label).cast("int").alias("y"), *z)
-    te = test.select(F.monotonically_increasing_id().alias("qid"), *[F.col(c) for c in keys],
-                     F.col(label).cast("int").alias("label"), *z)
-    te = te.persist()
-    tile_tr = F.pmod(F.xxhash64("rid"), F.lit(tiles))
-    tile_te = F.pmod(F.xxhash64("qid"), F.lit(tiles))
-    # each train row joins every test tile, each test row every train tile
-    trx = tr.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("b", tile_tr)
-    tex = te.select("qid", *[f"f{i}" for i in range(p)]).withColumn("a", tile_te).withColumn(
-        "b", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    fcols = [f"f{i}" for i in range(p)]
-
-    def best(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64"),
-                                 "rid": pd.Series([], dtype="int64"), "y": pd.Series([], dtype="int32")})
-        Q, R = q[fcols].to_numpy(float), r[fcols].to_numpy(float)
-        out = []
-        for s in range(0, len(Q), 2048):  # bounded memory per chunk of queries
-            d = np.sqrt(np.maximum(((Q[s:s + 2048, None, :] - R[None, :, :]) ** 2).sum(-1), 0.0))
-            kk = min(k, d.shape[1])
-            idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-            rows = np.repeat(np.arange(s, s + len(idx)), kk)
-            out.append(pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "d": d[np.arange(len(idx))[:, None], idx].ravel(),
-                                     "rid": r["rid"].to_numpy()[idx.ravel()], "y": r["y"].to_numpy()[idx.ravel()]}))
-        return pd.concat(out, ignore_index=True)
-
-    cand = (tex.groupBy("a", "b").cogroup(trx.groupBy("a", "b"))
-               .applyInPandas(best, "qid long, d double, rid long, y int"))
-    w = Window.partitionBy("qid").orderBy("d", "rid")
-    nn = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    zero = F.col("d") == 0
-    agg = nn.groupBy("qid").agg(
-        F.max(zero.cast("int")).alias("has_zero"),
-        F.sum(F.when(zero & (F.col("y") == 1), 1.0).otherwise(0.0)).alias("z1"),
-        F.sum(F.when(zero, 1.0).otherwise(0.0)).alias("z0"),
-        F.sum(F.when(F.col("y") == 1, F.try_divide(F.lit(1.0), F.col("d"))).otherwise(0.0)).alias("w1"),
-        F.sum(F.try_divide(F.lit(1.0), F.col("d"))).alias("w0"))
-    proba = F.when(F.col("has_zero") == 1, F.col("z1") / F.col("z0")).otherwise(F.col("w1") / F.col("w0"))
-    res = agg.select("qid", proba.alias("probability"))
-    out = te.select("qid", *keys, "label").join(res, "qid", "left").drop("qid")
+    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(p)])
+    scale = np.array([stats[f"s{i}"] or 1.0 for i in range(p)])
+    X, y = knn_train_rows(train, features, label, max_train)
+    R = np.nan_to_num((X - mean) / scale)
+    fields = [f for f in test.select(*keys).schema.fields]
+    from pyspark.sql import types as T
+    schema = T.StructType([*fields, T.StructField("label", T.IntegerType()), T.StructField("probability", T.DoubleType())])
+    names = [*keys, "label"]
+
+    def neighbours(Q):
+        """Distances and training rows of the k nearest, over blocks of training rows."""
+        best_d = np.full((len(Q), 0), np.inf)
+        best_i = np.zeros((len(Q), 0), int)
+        step = max(1, KNN_CELLS // max(1, len(Q) * p))
+        for at in range(0, len(R), step):
+            d = np.sqrt(((Q[:, None, :] - R[None, at:at + step, :]) ** 2).sum(-1))
+            d = np.concatenate([best_d, d], axis=1)
+            i = np.concatenate([best_i, np.broadcast_to(np.arange(at, at + d.shape[1] - best_d.shape[1]), (len(Q), d.shape[1] - best_d.shape[1]))], axis=1)
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            best_d, best_i = np.take_along_axis(d, near, 1), np.take_along_axis(i, near, 1)
+        return best_d, best_i
+
+    def score(batches):
+        for pdf in batches:
+            Q = np.nan_to_num((pdf[[f"f{i}" for i in range(p)]].to_numpy(float) - mean) / scale)
+            prob = np.full(len(Q), np.nan)
+            for at in range(0, len(Q) if len(R) else 0, 1024):
+                d, i = neighbours(Q[at:at + 1024])
+                one, zero = y[i] == 1, d == 0
+                with np.errstate(divide="ignore"):
+                    w = np.where(zero.any(1, keepdims=True), zero, 1.0 / d)
+                prob[at:at + 1024] = (w * one).sum(1) / w.sum(1)
+            out = pdf[names].copy()
+            out["probability"] = prob
+            yield out
+
+    rows = test.select(*keys, F.col(label).cast("int").alias("label"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+    out = rows.mapInPandas(score, schema).withColumn("probability", F.when(~F.isnan("probability"), F.col("probability")))
     return out.withColumn("prediction", (F.col("probability") > F.lit(0.5)).cast("int"))
 
 
@@ -302,7 +318,7 @@ def compare_models(train: DataFrame, test: DataFrame, features: list[str], names
     for name in names:
         try:
             f = fit(train, features, name, label)
-        except Exception as e:  # a model that cannot train is reported, not fatal
+        except OneClassError as e:  # named case: reported, not fatal
             rows.append((name, None, None, None, None, None, None, None, None, str(e).splitlines()[0][:200]))
             continue
         s_te, s_tr = f.score(test), f.score(train)

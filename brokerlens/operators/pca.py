@@ -31,6 +31,7 @@ class PcaFit:
     total_variance: float
     pipeline: object
     signs: np.ndarray
+    means: dict
 
     @property
     def eigenvalues(self):
@@ -42,9 +43,12 @@ class PcaFit:
 
 
 def fit_pca(df: DataFrame, features: list[str], k: int | None = None, standardize: bool = True) -> PcaFit:
+    """Fit on every row: a missing value (null or NaN) counts as its column's mean."""
     k = k or len(features)
+    means = _means(df, features)
+    df = _filled(df, features, means)
     pipe = Pipeline(stages=[
-        VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip"),
+        VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="error"),
         StandardScaler(withMean=True, withStd=standardize, inputCol="_raw", outputCol="_x"),
         PCA(k=k, inputCol="_x", outputCol="_pc")]).fit(df)
     pca = pipe.stages[-1]
@@ -55,7 +59,22 @@ def fit_pca(df: DataFrame, features: list[str], k: int | None = None, standardiz
         total = float(len(features))
     else:
         total = float(sum(r or 0.0 for r in df.agg(*[F.var_samp(F.col(c)) for c in features]).first()))
-    return PcaFit(features, pc * signs[None, :], pca.explainedVariance.toArray(), total, pipe, signs)
+    return PcaFit(features, pc * signs[None, :], pca.explainedVariance.toArray(), total, pipe, signs, means)
+
+
+def _known(c: str):
+    """The value as a double, null when it is null or NaN."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _means(df: DataFrame, features: list[str]) -> dict:
+    row = df.agg(*[F.avg(_known(c)).alias(c) for c in features]).first()
+    return {c: row[c] if row[c] is not None else 0.0 for c in features}
+
+
+def _filled(df: DataFrame, features: list[str], means: dict) -> DataFrame:
+    return df.withColumns({c: F.coalesce(_known(c), F.lit(means[c])) for c in features})
 
 
 def pca_variance(spark: SparkSession, fit: PcaFit) -> DataFrame:
@@ -74,8 +93,9 @@ def pca_components_needed(spark: SparkSession, fit: PcaFit, thresholds=THRESHOLD
 
 
 def pca_project(df: DataFrame, fit: PcaFit, n: int = 2, keep=("mqtt_message_id", "is_ddos")) -> DataFrame:
-    """Scores on the first ``n`` components (sign-fixed) with the kept columns."""
-    t = fit.pipeline.transform(df).withColumn("_a", vector_to_array("_pc"))
+    """Scores on the first ``n`` components (sign-fixed) with the kept columns, for every row;
+    a missing value counts as the fitted mean."""
+    t = fit.pipeline.transform(_filled(df, fit.features, fit.means)).withColumn("_a", vector_to_array("_pc"))
     keep = [c for c in keep if c in df.columns]
     return t.select(*keep, *[(F.col("_a")[i] * F.lit(float(fit.signs[i]))).alias(f"PC{i + 1}") for i in range(n)])
 

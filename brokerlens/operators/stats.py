@@ -93,19 +93,17 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     sums of the requested pairs (columns shifted by their mean, taken
     first as one small row, for numerical stability).  Within one
     pattern a pair is complete on every row or on none, so a pair's
-    statistics are sums over the patterns where both columns are present.
-    Like MLlib's ``Correlation``, the small summary (patterns x pairs
-    numbers, independent of the row count) is finished on the driver.
-    Null when a column is constant over the pair's rows (min = max).
+    statistics are sums over the patterns where both columns are present:
+    each pattern's row is exploded into its complete pairs, and those are
+    added up.  Null when a column is constant over the pair's rows
+    (min = max).
     """
-    import numpy as np
     order = [a for p in pairs for a in p]
     cols = sorted(set(order), key=order.index)
     idx = {c: i for i, c in enumerate(cols)}
     x = {c: _q(c).cast("double") for c in cols}
     means = df.agg(*[F.avg(x[c]).alias(f"m{idx[c]}") for c in cols]).first()
     xs = {c: x[c] - F.lit(float(means[f"m{idx[c]}"] or 0.0)) for c in cols}
-    pattern = sum((F.when(x[c].isNull(), F.lit(1 << idx[c])).otherwise(F.lit(0)) for c in cols), F.lit(0))
     prod = sorted({(min(idx[a], idx[b]), max(idx[a], idx[b])) for a, b in pairs if a != b})
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
@@ -113,25 +111,27 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         aggs += [F.sum(xs[c]).alias(f"s{i}"), F.sum(xs[c] * xs[c]).alias(f"q{i}"),
                  F.min(x[c]).alias(f"lo{i}"), F.max(x[c]).alias(f"hi{i}")]
     aggs += [F.sum(xs[cols[i]] * xs[cols[j]]).alias(f"p{i}_{j}") for i, j in prod]
-    rows = df.groupBy(pattern.alias("pattern")).agg(*aggs).collect()
-    out = []
-    for a, b in pairs:
+    per = df.groupBy(F.array(*[x[c].isNotNull() for c in cols]).alias("present")).agg(*aggs)
+
+    def sums(k, a, b):
         i, j = idx[a], idx[b]
-        mask = (1 << i) | (1 << j)
-        sel = [r for r in rows if (r["pattern"] & mask) == 0]
-        corr = None
-        if sel:
-            n = float(sum(r["n"] for r in sel))
-            sa, sb = sum(r[f"s{i}"] for r in sel), sum(r[f"s{j}"] for r in sel)
-            qa, qb = sum(r[f"q{i}"] for r in sel), sum(r[f"q{j}"] for r in sel)
-            sab = qa if i == j else sum(r[f"p{min(i, j)}_{max(i, j)}"] for r in sel)
-            lo_a, hi_a = min(r[f"lo{i}"] for r in sel), max(r[f"hi{i}"] for r in sel)
-            lo_b, hi_b = min(r[f"lo{j}"] for r in sel), max(r[f"hi{j}"] for r in sel)
-            va, vb = qa - sa * sa / n, qb - sb * sb / n
-            if lo_a < hi_a and lo_b < hi_b and va > 0 and vb > 0:
-                corr = float(np.clip((sab - sa * sb / n) / np.sqrt(va * vb), -1.0, 1.0))
-        out.append((a, b, corr))
-    return df.sparkSession.createDataFrame(out, "feature_x string, feature_y string, corr double")
+        ab = F.col(f"q{i}") if i == j else F.col(f"p{min(i, j)}_{max(i, j)}")
+        both = F.col("present")[i] & F.col("present")[j]
+        return F.when(both, F.struct(F.lit(k).alias("k"), F.col("n"), F.col(f"s{i}").alias("sa"), F.col(f"s{j}").alias("sb"),
+                                     F.col(f"q{i}").alias("qa"), F.col(f"q{j}").alias("qb"), ab.alias("ab"),
+                                     F.col(f"lo{i}").alias("la"), F.col(f"hi{i}").alias("ha"),
+                                     F.col(f"lo{j}").alias("lb"), F.col(f"hi{j}").alias("hb")))
+
+    long = per.select(F.explode(F.array(*[sums(k, a, b) for k, (a, b) in enumerate(pairs)])).alias("r")).where("r IS NOT NULL").select("r.*")
+    t = long.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "ab")],
+                              *[F.min(c).alias(c) for c in ("la", "lb")], *[F.max(c).alias(c) for c in ("ha", "hb")])
+    n = F.col("n").cast("double")
+    va, vb = F.col("qa") - F.col("sa") * F.col("sa") / n, F.col("qb") - F.col("sb") * F.col("sb") / n
+    r = (F.col("ab") - F.col("sa") * F.col("sb") / n) / F.sqrt(va * vb)
+    varies = (F.col("la") < F.col("ha")) & (F.col("lb") < F.col("hb")) & (va > 0) & (vb > 0)
+    corr = t.select("k", F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("corr"))
+    spine = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, feature_x string, feature_y string")
+    return F.broadcast(spine).join(corr, "k", "left").select("feature_x", "feature_y", "corr")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -165,18 +165,20 @@ def _long_features(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 def anova_f(df: DataFrame, cols: list[str], label: str = "is_ddos") -> DataFrame:
     """One-way ANOVA F of each feature across the label classes (as
     ``f_classif``): F = (SSB / (k-1)) / (SSW / (n-k)).  Per-class count,
-    mean and population variance come from one grouped pass; the rest is
-    arithmetic on (features x classes) rows.  Null when SSW is 0."""
-    lf = _long_features(df, cols, label).where(F.col("x").isNotNull() & F.col("label").isNotNull())
-    per = lf.groupBy("feature", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"),
-                                             F.var_pop("x").alias("v"))
+    mean and population variance come from one pass grouped by class, all
+    features side by side; the rest is arithmetic on (features x classes)
+    rows.  Null when SSW is 0, and with a single class."""
+    by_class = df.where(_q(label).isNotNull()).groupBy(_q(label).alias("label")).agg(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.count(_q(c)).alias("n"), F.avg(_q(c).cast("double")).alias("m"),
+                 F.var_pop(_q(c).cast("double")).alias("v")) for c in cols]).alias("s"))
+    per = by_class.select("label", F.explode("s").alias("r")).select("label", "r.*").where(F.col("n") > 0)
     tot = per.groupBy("feature").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
                                      (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))
     j = per.join(tot, "feature")
     agg = j.groupBy("feature", "n_total", "k").agg(
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("gm"), 2)).alias("ssb"),
         F.sum(F.col("n") * F.col("v")).alias("ssw"))
-    f = ratio(F.col("ssb") / (F.col("k") - F.lit(1)), F.col("ssw") / (F.col("n_total") - F.col("k")))
+    f = ratio(ratio(F.col("ssb"), F.col("k") - F.lit(1)), ratio(F.col("ssw"), F.col("n_total") - F.col("k")))
     return agg.select("feature", F.when(F.col("ssw") > 0, f).alias("f_score"))
 
 

@@ -30,7 +30,7 @@ def scored(spark, sf, cut=0.25):
 
 def model_scores(spark, sf):
     base = scored(spark, sf).drop("prediction")
-    part = F.when(F.col("ts") < F.to_timestamp(F.lit(CUTOFF)), "train").otherwise("test")
+    part = F.when(F.col("ts").isNull() | (F.col("ts") < F.to_timestamp(F.lit(CUTOFF))), "train").otherwise("test")
     # one row per (message, model): the three cut-offs as an explode, not a join
     cuts = F.array(*[F.struct(F.lit(k).alias("model"), F.lit(v).alias("cut")) for k, v in CUTS.items()])
     return (base.withColumn("part", part).withColumn("m", F.explode(cuts))
@@ -136,7 +136,7 @@ def q_proba_hist(spark, sf):
 
 MS = f"""
 , ms AS (SELECT s.mqtt_message_id, s.label, s.probability,
-                CASE WHEN s.ts < TIMESTAMP '{CUTOFF}' THEN 'train' ELSE 'test' END AS part, c.model,
+                CASE WHEN s.ts IS NULL OR s.ts < TIMESTAMP '{CUTOFF}' THEN 'train' ELSE 'test' END AS part, c.model,
                 CASE WHEN s.probability > c.cut THEN 1 ELSE 0 END AS prediction
          FROM scored s, (VALUES ('t15', 0.15), ('t25', 0.25), ('t35', 0.35)) c(model, cut)),
 mc AS (SELECT model, part, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,

@@ -22,7 +22,7 @@ from brokerlens.streaming.rate_limit import rate_limit_alerts
 
 def shared_dir(spark):
     """A fresh folder under the session's shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark, local_fallback=True)
+    base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/out-{uuid.uuid4().hex}"
 
 

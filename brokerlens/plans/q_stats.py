@@ -38,7 +38,7 @@ def txt(c):
 # DuckDB: feature frame, train-fitted medians, parts
 PREP = ", feat AS (SELECT mqtt_message_id, ts, " + ", ".join(
     f"CAST({c} AS DOUBLE) AS {c}" for c in F10) + f""", is_ddos,
-       CASE WHEN ts < TIMESTAMP '{CUTOFF}' THEN 'train' ELSE 'test' END AS part FROM labelled WHERE ts IS NOT NULL),
+       CASE WHEN ts < TIMESTAMP '{CUTOFF}' THEN 'train' ELSE 'test' END AS part FROM labelled),
 med AS (SELECT """ + ", ".join(f"median({c}) FILTER (WHERE NOT isinf({c})) AS {c}" for c in F10) + """
         FROM feat WHERE part = 'train'),
 clean AS (SELECT f.mqtt_message_id, f.ts, f.is_ddos, f.part, """ + ", ".join(
@@ -71,7 +71,7 @@ APPLY_COLS = ["general_ip", "mqtt_topic"]
 
 
 @register("label_encode_apply", oq(f"""
-, tr AS (SELECT * FROM labelled WHERE ts < TIMESTAMP '{CUTOFF}'),
+, tr AS (SELECT * FROM labelled WHERE ts IS NULL OR ts < TIMESTAMP '{CUTOFF}'),
 te AS (SELECT * FROM labelled WHERE ts >= TIMESTAMP '{CUTOFF}'),
 emap AS (""" + enc_map_sql(APPLY_COLS, "tr") + ") SELECT t.mqtt_message_id, " + ", ".join(
     f"coalesce((SELECT code FROM emap WHERE \"column\" = '{c}' AND value = {txt('t.' + c)}), "

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brokerlens.operators.cleaning import MODEL_FEATURES, fit_medians, impute_median, replace_infinite
 
-CUTOFF = "2024-01-25 00:00:00"
+CUTOFF = "2024-01-25 00:00:00"      # of the fixture's messages
 
 
 def model_frame(labelled: DataFrame, features=MODEL_FEATURES, label: str = "is_ddos",
@@ -22,11 +22,12 @@ def model_frame(labelled: DataFrame, features=MODEL_FEATURES, label: str = "is_d
     return labelled.select(*keys, *[F.col(c).cast("double").alias(c) for c in feats], F.col(label))
 
 
-def time_split(df: DataFrame, cutoff: str = CUTOFF, ts: str = "ts"):
+def time_split(df: DataFrame, cutoff: str, ts: str = "ts"):
     """Temporal hold-out: train before ``cutoff``, test from it on (a
-    filter, pushed down to the scan)."""
+    filter, pushed down to the scan).  A message without a time is no
+    evidence of the future: it goes to the training part."""
     t = F.to_timestamp(F.lit(cutoff))
-    return df.where(F.col(ts) < t), df.where(F.col(ts) >= t)
+    return df.where(F.col(ts).isNull() | (F.col(ts) < t)), df.where(F.col(ts) >= t)
 
 
 def clean_parts(train: DataFrame, test: DataFrame, features: list[str]):

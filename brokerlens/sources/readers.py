@@ -12,28 +12,41 @@ from brokerlens.sources.schema import MESSAGE_SCHEMA
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "csv",
                   schema: T.StructType = MESSAGE_SCHEMA,
-                  keep_corrupt: bool = False) -> DataFrame:
-    """Load messages with an explicit schema (no inference pass over the data).
+                  keep_corrupt: bool = False, multiline: bool = False) -> DataFrame:
+    """Load messages with an explicit schema (no inference pass over the data); NaN becomes null.
 
-    CSV is read PERMISSIVE: a malformed field becomes null; with
-    ``keep_corrupt`` the raw line is kept in ``_corrupt_record``.
+    CSV columns are found by the name in the header, in whatever order they
+    come; columns that the file does not have are null, others are left out.
+    All files of a path must have the header of the first (else the read
+    fails).  CSV is read PERMISSIVE: a malformed field becomes null; with
+    ``keep_corrupt`` the raw line is kept in ``_corrupt_record``.  With
+    ``multiline`` a quoted value may hold line breaks; a file is then read
+    by one task, however large it is.
     """
     if fmt == "csv":
-        sch = schema
-        if keep_corrupt:
-            sch = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-        reader = (spark.read.schema(sch).option("header", True).option("mode", "PERMISSIVE")
-                  .option("escape", '"'))
-        if keep_corrupt:
-            reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
-        return reader.csv(path)
+        return nan_to_null(_read_csv(spark, path, schema, keep_corrupt, multiline))
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return nan_to_null(spark.read.parquet(path))
     if fmt == "json":
-        return spark.read.schema(schema).json(path)
+        return nan_to_null(spark.read.schema(schema).json(path))
     raise ValueError(f"unknown format {fmt}")
 
 
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool, multiline: bool) -> DataFrame:
+    options = {"header": True, "mode": "PERMISSIVE", "escape": '"', "multiLine": multiline}
+    header = spark.read.options(**options).csv(path).columns     # reads the first line only
+    typed = {f.name: f for f in schema.fields}
+    fields = [typed.get(c, T.StructField(c, T.StringType())) for c in header]
+    wanted = list(schema.fields)
+    if keep_corrupt:
+        extra = T.StructField("_corrupt_record", T.StringType())
+        fields, wanted = fields + [extra], wanted + [extra]
+        options["columnNameOfCorruptRecord"] = "_corrupt_record"
+    got = spark.read.schema(T.StructType(fields)).options(**options, enforceSchema=False).csv(path)
+    have = {f.name for f in fields}
+    return got.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def cached_messages(df: DataFrame) -> DataFrame:
     """Memoised load: keep the table for several reports (spills to disk)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

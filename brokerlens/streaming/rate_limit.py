@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from brokerlens.operators.detect import RATE_LIMIT_PER_MINUTE
@@ -70,5 +71,8 @@ def rate_limit_alerts(spark: SparkSession, stream: DataFrame, base_dir: str, lim
     q.awaitTermination()
     try:
         return read_alerts(spark, f"{run}/alerts")
-    except Exception:  # no micro-batch produced an alert: empty result with the schema
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # no micro-batch has run, so none wrote: empty result with the schema
         return spark.createDataFrame([], "general_ip string, window_start timestamp, window_end timestamp, messages bigint")

@@ -41,7 +41,7 @@ def test_knn_exact_against_brute_force(spark):
                                "mqtt_message_id long, a double, b double, c double, is_ddos int")
     te = spark.createDataFrame([(1000 + i, *map(float, Xte[i]), 0) for i in range(n_te)],
                                "mqtt_message_id long, a double, b double, c double, is_ddos int")
-    got = {r["mqtt_message_id"]: r["probability"] for r in M.knn_predict(tr, te, ["a", "b", "c"], 5, tiles=3).collect()}
+    got = {r["mqtt_message_id"]: r["probability"] for r in M.knn_predict(tr, te, ["a", "b", "c"], 5).collect()}
     mu, sd = Xtr.mean(0), Xtr.std(0)
     A, B = (Xtr - mu) / sd, (Xte - mu) / sd
     for i in range(n_te):
