@@ -206,7 +206,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = Fals
     gone = duplicate_lines(docs, min_words)
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     d = docs.select(whole_row, F.col("doc_id").alias("id"), F.col("text").alias("old"), _text_key()).alias("d")
-    j = d.join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.mark") == F.col("g.mark")), "left")
+    # always a sort-merge join: the texts move the same way whatever the input's size
+    j = d.join(gone.alias("g").hint("merge"), F.col("d.id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.mark") == F.col("g.mark")), "left")
     changed = F.col("g.gone").isNotNull()
     # only changed texts travel to Python
     j = j.select("d.doc", "d.id", "d.old", "g.gone", "g.earlier",

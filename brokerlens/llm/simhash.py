@@ -216,7 +216,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MA
                                  .select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     on = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
-    kept = docs.select(whole_row, F.col("doc_id").alias("id"), mark.alias("mark")).join(gone, on, "left_anti")
+    kept = docs.select(whole_row, F.col("doc_id").alias("id"), mark.alias("mark")).join(gone.hint("merge"), on, "left_anti")
     if not again.isEmpty():
         # repeated rows of a kept document: one of them stays
         repeated = kept.join(again, on, "left_semi").dropDuplicates(["id", "mark"])
