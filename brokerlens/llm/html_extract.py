@@ -29,7 +29,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brokerlens.llm.common import documents
+from brokerlens.llm.common import Scratch, documents
 
 SEEDS = 12
 CONSTANT_PAGES = 3     # seed pages on which a text must be the same
@@ -404,12 +404,13 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, seeds: int = SEEDS) -> DataFrame:
+def templates(pages: DataFrame, scratch: Scratch, seeds: int = SEEDS) -> DataFrame:
     """(host, template): the template of each host as JSON, from its seed pages."""
     known = pages.where(F.length("html") > 0).select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("mark"), "page_id", "html")
     distinct = known.groupBy("host", "mark").agg(F.min("page_id").alias("page_id"))
     nth = F.row_number().over(Window.partitionBy("host").orderBy("mark"))
-    chosen = distinct.withColumn("nth", nth).where(F.col("nth") <= seeds).drop("nth")
+    # written, so that its size is known before the pages' html is moved for it
+    chosen = scratch.table(distinct.withColumn("nth", nth).where(F.col("nth") <= seeds).drop("nth"))
     k, c = known.alias("k"), chosen.alias("c")
     on = (F.col("k.host") == F.col("c.host")) & (F.col("k.mark") == F.col("c.mark")) & F.col("k.page_id").eqNullSafe(F.col("c.page_id"))
     seed = k.join(c, on, "left_semi").select("host", "mark", "html")
@@ -426,9 +427,9 @@ def templates(pages: DataFrame, seeds: int = SEEDS) -> DataFrame:
 
 def extract_text(pages: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """(page_id, url, text) per page row: the main text of the whole html."""
-    from brokerlens.llm.common import Scratch
+    scratch = Scratch(pages.sparkSession, "wrappers")
     kind = dict(pages.dtypes)["page_id"]
-    known = Scratch(pages.sparkSession, "wrappers").table(templates(pages, seeds))
+    known = scratch.table(templates(pages, scratch, seeds))
 
     def run(batches):
         import json

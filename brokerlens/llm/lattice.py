@@ -9,9 +9,10 @@ double precision.
 
 Clumps.  Vectors within ``CLUMP_DEGREES`` of a leader are filed as one clump, in two rounds,
 first by one table's cells and then by another's.  Members of a clump are
-all linked to each other; two clumps are compared through their leaders and
-radii, and only where those leave a doubt are members compared.  So a
-group of near copies makes a number of rows in proportion to its size.
+all linked to each other.  Clumps of which members meet are compared through
+their leaders and radii, then a member with the other leader, and only where
+those leave a doubt are members compared.  So a group of near copies makes a
+number of rows in proportion to its size.
 
 Recall.  ``TABLES`` tables with ``PROBES`` neighbours find a pair at exactly the
 least cosine with a probability of about 0.99, closer pairs more often
@@ -38,7 +39,8 @@ COSINE = 0.95
 SCALE = 3.0            # of a projected unit vector; larger cells hold more of their surroundings
 TABLES = 10
 PROBES = 8
-CLUMP_DEGREES = 4.0
+CLUMP_DEGREES = 9.0    # at most half the angle of the least cosine: members of a clump all link
+CLUMP_SCALE = 1.5      # coarser cells than those of the search
 SHARE = 4096           # vectors of a cell that one task clumps, on average
 SKETCH_CUT = 36        # of 128 signs: a pair at 0.95 differs in 13 on average, deviation 3.4
 SEED = 11
@@ -115,30 +117,41 @@ def probe_keys(units, table: int, scale: float = SCALE, probes: int = PROBES):
 
 
 def _by_dimension(column):
-    """(row numbers, matrix) for each length among the vectors of an Arrow list column."""
+    """(row numbers, matrix) for each length among the vectors of an Arrow list column; null
+    vectors are left out, null components are NaN."""
     import numpy as np
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    offsets = column.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    length = np.diff(offsets)
-    for dim in np.unique(length):
+    import pyarrow.compute as pc
+    length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    flat = pc.fill_null(column.flatten().cast("float64"), float("nan")).to_numpy(zero_copy_only=False)
+    start = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+    for dim in np.unique(length[length >= 0]):
         rows = np.flatnonzero(length == dim)
-        yield rows, flat[offsets[rows][:, None] + np.arange(dim)]
+        yield rows, flat[start[rows][:, None] + np.arange(dim)]
 
 
 def unit_vectors(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rid, vec_id, unit) of the vectors that can link, and (rid, vec_id) of the others."""
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    # scaled by the largest component first: no overflow in the squares
-    top = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    rows = scratch.table(vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", v.alias("v")))
-    rows = rows.withColumn("ok", F.coalesce(F.col("v").isNotNull() & finite, F.lit(False)))
-    rows = rows.withColumn("top", F.when(F.col("ok"), top)).withColumn("ok", F.coalesce(F.col("top") > 0, F.lit(False)))
-    good = rows.where("ok").withColumn("v", F.transform("v", lambda x: x / F.col("top")))
-    good = good.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    good = scratch.table(good.select("rid", "vec_id", F.transform("v", lambda x: x / F.col("norm")).alias("unit")))
-    return good, rows.where(~F.col("ok")).select("rid", "vec_id")
+    kind = dict(vectors.dtypes)["vec_id"]
+
+    def scaled(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            units: list = [None] * batch.num_rows
+            for rows, x in _by_dimension(batch.column(2)):
+                # by the largest component first: no overflow in the squares
+                top = np.abs(x).max(axis=1, initial=0.0)
+                ok = np.isfinite(top) & (top > 0)
+                x = x[ok] / top[ok, None]
+                x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                for r, u in zip(rows[ok], x):
+                    units[r] = u
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.float64()))],
+                                             names=["rid", "vec_id", "unit"])
+
+    rows = scratch.table(vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.col("embedding"))
+                                .mapInArrow(scaled, f"rid long, vec_id {kind}, unit array<double>"))
+    return rows.where(F.col("unit").isNotNull()), rows.where(F.col("unit").isNull()).select("rid", "vec_id")
 
 
 def _clump_round(clumps: DataFrame, table: int, scratch: Scratch) -> DataFrame:
@@ -149,7 +162,7 @@ def _clump_round(clumps: DataFrame, table: int, scratch: Scratch) -> DataFrame:
         for batch in batches:
             keys = np.zeros(batch.num_rows, np.int64)
             for rows, units in _by_dimension(batch.column(1)):
-                keys[rows] = cell_keys(units, table)
+                keys[rows] = cell_keys(units, table, CLUMP_SCALE)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=["rid", "unit", "radius", "cell"])
 
     cells = scratch.table(clumps.select("rid", "unit", "radius").mapInArrow(keyed, "rid long, unit array<double>, radius double, cell long"))
@@ -209,8 +222,12 @@ def clump(good: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return member, clumps
 
 
-def near_clumps(clumps: DataFrame, scratch: Scratch, cosine: float, scale: float, tables: int, probes: int) -> DataFrame:
-    """(a, b, dot): pairs of clumps, a < b, that meet in a table and whose members may link."""
+def near_clumps(member: DataFrame, clumps: DataFrame, scratch: Scratch, cosine: float, scale: float, tables: int,
+                probes: int) -> DataFrame:
+    """(a, b, ra, rb, dot): pairs of clumps, a < b, of which members meet in a table and may link.
+
+    Every member is filed and asks, but under its clump: members of one clump in one cell count once.
+    Sketches only rule out pairs of lone vectors."""
     def keyed(batches):
         import numpy as np
         import pyarrow as pa
@@ -222,16 +239,19 @@ def near_clumps(clumps: DataFrame, scratch: Scratch, cosine: float, scale: float
                     keys[rows, t] = probe_keys(units, t + 2, scale, probes)
                 bits = np.packbits(units @ _rng(3, units.shape[1]).normal(size=(units.shape[1], 128)) >= 0, axis=1)
                 signs[rows] = np.ascontiguousarray(bits).view(np.int64)
+            lone = ~batch.column(2).to_numpy(zero_copy_only=False)
             own = pa.array(list(keys[:, :, 0]), pa.list_(pa.int64()))
             asked = pa.array(list(keys.reshape(n, -1)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs[:, 0]), pa.array(signs[:, 1]), own, asked],
-                                             names=["rid", "s0", "s1", "own", "asked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(signs[:, i], mask=~lone) for i in (0, 1)], own, asked],
+                                             names=["clump", "s0", "s1", "own", "asked"])
 
-    k = scratch.table(clumps.select("rid", "unit").mapInArrow(keyed, "rid long, s0 long, s1 long, own array<long>, asked array<long>"))
-    filed = k.select(F.col("rid").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.explode("own").alias("key"))
-    asked = k.select(F.col("rid").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.explode("asked").alias("key"))
+    k = scratch.table(member.select("clump", "unit", "several").mapInArrow(
+        keyed, "clump long, s0 long, s1 long, own array<long>, asked array<long>"))
+    filed = k.select(F.col("clump").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.explode("own").alias("key")).distinct()
+    asked = k.select(F.col("clump").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.explode("asked").alias("key")).distinct()
     differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    met = asked.join(filed, (asked["key"] == filed["key"]) & (F.col("a") != F.col("b")) & (differ <= SKETCH_CUT))
+    met = asked.join(filed, (asked["key"] == filed["key"]) & (F.col("a") != F.col("b"))
+                     & F.coalesce(differ <= SKETCH_CUT, F.lit(True)))
     pairs = scratch.table(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left = clumps.select(F.col("rid").alias("a"), F.col("unit").alias("ua"), F.col("radius").alias("ra"))
     right = clumps.select(F.col("rid").alias("b"), F.col("unit").alias("ub"), F.col("radius").alias("rb"))
@@ -246,10 +266,14 @@ def near_clumps(clumps: DataFrame, scratch: Scratch, cosine: float, scale: float
 def vector_links(vectors: DataFrame, cosine: float = COSINE, scale: float = SCALE, tables: int = TABLES,
                  probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding)."""
+    if 2 * CLUMP_DEGREES >= math.degrees(math.acos(cosine)):
+        raise ValueError("CLUMP_DEGREES must be less than half the angle of the least cosine")
     scratch = Scratch(vectors.sparkSession, "lattice")
     good, bad = unit_vectors(vectors, scratch)
     member, clumps = clump(good, scratch)
-    near = near_clumps(clumps, scratch, cosine, scale, tables, probes)
+    sized = clumps.select(F.col("rid").alias("clump"), (F.col("n") > 1).alias("several"))
+    placed = scratch.table(good.select("rid", "unit").join(member, "rid").join(sized, "clump"))
+    near = near_clumps(placed, clumps, scratch, cosine, scale, tables, probes)
     widest, eps = math.acos(cosine), 1e-9
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("dot"))))
     single = (F.col("ra") == 0) & (F.col("rb") == 0)
@@ -260,7 +284,7 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, scale: float = SCAL
     whole = both.where("all").join(n, "b").groupBy("a").agg(F.sum("n_b").alias("whole"))
 
     # clumps that may link in part: each member of one against the other's leader, then against its members
-    m = member.join(good.select("rid", "unit"), "rid").select("rid", "clump", "unit")
+    m = placed.select("rid", "clump", "unit")
     doubt = scratch.table(both.where(~F.col("all")).select("a", "b"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     lead = clumps.select(F.col("rid").alias("b"), F.col("unit").alias("ub"), F.col("radius").alias("rb"), F.col("n").alias("n_b"))

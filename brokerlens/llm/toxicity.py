@@ -45,6 +45,7 @@ LONGEST = 64           # words of a training window
 MIN_G = 25.0
 NEAR = 8               # plain words beside a feature word that are stepped through singly
 THRESHOLD = 0.7
+KNOWN = 100_000        # words whose factors a worker keeps
 BEGINNINGS = (4, 5, 6)
 EDGE = re.compile(r"^\W+|\W+$")
 TOKEN = re.compile(r"\S+")
@@ -224,13 +225,13 @@ def _marginals(model: Model):
     """Arrow function over (key, text): key, highest marginal, expected toxic words, spans."""
     def run(batches):
         import pyarrow as pa
-        chain, known = Chain(model), {}          # factors of words, up to a million
+        chain, known = Chain(model), {}
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
         def document(text):
             words = text.split()
             new = set(words).difference(known)
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
                 new = set(words)
             for w in new:
@@ -367,19 +368,18 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score under ``threshold``, all columns, in one pass without a join."""
-    from pyspark.sql.types import DoubleType
-    from pyspark.sql.functions import pandas_udf
+    at = docs.columns.index("text")
     marginals = _marginals(model)
 
-    def top_expected(texts):
-        import pandas as pd
+    def keep(batches):
         import pyarrow as pa
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), pa.array(texts, pa.string(), from_pandas=True)], names=["key", "text"])
-        out = next(marginals(iter([batch])))
-        return pd.Series([model.score(t, e) for t, e in zip(out.column(1).to_pylist(), out.column(2).to_pylist())], dtype="float64")
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)], names=["key", "text"])
+            for got in marginals(iter([texts])):
+                score = [model.score(t, e) for t, e in zip(got.column(1).to_pylist(), got.column(2).to_pylist())]
+                yield batch.filter(pa.array([s < threshold for s in score], pa.bool_()))
 
-    udf = pandas_udf(top_expected, DoubleType())
-    return docs.where(udf(F.col("text")) < F.lit(threshold))
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def q_op5(spark, sf_dir: str) -> DataFrame:
