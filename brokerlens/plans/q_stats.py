@@ -130,7 +130,7 @@ ANOVA = PREP + ", lf AS (" + union(f"SELECT '{c}' AS feature, {c} AS x, is_ddos
 per AS (SELECT feature, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM lf
         WHERE x IS NOT NULL AND label IS NOT NULL GROUP BY 1, 2),
 tot AS (SELECT feature, sum(n) AS nn, count(*) AS k, sum(n * m) / sum(n) AS gm FROM per GROUP BY 1),
-fs AS (SELECT p.feature, CASE WHEN sum(n * v) > 0 THEN (sum(n * pow(m - gm, 2)) / (k - 1)) / (sum(n * v) / (nn - k)) END AS f_score
+fs AS (SELECT p.feature, CASE WHEN sum(n * v) > 0 THEN (sum(n * pow(m - gm, 2)) / nullif(k - 1, 0)) / (sum(n * v) / nullif(nn - k, 0)) END AS f_score
        FROM per p JOIN tot t USING (feature) GROUP BY p.feature, k, nn)"""
 
 
