@@ -122,9 +122,24 @@ def materialize(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/materialized-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MATERIALIZED.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+MATERIALIZED: list[str] = []
+
+
+def release_materialized(spark) -> int:
+    """Delete the tables that ``materialize`` wrote so far, once the results that read them are
+    done with; how many there were."""
+    conf = spark._jsc.hadoopConfiguration()
+    n = len(MATERIALIZED)
+    while MATERIALIZED:
+        p = spark._jvm.org.apache.hadoop.fs.Path(MATERIALIZED.pop())
+        p.getFileSystem(conf).delete(p, True)
+    return n
+
+
 def running_sums(df: DataFrame, group: list[str], order: str, cols: list[str],
                  descending: bool = False, parts: int | None = None, materialized: bool = False) -> DataFrame:
     """Add ``cum_<c>``: the sum of ``c`` over the rows of the same ``group``

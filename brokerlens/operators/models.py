@@ -37,7 +37,13 @@ class OneClassError(ValueError):
     """A model that needs both classes was given one."""
 
 
-def estimator(name: str, n_features: int, seed: int = 42):
+# layers and iterations the reference offers for its perceptron
+MLP_LAYERS = [(100,), (100, 50), (150, 100, 50)]
+MLP_ITERATIONS = (100, 500)
+
+
+def estimator(name: str, n_features: int, seed: int = 42, hidden=(100,), max_iter: int = 200):
+    """The MLlib estimator of a named configuration; ``hidden`` layers and ``max_iter`` are the perceptron's."""
     if name == "logistic":
         return LogisticRegression(maxIter=1000, labelCol="label")
     if name == "tree_simple":
@@ -49,7 +55,7 @@ def estimator(name: str, n_features: int, seed: int = 42):
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=5, seed=seed,
                                       labelCol="label")
     if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[n_features, 100, 2], maxIter=200, seed=seed, labelCol="label")
+        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, 2], maxIter=max_iter, seed=seed, labelCol="label")
     if name == "naive_bayes":
         return NaiveBayes(modelType="gaussian", labelCol="label")
     raise ValueError(name)
@@ -100,7 +106,7 @@ class Fitted:
         return _scored(pred, keys)
 
 
-def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos", seed: int = 42) -> Fitted:
+def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos", seed: int = 42, **options) -> Fitted:
     t0 = time.perf_counter()
     if name.startswith("knn_"):  # lazy learner: the training rows are the model
         return Fitted(name, features, label, train=train, seconds=0.0)
@@ -117,7 +123,7 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos"
         platt = LogisticRegression(labelCol="label", featuresCol="mvec").fit(platt_in)
         trz.unpersist()
         return Fitted(name, features, label, (svc, platt), scaler, rff=rff, seconds=time.perf_counter() - t0)
-    model = estimator(name, len(features), seed).fit(tr)
+    model = estimator(name, len(features), seed, **options).fit(tr)
     return Fitted(name, features, label, model, scaler, seconds=time.perf_counter() - t0)
 
 
@@ -262,7 +268,7 @@ def elbow_k(train: DataFrame, ranked_features: list[str], folds: int = 5, max_k:
     from brokerlens.operators.split import with_folds
     spark = train.sparkSession
     p = min(len(ranked_features), max_k)
-    base = with_folds(train, folds, seed).withColumn("label", F.col(label).cast("double"))
+    base = with_folds(train, folds, seed, label=label).withColumn("label", F.col(label).cast("double"))
     vec, _ = assemble(base, ranked_features[:p], scale=True)
     vec = vec.select("fold", "label", "features").persist()
     from concurrent.futures import ThreadPoolExecutor
@@ -287,12 +293,12 @@ def elbow_k(train: DataFrame, ranked_features: list[str], folds: int = 5, max_k:
 
 def cross_validate(train: DataFrame, features: list[str], name: str, folds: int = 3, label: str = "is_ddos",
                    seed: int = 42) -> DataFrame:
-    """Per fold: train and test accuracy and F1, and the gap (train - test accuracy)."""
+    """Per stratified fold: train and test accuracy and F1, and the gap (train - test accuracy); a
+    last row with a null fold holds the means."""
     from brokerlens.operators.evaluate import binary_metrics
     from brokerlens.operators.split import with_folds
     spark = train.sparkSession
-    base = with_folds(train, folds, seed, keys=["mqtt_message_id", "ts"] if "ts" in train.columns else
-                      ["mqtt_message_id"]).persist()
+    base = with_folds(train, folds, seed, label=label).persist()
     rows = []
     for f in range(folds):
         tr, te = base.where(F.col("fold") != f), base.where(F.col("fold") == f)
@@ -302,33 +308,41 @@ def cross_validate(train: DataFrame, features: list[str], name: str, folds: int
         mr = binary_metrics(sc_tr).first()
         rows.append((name, f, mr["accuracy"], mt["accuracy"], mr["f1"], mt["f1"], mr["accuracy"] - mt["accuracy"]))
     base.unpersist()
+    rows.append((name, None, *[float(np.mean([r[i] for r in rows])) for i in range(2, 7)]))
     return spark.createDataFrame(rows, "model string, fold int, train_accuracy double, test_accuracy double, "
                                        "train_f1 double, test_f1 double, gap double")
 
 
 def compare_models(train: DataFrame, test: DataFrame, features: list[str], names=MODEL_NAMES,
-                   label: str = "is_ddos") -> DataFrame:
+                   label: str = "is_ddos", folds: int | None = None) -> DataFrame:
     """Fit each model once, score both parts, and reduce its scores to one
     metrics row before the next model (the E3 comparison flow).  Returns
     model x (test accuracy, precision, recall, f1, roc_auc, train
-    accuracy, gap, overfit band, seconds, best)."""
+    accuracy, cross-validated means, gap, overfit band, seconds, best).
+
+    With ``folds`` the gap is the cross-validated one (mean train minus mean
+    test accuracy over the folds), otherwise that of the hold-out."""
     from brokerlens.operators.evaluate import binary_metrics, overfit_band, roc_auc
     spark = train.sparkSession
     rows = []
+    train, test = train.persist(), test.persist()
     for name in names:
         try:
             f = fit(train, features, name, label)
+            cv = cross_validate(train, features, name, folds, label).where("fold IS NULL").first() if folds else None
         except OneClassError as e:  # named case: reported, not fatal
-            rows.append((name, None, None, None, None, None, None, None, None, str(e).splitlines()[0][:200]))
+            rows.append((name, *[None] * 10, str(e).splitlines()[0][:200]))
             continue
         s_te, s_tr = f.score(test), f.score(train)
         mt = binary_metrics(s_te).first()
         auc = roc_auc(s_te).first()["roc_auc"]
         acc_tr = binary_metrics(s_tr).first()["accuracy"]
-        rows.append((name, mt["accuracy"], mt["precision"], mt["recall"], mt["f1"], auc, acc_tr,
-                     acc_tr - mt["accuracy"], float(f.seconds), None))
+        cv_means = (cv["train_accuracy"], cv["test_accuracy"], cv["gap"]) if cv else (None, None, acc_tr - mt["accuracy"])
+        rows.append((name, mt["accuracy"], mt["precision"], mt["recall"], mt["f1"], auc, acc_tr, *cv_means, float(f.seconds), None))
+    train.unpersist()
+    test.unpersist()
     df = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double, "
-                                     "roc_auc double, train_accuracy double, gap double, train_seconds double, "
-                                     "error string")
+                                     "roc_auc double, train_accuracy double, cv_train_accuracy double, "
+                                     "cv_test_accuracy double, gap double, train_seconds double, error string")
     best = min(rows, key=lambda r: (-(r[4] or 0.0), r[0]))[0]
     return df.withColumn("overfit", overfit_band(F.col("gap"))).withColumn("best", F.col("model") == best)

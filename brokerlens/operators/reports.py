@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brokerlens.functions.scalar import message_length, pct, ratio
-from brokerlens.operators.basic import class_counts, histogram, value_counts
+from brokerlens.operators.basic import class_counts, exact_quantiles, histogram, materialize, value_counts
 
 HOURS = list(range(24))
 
@@ -150,10 +150,12 @@ def _duration_long(dur: DataFrame) -> DataFrame:
 
 def attack_duration_summary(df: DataFrame, label: str = "is_ddos") -> DataFrame:
     """Mean, median, min, max attack duration in seconds, minutes, hours."""
-    return (_duration_long(attack_duration(df, label)).groupBy("unit")
-              .agg(F.avg("duration").alias("mean"), F.median("duration").alias("median"),
-                   F.min("duration").alias("min"), F.max("duration").alias("max"),
-                   F.count(F.lit(1)).alias("n_ips")))
+    dur = materialize(_duration_long(attack_duration(df, label)))      # one row per attacker and unit
+    median = exact_quantiles(dur, ["unit"], "duration", [0.5]).select("unit", F.col("value").alias("median"))
+    return (dur.groupBy("unit")
+               .agg(F.avg("duration").alias("mean"), F.min("duration").alias("min"), F.max("duration").alias("max"),
+                    F.count(F.lit(1)).alias("n_ips"))
+               .join(median, "unit", "left").select("unit", "mean", "median", "min", "max", "n_ips"))
 
 
 def attack_duration_hist(df: DataFrame, bins: int = 50, label: str = "is_ddos") -> DataFrame:

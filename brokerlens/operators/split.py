@@ -1,16 +1,16 @@
 """Train / test splits and fold columns.
 
-A row's part is a pure function of its key columns and the seed
-(``xxhash64``), so the split is repeatable, needs no shuffle or sort, and
-survives task retries.  Each class receives ``test_size`` of its rows in
-expectation, i.e. the split is stratified up to sampling error; exact
-per-class sizes would need a global rank per class, which funnels each
-class through one task, so it is not offered.
+A row's part in a random split is a pure function of its key columns and
+the seed (``xxhash64``), so the split is repeatable, needs no shuffle or
+sort, and survives task retries.  Stratified splits and folds have exact
+per-class sizes: a row's rank within its class, by the same hash, is its rank
+within one of 4096 hash cells plus the rows of the earlier cells, so that no
+task sees a whole class.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["mqtt_message_id", "ts", "general_ip", "mqtt_topic"]
@@ -32,13 +32,35 @@ def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, keys=KEY
     return (s.where(F.col("_split") == "train").drop("_split"), s.where(F.col("_split") == "test").drop("_split"))
 
 
+def with_class_rank(df: DataFrame, label: str, seed: int, keys=KEY) -> DataFrame:
+    """Add ``_rank``, from 0, and ``_size`` of the row's class, in the order of a seeded hash of
+    the keys (ties by all columns).  A null label is a class of its own."""
+    cols = [F.col(f"`{k}`") for k in keys if k in df.columns]
+    every = [F.col(f"`{c}`") for c in df.columns]
+    d = df.select("*", F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("null")).alias("_class"),
+                  F.xxhash64(F.lit(seed), *(cols or every)).alias("_hash"), F.xxhash64(*every).alias("_tie"))
+    d = d.withColumn("_cell", F.shiftrightunsigned("_hash", 52).cast("int"))
+    counts = d.groupBy("_class", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    of_class = Window.partitionBy("_class")
+    before = counts.select("_class", "_cell", F.sum("_n").over(of_class).alias("_size"), F.coalesce(F.sum("_n").over(
+        of_class.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_class", "_cell").orderBy("_hash", "_tie")) - 1
+    return (d.withColumn("_nth", nth).join(before, ["_class", "_cell"])
+             .select(*every, (F.col("_before") + F.col("_nth")).alias("_rank"), "_size"))
+
+
 def stratified_split(df: DataFrame, label: str = "is_ddos", test_size: float = 0.2, seed: int = 42, keys=KEY):
-    """Per-class hash split: the label joins the hash input, so each class
-    is split independently with share ``test_size``."""
-    return random_split(df, test_size, seed, [label] + [k for k in keys if k != label])
+    """(train, test) with ``test_size`` of each class, rounded, in the test part."""
+    ranked = with_class_rank(df, label, seed, keys)
+    in_test = F.col("_rank") < F.round(F.col("_size") * F.lit(test_size))
+    return ranked.where(~in_test).select(*df.columns), ranked.where(in_test).select(*df.columns)
 
 
-def with_folds(df: DataFrame, k: int = 3, seed: int = 42, keys=KEY, name: str = "fold") -> DataFrame:
+def with_folds(df: DataFrame, k: int = 3, seed: int = 42, keys=KEY, name: str = "fold", label: str | None = None) -> DataFrame:
+    """Add the fold, 0 to k - 1; with ``label`` every class is spread evenly over the folds."""
+    if label is not None:
+        ranked = with_class_rank(df, label, seed + 7919, keys)
+        return ranked.select(*df.columns, F.pmod(F.col("_rank"), F.lit(k)).cast("int").alias(name))
     return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed + 7919), *[F.col(f"`{c}`") for c in keys
                                                                         if c in df.columns]), F.lit(k)).cast("int"))
 

@@ -11,7 +11,10 @@ from tools.check_oracle import TABLES, rows_of
 
 import __spark_entry__ as E
 
-QUERIES = E.queries()
+from brokerlens.plans.catalog import REGISTRY
+
+# the catalog; the training-data queries have tests of their own
+QUERIES = {k: f for k, f in E.queries().items() if k in REGISTRY}
 ORACLE = E.oracle_sql()
 
 

@@ -225,3 +225,50 @@ def test_one_class_model_is_reported_other_errors_raise(spark):
     assert row.error and row.accuracy is None
     with pytest.raises(Exception, match="no_such_column"):
         M.compare_models(df, df, ["no_such_column"], names=["svm"])
+
+
+def test_stratified_parts_have_exact_sizes(spark):
+    from brokerlens.operators.split import stratified_split, with_folds
+    df = spark.range(0, 5000, 1, 7).select(F.col("id").alias("mqtt_message_id"), (F.col("id") % 10 == 0).cast("int").alias("is_ddos"))
+    tr, te = stratified_split(df, test_size=0.3)
+    size = {r.is_ddos: r["count"] for r in te.groupBy("is_ddos").count().collect()}
+    assert size == {0: 1350, 1: 150} and tr.count() == 3500 and tr.join(te, "mqtt_message_id").count() == 0
+    folds = {(r.is_ddos, r.fold): r["count"] for r in with_folds(df, 5, label="is_ddos").groupBy("is_ddos", "fold").count().collect()}
+    assert folds == {(c, f): n for c, n in ((0, 900), (1, 100)) for f in range(5)}
+
+
+def test_comparison_has_the_cross_validated_gap(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), int(a + 0.3 * e > 0.5)) for i, (a, e) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "mqtt_message_id long, a double, is_ddos int")
+    cv = M.cross_validate(df, ["a"], "tree_simple", 3).collect()
+    mean = [r for r in cv if r.fold is None][0]
+    assert len(cv) == 4 and mean.gap == pytest.approx(np.mean([r.gap for r in cv if r.fold is not None]))
+    r = M.compare_models(df, df, ["a"], names=["tree_simple"], folds=3).first()
+    assert r.gap == pytest.approx(r.cv_train_accuracy - r.cv_test_accuracy) and r.gap == pytest.approx(mean.gap)
+
+
+def test_perceptron_takes_the_references_layers(spark):
+    for hidden in M.MLP_LAYERS:
+        est = M.estimator("mlp", 7, hidden=hidden, max_iter=100)
+        assert list(est.getLayers()) == [7, *hidden, 2] and est.getMaxIter() == 100
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from brokerlens.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
