@@ -10,8 +10,10 @@ long as the worker process.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from functools import cached_property
 
 CHUNK = re.compile(r"\s*\S+|\s+")
 # fixed values: characters on which regular-expression engines differ whether they are white space
@@ -38,12 +40,17 @@ class Encoder:
 
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(tokenizer_path(name))
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        self.path = tokenizer_path(name)
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tok(self):
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(self.path)
+        tok.no_truncation()
+        tok.no_padding()
+        return tok
+
     @classmethod
     def get(cls, name: str) -> "Encoder":
         if (cls, name) not in _LOADED:
@@ -96,7 +103,8 @@ class RankEncoder(Encoder):
         import tiktoken
         with open(tokenizer_path(name.removesuffix(".json") + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        with open(self.path) as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.ranked = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(self, texts: list[str]) -> list[bytes]:

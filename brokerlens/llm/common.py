@@ -15,6 +15,14 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 WORD_SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
+ARROW_BYTES = "8m"
+
+
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_BYTES``: documents differ too much in length to count rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 class Scratch:
     """Tables written under the shared checkpoint folder and read back.
 
@@ -25,8 +33,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        batches_by_bytes(spark)
         self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.bases.append(self.base)
+
+    bases: list[str] = []
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
@@ -44,6 +56,14 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every scratch folder written so far, once the results that read them are done with."""
+    conf = spark._jsc.hadoopConfiguration()
+    while Scratch.bases:
+        p = spark._jvm.org.apache.hadoop.fs.Path(Scratch.bases.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

@@ -180,24 +180,6 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
-def _remaining():
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql.types import StringType
-
-    def remaining(texts, gone):
-        import pandas as pd
-        out = []
-        for text, lines in zip(texts, gone):
-            if text is None or lines is None:
-                out.append(None)
-                continue
-            drop = set(lines)
-            out.append("\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop))
-        return pd.Series(out, dtype="object")
-
-    return pandas_udf(remaining, StringType())
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
     """The documents without the lines they share with an earlier one, all columns.
 
@@ -208,10 +190,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = Fals
     d = docs.select(whole_row, F.col("doc_id").alias("id"), F.col("text").alias("old"), _text_key()).alias("d")
     # always a sort-merge join: the texts move the same way whatever the input's size
     j = d.join(gone.alias("g").hint("merge"), F.col("d.id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.mark") == F.col("g.mark")), "left")
-    changed = F.col("g.gone").isNotNull()
-    # only changed texts travel to Python
+    # only changed texts are taken apart
     j = j.select("d.doc", "d.id", "d.old", "g.gone", "g.earlier",
-                 _remaining()(F.when(changed, F.col("d.old")), F.col("g.gone")).alias("new"))
+                 F.when(F.col("g.gone").isNotNull(), F.split("d.old", "\n")).alias("lines"))
+    numbers = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("lines").cast("long") - 1), F.col("gone"))
+    left = F.array_join(F.transform(numbers, lambda i: F.col("lines")[i.cast("int")]), "\n")
+    j = j.select("doc", "id", "old", "gone", "earlier", F.when(F.col("gone").isNotNull(), left).alias("new"))
     text = F.when(F.col("gone").isNull(), F.col("old")).otherwise(F.col("new"))
     if report:
         empty = F.expr("CAST(array() AS array<long>)")

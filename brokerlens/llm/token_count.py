@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brokerlens.llm.common import documents
+from brokerlens.llm.common import batches_by_bytes, documents
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -25,6 +25,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     Tokens as the tokenizer file gives them by default: special strings inside texts become
     their token; none are added; no truncation or padding."""
     kind = dict(docs.dtypes)["doc_id"]
+    batches_by_bytes(docs.sparkSession)
 
     def lengths(batches):
         import pyarrow as pa

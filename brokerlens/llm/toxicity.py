@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brokerlens.llm.common import Scratch, documents
+from brokerlens.llm.common import Scratch, batches_by_bytes, documents
 
 SAMPLE = 4000
 FEATURES = 4096
@@ -359,6 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, spans) per document row; spans are code-point offsets with their marginal."""
     kind = dict(docs.dtypes)["doc_id"]
+    batches_by_bytes(docs.sparkSession)
     got = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(
         _marginals(model), f"key {kind}, top double, expected double, spans {SPANS}")
     c, a, b = model.logistic
@@ -369,6 +370,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score under ``threshold``, all columns, in one pass without a join."""
     at = docs.columns.index("text")
+    batches_by_bytes(docs.sparkSession)
     marginals = _marginals(model)
 
     def keep(batches):
