@@ -201,38 +201,39 @@ def dense_codes(values: DataFrame, col: str, name: str = "code", group: list[str
     return d.join(off, ["_pid", *group]).select(*group, col, (F.col("_loc") + F.col("_off")).cast("int").alias(name))
 
 
-def quantiles_from_counts(counts: DataFrame, group: list[str], x: str, c: str, qs) -> DataFrame:
-    """Exact quantiles (linear interpolation, pandas' default) from a
-    materialized table of (group..., value, count) rows: rows (group..., q,
-    value).  Cumulative counts come from ``running_sums``; for each q the
-    values at 0-based ranks floor(h) and ceil(h), h = q (n-1), are picked by
-    a filter and a grouped max."""
-    group = list(group)
-    cum = running_sums(counts, group, x, [c], materialized=True)
-    n = counts.groupBy(*group).agg(F.sum(c).alias("_n"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    j = cum.join(n, group) if group else cum.withColumn("_n", n.select("_n").scalar())
-    j = j.select(*group, x, c, f"cum_{c}", "_n", F.explode(qarr).alias("q"))
+def exact_quantiles(df: DataFrame, group: list[str], col: str, qs, accuracy: int = 10000) -> DataFrame:
+    """Exact quantiles (linear interpolation, pandas' default) per ``group``: rows (group..., q,
+    value).  Missing values (null, NaN) and null groups are skipped.
+
+    Two passes and no table of all values.  The first brackets each quantile
+    by approximate ones a little below and above it (by the smallest and largest
+    value where a group is small).  The second counts the rows below the bracket
+    and the values inside it, a few in ``accuracy`` of the rows, which are
+    materialized; distributed running sums of those counts locate the 0-based
+    ranks floor(q (n - 1)) and ceil(q (n - 1)).
+    """
+    group, qs = list(group), [float(q) for q in qs]
+    key = group or ["_all"]
+    d = df if group else df.withColumn("_all", F.lit(0))
+    d = d.select(*key, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    around = [min(1.0, max(0.0, q + side * 4.0 / accuracy)) for q in qs for side in (-1, 1)]
+    per = d.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+                              F.percentile_approx("_x", F.array(*[F.lit(p) for p in around]), accuracy).alias("_a"))
+    small = F.col("_n") <= 2 * accuracy
+    brackets = F.array(*[F.struct(F.lit(q).alias("q"), F.when(small, F.col("_min")).otherwise(F.col("_a")[2 * i]).alias("_from"),
+                                  F.when(small, F.col("_max")).otherwise(F.col("_a")[2 * i + 1]).alias("_to"))
+                         for i, q in enumerate(qs)])
+    per = materialize(per.select(*key, "_n", F.explode(brackets).alias("_b")).select(*key, "_n", "_b.*"))
+    near = d.join(per, key).where(F.col("_x") <= F.col("_to"))
+    inside = F.when(F.col("_x") >= F.col("_from"), F.col("_x"))
+    counts = materialize(near.groupBy(*key, "q", "_n", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    below = counts.where(F.col("_v").isNull()).select(*key, "q", F.col("_c").alias("_below"))
+    cum = running_sums(counts.where(F.col("_v").isNotNull()), [*key, "q"], "_v", ["_c"], materialized=True)
+    j = cum.join(below, [*key, "q"], "left")
     h = F.col("q") * (F.col("_n") - F.lit(1)).cast("double")
     lo, hi = F.floor(h), F.ceil(h)
-    first = F.col(f"cum_{c}") - F.col(c)           # 0-based rank of the first copy of this value
-    holds = lambda r: (first <= r) & (r < F.col(f"cum_{c}"))
-    agg = j.groupBy(*group, "q").agg(
-        F.max(F.when(holds(lo), F.col(x))).alias("_lo"), F.max(F.when(holds(hi), F.col(x))).alias("_hi"),
-        F.max(h - lo).alias("_f"))
+    end = F.coalesce("_below", F.lit(0)) + F.col("cum__c")
+    holds = lambda r: (end - F.col("_c") <= r) & (r < end)
+    agg = j.groupBy(*key, "q").agg(F.max(F.when(holds(lo), F.col("_v"))).alias("_lo"), F.max(F.when(holds(hi), F.col("_v"))).alias("_hi"),
+                                   F.max(h - lo).alias("_f"))
     return agg.select(*group, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
-
-
-def exact_quantiles(df: DataFrame, group: list[str], col: str, qs) -> DataFrame:
-    """Exact quantiles with linear interpolation, per ``group``: rows
-    (group..., q, value).
-
-    Fully distributed: values are counted per (group, value) and that
-    table is materialized once; cumulative counts come from
-    ``running_sums``.  No task holds a group's whole value list (Spark's
-    ``percentile`` merges it into one map).
-    """
-    group = list(group)
-    counts = materialize(df.select(*group, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-                           .groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_c")))
-    return quantiles_from_counts(counts, group, "_x", "_c", qs)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brokerlens.functions.scalar import ratio
-from brokerlens.operators.basic import materialize, quantiles_from_counts
+from brokerlens.operators.basic import exact_quantiles
 from brokerlens.sources.schema import columns_by_type
 
 
@@ -58,15 +58,9 @@ def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     ])).alias("_r")).select("_r.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def _value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, x, c): the distinct values of every column with their
-    counts, materialized once (one pass over the data)."""
-    return materialize(_long_values(df, cols).groupBy("column", "x").agg(F.count(F.lit(1)).alias("c")))
-
-
-def _quartiles_from_counts(counts: DataFrame, qs=(0.25, 0.5, 0.75)) -> DataFrame:
+def _exact_quartiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75)) -> DataFrame:
     names = [f"q{int(round(q * 100))}" for q in qs]
-    long_q = quantiles_from_counts(counts, ["column"], "x", "c", qs)
+    long_q = exact_quantiles(_long_values(df, cols), ["column"], "x", qs)
     return long_q.groupBy("column").agg(*[F.max(F.when(F.col("q") == F.lit(float(q)), F.col("value"))).alias(n)
                                           for q, n in zip(qs, names)])
 
@@ -75,7 +69,7 @@ def quartiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75), exact: bool
     """(column, one column per quantile named q25 / q50 / ...)."""
     names = [f"q{int(round(q * 100))}" for q in qs]
     if exact:
-        return _quartiles_from_counts(_value_counts_long(df, cols), qs)
+        return _exact_quartiles(df, cols, qs)
     items = []
     for c in cols:
         qv = _q(F.col(f"`{c}`").cast("double"), qs, False)
@@ -84,34 +78,26 @@ def quartiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75), exact: bool
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column.
+    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column, missing values (null, NaN) skipped.
 
-    exact: one pass over the data builds the (column, value, count) table;
-    moments (mean first, then the centred sum of squares, for stability)
-    and quantiles are computed from that small table.  approximate: one
-    aggregate pass with ``percentile_approx``."""
+    Count, moments, min and max are one aggregate of all columns; exact
+    quantiles come from ``basic.exact_quantiles``, approximate ones from
+    ``percentile_approx`` in the same aggregate."""
     cols = cols or columns_by_type(df)[0]
-    if not exact:
-        items = []
-        for c in cols:
-            x = F.col(f"`{c}`").cast("double")
-            x = F.when(~F.isnan(x), x)
+    items = []
+    for c in cols:
+        x = F.col(f"`{c}`").cast("double")
+        x = F.when(~F.isnan(x), x)
+        part = [F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                F.min(x).alias("min"), F.max(x).alias("max")]
+        if not exact:
             qv = _q(x, (0.25, 0.5, 0.75), False)
-            items.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-                                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), qv[0].alias("q25"),
-                                  qv[1].alias("q50"), qv[2].alias("q75"), F.max(x).alias("max")))
-        return _long(df, items)
-    counts = _value_counts_long(df, cols)
-    m = counts.groupBy("column").agg(F.sum("c").alias("count"),
-                                     (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
-                                     F.min("x").alias("min"), F.max("x").alias("max"))
-    ss = (counts.join(m.select("column", "mean", "count"), "column")
-                .groupBy("column").agg(F.sum(F.col("c") * F.pow(F.col("x") - F.col("mean"), 2)).alias("ss")))
-    std = F.sqrt(F.try_divide(F.col("ss"), (F.col("count") - F.lit(1)).cast("double")))
-    spine = F.broadcast(df.sparkSession.createDataFrame([(c,) for c in cols], "column string"))
-    return (spine.join(m, "column", "left").join(ss, "column", "left").join(_quartiles_from_counts(counts), "column", "left")
-                 .select("column", F.coalesce(F.col("count"), F.lit(0)).alias("count"), "mean", std.alias("std"),
-                         "min", "q25", "q50", "q75", "max"))
+            part += [qv[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+        items.append(F.struct(*part))
+    out = _long(df, items)
+    if exact:
+        out = out.join(_exact_quartiles(df, cols), "column", "left")
+    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -181,23 +167,20 @@ def categorical_values(df: DataFrame, cols: list[str] | None = None, all_below:
 def boxplot_stats(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5,
                   exact: bool = True) -> DataFrame:
     """q1, median, q3, whiskers (furthest values within 1.5 IQR) and the
-    number of outliers, per numeric column -- all from the materialized
-    (column, value, count) table, so the data is read once."""
+    number of outliers, per numeric column: the quartiles, then one pass over
+    the values against them."""
     cols = cols or columns_by_type(df)[0]
-    counts = _value_counts_long(df, cols)
-    if exact:
-        qt = _quartiles_from_counts(counts)
-    else:
-        qt = quartiles(df, cols, exact=False)
+    qt = _exact_quartiles(df, cols) if exact else quartiles(df, cols, exact=False)
     quart = qt.select("column", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"))
     lo = F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))
     inside = (F.col("x") >= lo) & (F.col("x") <= hi)
-    return (counts.join(quart, "column")
+    # one row per column
+    return (_long_values(df, cols).join(F.broadcast(quart), "column")
                   .groupBy("column", "q1", "median", "q3")
                   .agg(F.min(F.when(inside, F.col("x"))).alias("lower_whisker"),
                        F.max(F.when(inside, F.col("x"))).alias("upper_whisker"),
-                       F.coalesce(F.sum(F.when(~inside, F.col("c"))), F.lit(0)).alias("outliers")))
+                       F.count(F.when(~inside, 1)).alias("outliers")))
 
 
 def kde_curve(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, tail_sd: float | None = None) -> DataFrame:

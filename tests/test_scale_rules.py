@@ -272,3 +272,19 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_bracketed_quantiles_are_exact(spark):
+    rng = np.random.default_rng(8)
+    wide = rng.normal(size=60_000)
+    tied = rng.integers(0, 5, 60_000).astype(float)
+    few = np.array([3.0, 1.0, 2.0, 10.0])
+    rows = [("wide", float(v)) for v in wide] + [("tied", float(v)) for v in tied] + [("few", float(v)) for v in few] + [("few", None), ("few", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = {(r.g, r.q): r.value for r in B.exact_quantiles(df, ["g"], "x", qs, accuracy=1000).collect()}
+    for g, v in (("wide", wide), ("tied", tied), ("few", few)):
+        for q in qs:
+            assert got[g, q] == pytest.approx(np.quantile(v, q), abs=1e-12)
+    assert B.exact_quantiles(df.where("g = 'few'"), [], "x", [0.5]).first().value == 2.5
+    assert B.exact_quantiles(df.limit(0), ["g"], "x", [0.5]).count() == 0
