@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced together.
 
 Rows of equal text form a group, which goes to one shard; a group larger
-than a fraction of a shard is first dealt into parts of that size.  Groups are
+than a shard is first dealt into parts of a fraction of one.  Groups are
 placed largest first, each where the dot product of its size vector
 with the shard's residual capacity is highest.
 
@@ -27,8 +27,8 @@ SHARDS = 40
 OVERHEAD = 16          # bytes that a row takes beside its text
 BLOCK = 16384          # groups in a block, on average
 FAN_IN = 64            # blocks whose bins are packed together
-PART = 8               # a group larger than 1/PART of a shard is dealt into parts
-PART_ROWS = 100_000    # rows of a part, on average, at most
+PART = 8               # a group larger than a shard is dealt into parts of 1/PART of one
+PART_ROWS = 100_000    # rows of a group that are numbered by one task, on average, at most
 SIZE = ["bytes", "tokens", "rows"]
 WEIGHTS = (1.0, 0.1, 0.03)   # of the dimensions in the dot product: bytes come first
 
@@ -101,25 +101,30 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tokens: Column | None
         F.monotonically_increasing_id().alias("row")))
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    part = max(1.0, total / shards / PART)
-    large = (groups.where((F.col("bytes") > part) | (F.col("rows") > PART_ROWS)).select(
-        "group", F.ceil(F.greatest(F.col("bytes") / part, F.col("rows") / PART_ROWS)).cast("long").alias("parts")))
-    # fewer than shards * PART + rows / PART_ROWS groups are large
-    rows = rows.join(large, "group", "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("parts"))).cast("long"))
-    rows = rows.drop("parts")
-    units = scratch.table(rows.groupBy("group", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"),
-                                                            F.count(F.lit(1)).alias("rows")))
+    capacity = max(1.0, total / shards)
+    over = F.col("bytes") > capacity
+    parts = F.greatest(F.when(over, F.col("bytes") / (capacity / PART)).otherwise(F.lit(1.0)), F.col("rows") / PART_ROWS)
+    # fewer than shards + rows / PART_ROWS groups are dealt into parts
+    large = groups.where(over | (F.col("rows") > PART_ROWS)).select("group", F.ceil(parts).cast("long").alias("parts"), over.alias("split"))
+    rows = rows.join(large, "group", "left")
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row"), F.col("parts"))).cast("long")
+    rows = rows.withColumn("part", part).withColumn("unit", F.when(F.coalesce("split", F.lit(False)), F.col("part")).otherwise(F.lit(0)).cast("long"))
+    rows = rows.drop("parts", "split")
+    dealt = scratch.table(rows.groupBy("group", "unit", "part").agg(
+        F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
+    units = scratch.table(dealt.groupBy("group", "unit").agg(*[F.sum(c).alias(c) for c in SIZE]))
     blocks = max(1, -(-units.count() // BLOCK))
-    units = units.withColumn("block", F.pmod(F.xxhash64("group", "part", F.lit(7)), F.lit(blocks)))
+    units = units.withColumn("block", F.pmod(F.xxhash64("group", "unit", F.lit(7)), F.lit(blocks)))
     units = scratch.table(units.groupBy("block").applyInArrow(
-        _packer(shards, ["group", "part"]),
-        "group long, part long, bytes long, tokens long, rows long, block long, bin int, before long"))
-    where = units.join(_levels(units, shards, scratch), ["block", "bin"]).select(
-        "group", "part", "shard", (F.col("base") + F.col("before")).alias("start"))
-    place_ = scratch.table(where)
+        _packer(shards, ["group", "unit"]),
+        "group long, unit long, bytes long, tokens long, rows long, block long, bin int, before long"))
+    placed = units.join(_levels(units, shards, scratch), ["block", "bin"]).select(
+        "group", "unit", "shard", (F.col("base") + F.col("before")).alias("start"))
+    earlier = F.sum("rows").over(Window.partitionBy("group", "unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    where = scratch.table(dealt.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(placed, ["group", "unit"])
+                               .select("group", "part", "shard", (F.col("start") + F.col("earlier")).alias("start")))
     nth = F.row_number().over(Window.partitionBy("group", "part").orderBy("doc_id", "row")) - 1
-    return (rows.withColumn("nth", nth).join(place_, ["group", "part"])
+    return (rows.withColumn("nth", nth).join(where, ["group", "part"])
                 .select("doc_id", "size", "text_crc32", "group", "shard", (F.col("start") + F.col("nth")).alias("slot")))
 
 

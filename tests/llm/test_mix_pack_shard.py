@@ -199,13 +199,26 @@ def test_shards_are_balanced_and_whole(spark, monkeypatch):
     assert all(len(s) == 1 for s in where.values())
 
 
-def test_shard_query_and_hot_group(spark):
+def test_shard_query_and_hot_group(spark, monkeypatch):
+    from brokerlens.llm import sharding
     rows = q_op4(spark, SF).collect()
     assert {r.shard for r in rows} == set(range(40)) and {r.law for r in rows} == {"bytes"}
     size = Counter()
     for r in rows:
         size[r.shard] += r["size"]
     assert max(size.values()) <= 1.1 * sum(size.values()) / 40
+    texts, where = {r.doc_id: r.text for r in documents(spark, SF).collect()}, defaultdict(set)
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+    monkeypatch.setattr(sharding, "PART_ROWS", 7)
+    few = docs(spark, [(i, "twice" if i < 40 else f"text number {i} " + "x " * (i % 50), "s") for i in range(1000)])
+    got = sharding.shard_documents(few, shards=5).collect()
+    assert len({r.shard for r in got if r.doc_id < 40}) == 1
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     hot = docs(spark, [(i, "same text here" if i % 3 == 0 else f"text number {i}", "s") for i in range(3000)])
     n = Counter(r.shard for r in shard_documents(hot, shards=10).collect())
     assert max(n.values()) <= 1.15 * 300
