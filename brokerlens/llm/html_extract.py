@@ -6,9 +6,13 @@ The merged tree is the host's template: a text that stands at a node on all the
 seed pages with that node (three or more) is constant, the rest of it is a slot.
 Every page of the host is then aligned with the template.  Its text is what
 stands in slots and in nodes the template does not know, without the blocks
-that are no article by their tag, role or class; where pages mark an article or
-main element, only what it holds; elsewhere, only the slot that holds most of
-the host's text.
+that are no article by their tag or role, or, outside article and main elements,
+by the words of their class; where pages mark an article or main element, only
+what it holds; elsewhere, only the slot that holds most of the host's text.
+
+The words of a class are a guess: a block in which the template finds ``LARGE``
+of the host's varying text stays whatever its class, and where nothing of a page
+is left, it is read again without the guesses, then without its marks.
 
 The seeds are the ``SEEDS`` lowest hashes among a host's distinct pages, a
 bounded sample that fits the template; every page is extracted, from its whole
@@ -34,6 +38,7 @@ from brokerlens.llm.common import Scratch, documents
 SEEDS = 12
 CONSTANT_PAGES = 3     # seed pages on which a text must be the same
 LEAST_SHARE = 0.7      # of a node's text that one child must hold to be descended into
+LARGE = 0.5            # of a host's varying text: a slot that holds as much is no furniture
 KEEP_SHAPES = 20_000   # alignments kept by a worker
 DEEPEST = 150          # deeper blocks are read as siblings at that depth
 WIDEST = 128           # more children than that are pooled by label for the alignment
@@ -48,25 +53,28 @@ NO_ARTICLE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "sea
 CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
                  "option": {"select"}}
 SUSPECT = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|masthead|header|footer|foot|"
+    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|masthead|header|footer|foot|"
     r"sidebar\w*|side|widgets?|related|recommend\w*|comments?|commentlist|respond|replies|reply|disqus\w*|cookies?|consent|gdpr|notices?|"
     r"alerts?|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|login|signup|signin|search\w*|form|"
     r"copyright|legal|disclaimer|pagination|pager|toolbar|skip|hidden|rail|teasers?|outbrain|taboola)(?![a-z])")
+# class tokens that say what a block has or is about, not what it is
+MODIFIER = re.compile(r"(?:has|have|no|not|non|with|without|is|are|category|cat|tag|topic|term|format|type|supports?)-")
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|<[a-zA-Z!/?][^>]*\Z", re.S | re.I)
-ATTR = re.compile(r"\b(class|id|role|hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
 DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    """A block of a page: its label, its children and runs of text in order, and what is known of it."""
-    __slots__ = ("label", "tag", "items", "links", "suspect", "main")
+    """A block of a page: its label, its children and runs of text in order, and what is known of it:
+    ``suspect`` by tag, role or style, ``guess`` by its class alone, ``inside`` an article or main element."""
+    __slots__ = ("label", "tag", "items", "links", "suspect", "main", "guess", "inside")
 
-    def __init__(self, tag, label="", suspect=False, main=False):
+    def __init__(self, tag, label="", suspect=False, main=False, guess=False, inside=False):
         self.tag, self.label, self.items, self.links = tag, label or tag, [], 0
-        self.suspect, self.main = suspect, main
+        self.suspect, self.main, self.guess, self.inside = suspect, main, guess, inside
 
     def blocks(self):
         return [x for x in self.items if type(x) is Node]
@@ -81,12 +89,25 @@ def clean(text: str) -> str:
     return " ".join(text.split())
 
 
-def _node(tag: str, attrs: str) -> Node:
-    label, suspect, main = tag, tag in NO_ARTICLE, tag in ("article", "main")
+def _guess(tag: str, tokens: list[str], main: bool, inside: bool) -> bool:
+    """Whether a block's class names page furniture.  An article must be called so by a whole token,
+    as a comment is; nothing else inside an article or main element, and no other mark, is judged by words."""
+    if tag in ("html", "body"):
+        return False
+    if tag == "article":
+        return any(SUSPECT.fullmatch(t) for t in tokens)
+    return not main and not inside and any(SUSPECT.search(t) and not MODIFIER.match(t) for t in tokens)
+
+
+def _node(tag: str, attrs: str, inside: bool = False) -> Node:
+    label, suspect, main, guess = tag, tag in NO_ARTICLE, tag in ("article", "main"), False
     if attrs and not attrs.isspace():
-        marks = []
+        marks, tokens, seen = [], [], set()
         for m in ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+            if not m[1] or (name := m[1].lower()) in seen:
+                continue
+            seen.add(name)
+            value = (m[2] or "").strip("\"'").lower()
             if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
                 suspect = True
             elif name == "role":
@@ -96,13 +117,13 @@ def _node(tag: str, attrs: str) -> Node:
                 main = main or value == "articlebody"
             elif name in ("class", "id"):
                 marks.append(DIGITS.sub("#", value))
+                if name == "class":
+                    tokens = value.replace("_", "-").split()
         names = " ".join(marks)
         if names:
             label = f"{tag}.{names}"
-            if tag not in ("html", "body", "main") and SUSPECT.search(names.replace("_", "-")):
-                suspect = True
-                main = False
-    return Node(tag, label, suspect, main)
+        guess = _guess(tag, tokens, main, inside)
+    return Node(tag, label, suspect, main, guess, inside)
 
 
 def parse(page: str) -> Node:
@@ -157,8 +178,9 @@ def parse(page: str) -> Node:
         if tag == "body" and len(stack) > 1:
             while len(stack) > 1 and stack[-1].tag != "html":
                 stack.pop()
-        node = _node(tag, m["attr"] or "")
-        stack[min(len(stack), DEEPEST) - 1].items.append(node)
+        above = stack[min(len(stack), DEEPEST) - 1]
+        node = _node(tag, m["attr"] or "", above.inside or above.main)
+        above.items.append(node)
         stack.append(node)
         link = 0
     text(page[at:])
@@ -250,17 +272,19 @@ class Slot:
         return self.texts if self.pages >= CONSTANT_PAGES else set()
 
 
-def _learn(slot: Slot, s: Shape) -> None:
+def _learn(slot: Slot, s: Shape, dropped: bool) -> None:
     texts = {t for n in s.nodes if (t := n.own_text())}
     slot.texts = slot.texts & texts if slot.pages else texts
     slot.pages += 1
-    if not any(n.suspect for n in s.nodes):
+    if not dropped:
         slot.size += sum(map(len, texts))
 
 
-def _grow(slot: Slot, s: Shape, memo) -> None:
-    """Align a page's shape with the template below ``slot``; add what the template does not have."""
-    _learn(slot, s)
+def _grow(slot: Slot, s: Shape, memo, dropped: bool = False) -> None:
+    """Align a page's shape with the template below ``slot``; add what the template does not have.
+    Text in blocks that are no article by tag, role or style (``dropped``) has no weight."""
+    dropped = dropped or any(n.suspect for n in s.nodes)
+    _learn(slot, s, dropped)
     matched = {}
     out = []
     pairs(slot, s, memo, out)
@@ -272,12 +296,12 @@ def _grow(slot: Slot, s: Shape, memo) -> None:
         own = matched.get(id(k))
         if own is not None and id(own) in here:
             at = slot.kids.index(own) + 1
-            _grow(own, k, memo)
+            _grow(own, k, memo, dropped)
         else:
             new = Slot(k.label)
             slot.kids.insert(at, new)
             at += 1
-            _grow(new, k, memo)
+            _grow(new, k, memo, dropped)
 
 
 def induce(pages: list[str]) -> Slot:
@@ -309,11 +333,23 @@ def main_slot(root: Slot) -> set[int]:
     return inside
 
 
+def large_slots(root: Slot) -> set[int]:
+    """Template nodes that hold ``LARGE`` of the host's varying text or more."""
+    total, out, todo = _weigh(root), set(), [root]
+    while todo:
+        x = todo.pop()
+        if total and _weigh(x) >= LARGE * total:
+            out.add(id(x))
+            todo += x.kids
+    return out
+
+
 class Wrapper:
     """A host's template, ready to extract its pages."""
 
     def __init__(self, template: Slot):
         self.template, self.inside, self.shapes = template, main_slot(template), {}
+        self.large = large_slots(template)
 
     def align(self, s: Shape) -> dict[int, Slot]:
         """Template node of each node of a shape, by preorder number."""
@@ -332,6 +368,7 @@ class Wrapper:
         return got
 
     def text(self, page: str) -> str:
+        """The page's main text; a page of which nothing is left is read without guesses, then without marks."""
         root = parse(page)
         s = shape([root])
         aligned = self.align(s)
@@ -343,13 +380,21 @@ class Wrapper:
             for node in x.nodes:
                 slots[id(node)] = (slot, slot or above)
             todo += [(k, slot or above) for k in reversed(x.kids)]
-        marked = _mains(root)
         out: list[str] = []
-        for top in marked or [root]:
-            self._gather(top, slots, bool(marked), out)
+        for guesses in (True, False):
+            def dropped(node):
+                return node.suspect or guesses and node.guess and id(slots[id(node)][0]) not in self.large
+
+            marked = _mains(root, dropped)
+            for top in marked or [root]:
+                self._gather(top, slots, bool(marked), dropped, out)
+            if out:
+                break
+        if marked and not out:
+            self._gather(root, slots, False, dropped, out)
         return " ".join(out)
 
-    def _gather(self, top: Node, slots, marked: bool, out: list[str]) -> None:
+    def _gather(self, top: Node, slots, marked: bool, dropped, out: list[str]) -> None:
         stack = [(top, iter(top.items), [])]
         while stack:
             node, items, run = stack[-1]
@@ -358,18 +403,14 @@ class Wrapper:
                     run.append(x)
                     continue
                 self._flush(node, run, slots, marked, out)
-                if self._keeps(x, marked):
+                # a header inside an article holds its headline
+                if not dropped(x) or marked and x.label == "header":
                     stack.append((x, iter(x.items), []))
                     break
             else:
                 self._flush(node, run, slots, marked, out)
                 stack.pop()
 
-    @staticmethod
-    def _keeps(node: Node, marked: bool) -> bool:
-        # a header inside an article holds its headline
-        return not node.suspect or marked and node.label == "header"
-
     def _flush(self, node: Node, run, slots, marked: bool, out: list[str]) -> None:
         t = clean("".join(run))
         run.clear()
@@ -384,15 +425,15 @@ class Wrapper:
         out.append(t)
 
 
-def _mains(node: Node) -> list[Node]:
-    """Outermost article or main elements outside suspect blocks; of a main element its articles, if it has any."""
+def _mains(node: Node, dropped) -> list[Node]:
+    """Outermost article or main elements outside dropped blocks; of a main element its articles, if it has any."""
     out, todo = [], list(reversed(node.blocks()))
     while todo:
         x = todo.pop()
-        if x.suspect:
+        if dropped(x):
             continue
         if x.main:
-            inner = [y for y in _mains(x) if y.tag == "article"] if x.tag == "main" else []
+            inner = [y for y in _mains(x, dropped) if y.tag == "article"] if x.tag == "main" else []
             out += inner or [x]
         else:
             todo += reversed(x.blocks())

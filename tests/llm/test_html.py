@@ -111,3 +111,25 @@ def test_simple_tree_matching_is_largest():
     assert [k.label for k in s.kids] == ["ul", "p"] and len(s.kids[0].kids) == 1
     slot = Slot.load(induce(["<p>x</p><p>y</p>", "<p>x</p>", "<p>z</p><p>x</p>"]).dump())
     assert slot.kids[0].constant == {"x"} and slot.kids[0].size == 2
+
+
+def test_class_words_do_not_drop_articles():
+    alone = Wrapper(induce([]))
+    for page in ('<article class="post no-comments"><p>kept</p></article>', '<div class="content has-sidebar"><p>kept</p></div>',
+                 '<article class="post category-social tag-legal"><p>kept</p></article>', '<div class="sidebar"><p>kept</p></div>',
+                 '<article><section id="social-impact">kept</section></article>', '<article><div id="side-effects">kept</div></article>',
+                 '<article><h2 id="the-search-for-life">kept</h2></article>', '<main><section class="legal">kept</section></main>',
+                 '<article><p aria-hidden="false">kept</p></article>', '<article><p title="Hidden gems, class=ads">kept</p></article>',
+                 '<article data-id="search-9"><p data-role="menu">kept</p></article>', "<article><p title='a hidden b'>kept</p></article>"):
+        assert alone.text(page) == "kept", page
+    assert alone.text('<article><p>kept</p><p hidden>no</p><p style="display: none">no</p><p role=menu>no</p></article>') == "kept"
+    assert alone.text('<article><p>kept</p><article class="comment">no</article></article><article class="teaser">no</article>') == "kept"
+
+
+def test_template_overrules_class_words():
+    def page(i):
+        return f'<body><div class="promo-wrap"><p>{prose(i, 60)}</p></div><div class="promo-box"><p>{prose(i + 50, 5)}</p></div><p>{prose(i + 90, 3)}</p>'
+    w = Wrapper(induce([page(i) for i in range(6)]))
+    assert w.text(page(20)) == prose(20, 60)
+    marked = [f'<div class="widget"><article><p>{prose(i, 60)}</p></article></div><div class="widget-small"><article>{prose(i + 50, 5)}</article></div>' for i in range(7)]
+    assert Wrapper(induce(marked[:6])).text(marked[6]) == prose(6, 60)
