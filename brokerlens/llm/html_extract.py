@@ -44,10 +44,13 @@ DEEPEST = 150          # deeper blocks are read as siblings at that depth
 WIDEST = 128           # more children than that are pooled by label for the alignment
 
 # fixed values: html element names by their role here
-RAW = "script|style|noscript|template|textarea|svg|iframe|select|object|canvas|math"
+RAW = "script|style|textarea"                                       # up to the end of the page without an end tag
+WHOLE = {"svg", "noscript", "template", "iframe", "select", "canvas"}   # dropped with what they hold; without an end tag, the tag alone
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
-          "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+          "maction", "mark", "math", "menclose", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot",
+          "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover",
+          "object", "q", "rp", "rt", "ruby", "s", "samp", "semantics", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 NO_ARTICLE = {"head", "title", "nav", "footer", "aside", "form", "button", "input", "menu", "dialog", "fieldset", "option", "header"}
 NO_ARTICLE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 CLOSES_ITSELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
@@ -64,6 +67,8 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|<[a-zA-Z!/?][^>]*\Z", re.S | re.I)
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
+WHOLE_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+                       rf"|<(?P<end>/?)(?P<tag>{'|'.join(sorted(WHOLE))})(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 DIGITS = re.compile(r"\d+")
 
 
@@ -126,11 +131,27 @@ def _node(tag: str, attrs: str, inside: bool = False) -> Node:
     return Node(tag, label, suspect, main, guess, inside)
 
 
+def _whole_ends(page: str) -> dict[int, int]:
+    """Start of each complete ``WHOLE`` element to its end."""
+    ends, is_open = {}, {}
+    for m in WHOLE_TAG.finditer(page):
+        if not m["tag"]:
+            continue
+        starts = is_open.setdefault(m["tag"].lower(), [])
+        if not m["end"]:
+            if not (m["tag"].lower() == "svg" and m[0].endswith("/>")):
+                starts.append(m.start())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
+
+
 def parse(page: str) -> Node:
     """The tree of a page's blocks; inline elements are part of their block's text."""
     root = Node("#page")
     stack = [root]
     link, at = 0, 0
+    ends = None
 
     def text(s):
         if s:
@@ -140,12 +161,19 @@ def parse(page: str) -> Node:
                 top.links += len(s)
 
     for m in TOKEN.finditer(page):
+        if m.start() < at:       # inside a dropped element
+            continue
         text(page[at:m.start()])
         at = m.end()
         tag, end = m["tag"] or m["tag2"], m["end"] or m["end2"]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in WHOLE:
+            if not end:
+                ends = _whole_ends(page) if ends is None else ends
+                at = ends.get(m.start(), at)
+            continue
         if tag in INLINE:
             if tag == "a":
                 link = 0 if end else 1
@@ -157,6 +185,8 @@ def parse(page: str) -> Node:
                     link = 0
                     break
             continue
+        while stack[-1].tag in ("option", "optgroup") and tag not in ("option", "optgroup"):
+            stack.pop()          # of a select without its end
         if tag in VOID:
             text(" ")
             continue

@@ -133,3 +133,19 @@ def test_template_overrules_class_words():
     assert w.text(page(20)) == prose(20, 60)
     marked = [f'<div class="widget"><article><p>{prose(i, 60)}</p></article></div><div class="widget-small"><article>{prose(i + 50, 5)}</article></div>' for i in range(7)]
     assert Wrapper(induce(marked[:6])).text(marked[6]) == prose(6, 60)
+
+
+def test_dropped_elements_end_where_they_end():
+    cases = {
+        '<article><p>one <svg class="i"/> two</p><p>three</p></article>': "one two three",
+        "<article><p>one <svg><path d='x>y'/><text>no</text></svg> two</p></article>": "one two",
+        "<article><p>one <svg> two</p><p>three <svg>no <svg/> <svg>no</svg> no</svg> four</p></article>": "one two three four",
+        "<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <math/> so on</p></article>": "let x=2 and so on",
+        "<article><object data=a><p>told instead</p></object> after</article>": "told instead after",
+        "<article><p>one</p><iframe src=a><p>two</p><canvas><p>three</p><noscript><p>four</p></article>": "one two three four",
+        "<article><p>one</p><iframe src=a>no</iframe><canvas>no</canvas><select><option>no</select><p>two</p></article>": "one two",
+        "<article><p>one</p><select><option>no<option>no<p>two</p></article>": "one two",
+        "<article><p>one</p><script>'<svg>'</script><!-- <svg> --><p>two</p><svg>no</svg><p>three</p><style>p{}": "one two three",
+    }
+    alone = Wrapper(induce([]))
+    assert {page: alone.text(page) for page in cases} == cases
