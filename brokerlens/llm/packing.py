@@ -60,13 +60,11 @@ def first_fit_decreasing(lengths, room: int):
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, end_id: int = END_ID,
-                 with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): every document's ids cut every ``seq_len``."""
+def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids): every document's ids cut every ``seq_len``."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches):
-        import zlib
         import numpy as np
         import pyarrow as pa
         from brokerlens.llm.bpe import RankEncoder, byte_balanced
@@ -74,59 +72,74 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in byte_balanced(texts):
-                row, start, length, crc, total, ids = [], [], [], [], [], []
+                row, start, length, total, ids = [], [], [], [], []
                 for i, data in enumerate(enc.encode([t or "" for t in texts[a:b]]), a):
                     data += end
+                    ids.append(data)
                     for s in range(0, len(data), step):
-                        piece = data[s:s + step]
                         row.append(i)
                         start.append(s >> 2)
-                        length.append(len(piece) >> 2)
-                        crc.append(zlib.crc32(piece))
+                        length.append(min(step, len(data) - s) >> 2)
                         total.append(len(data) >> 2)
-                        if with_ids:
-                            ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
-                arrays = [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if with_ids:
-                    arrays.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, total)],
+                     pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids array<int>")
 
 
 def pack_pieces(pieces: DataFrame, seq_len: int = SEQ_LEN, group: int = GROUP) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``seq_len``."""
-    from pyspark.sql.types import LongType, StructType
+    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``seq_len``.
+
+    Only the lengths are packed in groups; the other columns are joined to their places."""
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
     # a row number fixed by writing it down; its hash spreads rows evenly, also equal ones
     rows = scratch.table(pieces.withColumn("_row", F.monotonically_increasing_id()))
     n = rows.count()
     groups = max(1, -(-n // group))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    schema = StructType([*pieces.schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
+    lengths = rows.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group"))
 
     def pack(table):
         import pyarrow as pa
         table = table.sort_by("_row")
         bins, offsets = first_fit_decreasing(table.column("length").to_pylist(), seq_len)
         gid = table.column("_group")[0].as_py() << 32
-        out = table.drop_columns(["_row", "_group"])
-        return (out.append_column("sequence_id", pa.array([gid + b for b in bins], pa.int64()))
-                   .append_column("offset", pa.array(offsets, pa.int64())))
+        return pa.table({"_row": table.column("_row"), "sequence_id": pa.array([gid + b for b in bins], pa.int64()),
+                         "offset": pa.array(offsets, pa.int64())})
+
+    places = lengths.groupBy("_group").applyInArrow(pack, "_row long, sequence_id long, offset long")
+    # always a sort-merge join: the pieces move the same way whatever the input's size
+    return rows.join(places.hint("merge"), "_row").drop("_row")
+
+
+def with_digest(packed: DataFrame) -> DataFrame:
+    """Add ``ids_crc32``, the checksum of a packed piece's ids as little-endian 32-bit words."""
+    from pyspark.sql.types import LongType, StructType
+    at = packed.columns.index("ids")
+    schema = StructType([*packed.schema.fields]).add("ids_crc32", LongType())
+
+    def digest(batches):
+        import zlib
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            ids = batch.column(at)
+            flat, ends = ids.values.to_numpy().astype("<i4", copy=False), ids.offsets.to_numpy()
+            crc = [zlib.crc32(np.ascontiguousarray(flat[a:b])) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crc, pa.int64())], names=[*batch.schema.names, "ids_crc32"])
 
-    return rows.groupBy("_group").applyInArrow(pack, schema)
+    return packed.mapInArrow(digest, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, end_id: int = END_ID,
-                   with_ids: bool = True) -> DataFrame:
-    """Pieces of all documents with their sequence and offset, and their ids unless ``with_ids`` is off."""
-    return pack_pieces(token_pieces(docs, tokenizer, seq_len, end_id, with_ids), seq_len)
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset): the pieces of all documents in their sequences."""
+    packed = with_digest(pack_pieces(token_pieces(docs, tokenizer, seq_len, end_id), seq_len))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset")
 
 
 def q_op3(spark, sf_dir: str) -> DataFrame:
     """op3: all documents packed into sequences of 2048 tokens."""
-    return pack_documents(documents(spark, sf_dir), with_ids=False)
+    return pack_documents(documents(spark, sf_dir))

@@ -165,6 +165,20 @@ def test_packing_edges(spark):
     assert pack_documents(same).count() == 50
 
 
+def test_registered_packing_holds_the_ids(spark):
+    import corpus_pipeline
+    import numpy as np
+    d = documents(spark, SF).limit(200)
+    text, tok = {r.doc_id: r.text for r in d.collect()}, plain_tokenizer()
+    for got in (q_op3(spark, SF), corpus_pipeline.packing(spark, d, SF)):
+        rows = [r for r in got.collect() if r.doc_id in text]
+        assert {r.doc_id for r in rows} == set(text)
+        ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, END_ID] for i, t in text.items()}
+        for r in rows:
+            assert list(r.ids) == ids[r.doc_id][r.start:r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+
+
 def test_first_fit_decreasing_is_first_fit():
     import random
     r = random.Random(1)
