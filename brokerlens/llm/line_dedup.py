@@ -3,9 +3,11 @@
 Each document is a sequence of line hashes (blank lines aside).  A line
 alone may be frequent, so the key by which overlapping documents are found
 is made rare: the hash of the shortest run of lines from a given line on that
-has ``MIN_WORDS`` words.  Two documents that share a block of that size share
-the key at its start.  Every holder of a key is paired with the key's first
-document, so the pairs grow with the lines, however many documents hold one.
+has ``MIN_WORDS`` words, and that of the shortest such run up to it.  Every
+line of a block of that size lies in a run of one of the two kinds within the
+block, so the runs' first documents hold all of it.  Every holder of a key is
+paired with the key's first document, so the pairs grow with the lines, however
+many documents hold one.
 
 A pair is aligned by patience diff: lines that occur once in both, in their
 longest increasing order, widened to equal neighbours, again between and
@@ -51,6 +53,17 @@ def run_keys(hashes, words, min_words: int = MIN_WORDS):
     return out
 
 
+def block_keys(hashes, words, min_words: int = MIN_WORDS) -> list[int]:
+    """Keys of the shortest runs of ``min_words`` words from each line on and up to each line."""
+    import xxhash
+    import numpy as np
+    raw, n = np.asarray(hashes, np.int64).tobytes(), len(hashes)
+    runs = {(start, end) for start, end, _ in run_keys(hashes, words, min_words)}
+    runs.update((n - end, n - start) for start, end, _ in run_keys(hashes[::-1], words[::-1], min_words))
+    keys = {xxhash.xxh64_intdigest(raw[8 * start:8 * end], 7) for start, end in runs}
+    return [key - (1 << 64) if key >> 63 else key for key in keys]
+
+
 def _anchors(a, b, open_b):
     """Increasing pairs (i, j) of lines that occur once in ``a`` and once among the open lines of ``b``."""
     once_a, once_b = {}, {}
@@ -133,7 +146,7 @@ def document_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 hashes.append(h)
                 words.append(w)
                 numbers.append(n)
-                keys.append(list({k for _, _, k in run_keys(h, w, min_words)}))
+                keys.append(block_keys(h, w, min_words))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(x, longs) for x in (hashes, words, numbers, keys)]],
                 names=["doc_id", "mark", "hashes", "words", "numbers", "keys"])

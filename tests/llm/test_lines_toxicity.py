@@ -70,6 +70,20 @@ def test_planted_passages_stay_once(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5]
 
 
+def test_blocks_that_go_on_beyond_the_first_holder(spark):
+    import random
+    p, q = words(55, 1), words(40, 2)
+    rows = [(1, f"{p}\n{words(9, 3)}", "s"), (2, f"{words(9, 4)}\n{p}\n{q}", "s"), (3, f"{p}\n{q}\n{words(9, 5)}", "s")]
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows), report=True).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == f"{words(9, 4)}\n{q}" and got[3].text == words(9, 5)
+    r = random.Random(8)
+    lines = [words(n, 100 + i) for i, n in enumerate((5, 20, 30, 10, 40, 60, 25, 15))]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9))), "s") for i in range(150)]
+    got = {r.doc_id: set(r.gone) for r in dedup_lines(docs(spark, rows), report=True).collect()}
+    for i, text, _ in rows:
+        assert got[i] == set().union(*[shared_blocks(earlier, text) for _, earlier, _ in rows[:i]])
+
+
 def test_line_dedup_edges(spark):
     d = docs(spark, edge_rows(), CLASH)
     got = dedup_lines(d)
