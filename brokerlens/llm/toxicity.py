@@ -7,7 +7,8 @@ a word of a toxic document that has such a feature is a toxic token, all
 others are not.  On windows around such words, and on as many plain ones, the
 field's feature weights and transitions are fitted by maximum likelihood.  The
 marginals of the sampled documents then fit a logistic function from the
-highest marginal and the expected number of toxic words to the label.
+highest marginal and the expected number of toxic words to the label, each class
+weighted by its count among all usable labels over its count in the sample.
 
 Scoring.  One pass over the documents: exact forward-backward marginals per
 word.  Words without a kept feature all have the same factor, so a long run
@@ -206,15 +207,16 @@ def fit_field(sequences, n_features: int, rounds: int = 200, l2: float = 0.01):
     return theta[:n_features].tolist(), float(theta[n_features]), float(theta[n_features + 1]), ((t[0], t[1]), (t[2], t[3]))
 
 
-def fit_logistic(tops, expected, labels, rounds: int = 60, l2: float = 1.0):
-    """Constant and two coefficients of a ridge logistic regression, by Newton steps."""
+def fit_logistic(tops, expected, labels, rounds: int = 60, l2: float = 1.0, shares=(1.0, 1.0)):
+    """Constant and two coefficients of a ridge logistic regression, by Newton steps; ``shares``: weight of a row by its label."""
     import numpy as np
     x = np.column_stack([np.ones(len(labels)), tops, np.log1p(expected)])
     y, w = np.asarray(labels, float), np.zeros(3)
+    weight = np.where(y > 0, shares[1], shares[0])
     ridge = np.diag([1e-3, l2, l2]) * 0.1
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -271,16 +273,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     scratch = Scratch(docs.sparkSession, "toxicity")
     usable = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
                     .where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    # the usable labels' documents, with the rows of each: ids without a document neither count nor take places in the sample
+    held = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    usable = scratch.table(usable.join(held, "doc_id"))
+    all_rows = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.sum("n_rows").alias("n")).collect()}
+    all0, all1 = all_rows.get(0, 0), all_rows.get(1, 0)
+    if not all0 or not all1:
+        scratch.drop(usable)
+        share = all1 / (all0 + all1) if all0 + all1 else 0.0
+        return Model({}, logistic=(math.log(max(share, 1e-13) / max(1 - share, 1e-13)), 0.0, 0.0))
     by_class = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    chosen = by_class[0].union(by_class[1])
+    chosen = by_class[0].union(by_class[1]).select("doc_id", "toxic")
     # at most 2 * sample ids: a bounded broadcast
     texts = scratch.table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
                               .select(F.col("toxic").alias("key"), "text").repartition(16))
     counts = {r["key"]: r["n"] for r in texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    if not n0 or not n1:
-        share = n1 / (n0 + n1) if n0 + n1 else 0.0
-        return Model({}, logistic=(math.log(max(share, 1e-13) / max(1 - share, 1e-13)), 0.0, 0.0))
+    n0, n1 = counts[0], counts[1]
+    scratch.drop(usable)
 
     def document_counts(batches):
         from collections import Counter
@@ -323,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     index = {f: i for i, f in enumerate(sorted(r["feature"] for r in kept))}
     if not index:
         scratch.drop(texts)
-        return Model({}, logistic=(math.log(n1 / n0), 0.0, 0.0))
+        return Model({}, logistic=(math.log(all1 / all0), 0.0, 0.0))
 
     def windows(batches):
         import zlib
@@ -351,7 +360,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model({f: w[i] for f, i in index.items()}, bias, start, moves)
     got = texts.mapInArrow(_marginals(model), f"key int, top double, expected double, spans {SPANS}").select("key", "top", "expected").collect()
     got = sorted(tuple(r) for r in got)
-    model.logistic = fit_logistic([r[1] for r in got], [r[2] for r in got], [r[0] for r in got])
+    model.logistic = fit_logistic([r[1] for r in got], [r[2] for r in got], [r[0] for r in got],
+                                  shares=(all0 / n0, all1 / n1))
     scratch.drop(texts)
     return model
 

@@ -177,6 +177,31 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(d.limit(0), model).count() == 0
 
 
+def test_capped_sample_keeps_the_natural_share(spark):
+    import random
+    r, rows, labels = random.Random(11), [], []
+    for i in range(3000):
+        toxic, w = i % 8 == 0, words(20, i, vocab=300).split()
+        if r.random() < (0.8 if toxic else 0.07):
+            w.insert(r.randrange(len(w)), "vorpal")
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, int(toxic)))
+    # 0.62 of the documents with the word are toxic, 0.92 where the classes are equally large
+    held = [i for i, t, _ in rows if "vorpal" in t]
+    share = sum(i % 8 == 0 for i in held) / len(held)
+    assert 0.5 < share < 0.68
+    labels += [(-i, 1) for i in range(1, 3000)]      # without a document
+    d = docs(spark, rows)
+    for sample in (toxicity.SAMPLE, 220):
+        model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=sample)
+        score = {x.doc_id: x.score for x in toxicity.score_documents(d, model).collect()}
+        assert sum(score.values()) / 3000 == pytest.approx(1 / 8, abs=0.03), sample
+        assert sum(score[i] for i in held) / len(held) == pytest.approx(share, abs=0.12), (sample, score[held[0]])
+    plain = toxicity.train(docs(spark, [(i, "same words", "s") for i in range(800)]),
+                           spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(800)], "doc_id long, toxic int"), sample=50)
+    assert plain.score(0.0, 0.0) == pytest.approx(1 / 8, abs=0.03)
+
+
 def test_toxicity_query(spark):
     rows = toxicity.q_op5(spark, SF).collect()
     assert len(rows) == documents(spark, SF).count()
