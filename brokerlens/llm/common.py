@@ -40,10 +40,11 @@ class Scratch:
 
     bases: list[str] = []
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``df`` written and read back; ``by`` names a column whose values get folders of their own."""
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
