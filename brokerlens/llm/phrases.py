@@ -31,12 +31,14 @@ from brokerlens.llm.common import Scratch, documents
 
 THRESHOLD = 30
 LONGEST = 4
-SHARDS = 4
+SHARDS = 3
 SLOTS = 1 << 24          # one byte each
-FLUSH_WORDS = 1_500_000  # words that a task holds before it sums them up
+FLUSH_WORDS = 3_000_000  # words that a task holds before it sums them up
 NEVER = 255              # slot of phrases that have not reached the threshold
 
-COUNTED = "lang string, phrase string, n int, a long, start int, slot int"
+COUNTED = "key string, a long, state long"
+# of a row's ``state``: the slot, above it the start, above that the number of words
+SLOT_BITS, START_BITS = 32, 8
 
 
 def dealt(docs: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
@@ -48,7 +50,8 @@ def dealt(docs: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
 def _counter(step: int, cycle: int, longest: int, reached, slots: int):
     """Function over batches of (lang, text): rows of ``COUNTED`` for the phrases active in this step.
 
-    ``reached`` holds, compressed, the step in which the phrases of each slot reached the threshold."""
+    ``reached`` holds, compressed, the step in which the phrases of each slot reached the threshold.
+    A row's key is the phrase, a line feed (which no word holds) and the lang."""
 
     def count(batches):
         import zlib
@@ -58,7 +61,8 @@ def _counter(step: int, cycle: int, longest: int, reached, slots: int):
         import pyarrow.compute as pc
         import xxhash
 
-        breaks = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
+        # breaks become a byte that no UTF-8 text holds, as a word of its own
+        breaks, gap = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10), b"\xff"
         at_step = np.frombuffer(zlib.decompress(reached.value), np.uint8)
         mask = np.uint64(slots - 1)
 
@@ -67,7 +71,14 @@ def _counter(step: int, cycle: int, longest: int, reached, slots: int):
                 n = self[word] = len(self)
                 return n
 
-        numbers, held, size = Numbers({None: 0}), {}, 0
+        numbers, held, size = Numbers({gap: 0}), {}, 0
+
+        def joined(left, right):
+            h = left * np.uint64(0x9E3779B97F4A7C15) + right
+            return h ^ (h >> np.uint64(29))
+
+        def steps_of(hashes):
+            return at_step[hashes & mask].astype(np.int64)
 
         def rows(lang, words, names, seq):
             """Counts of the active phrases of one lang: ``seq`` has the words' numbers, 0 at a break."""
@@ -75,42 +86,46 @@ def _counter(step: int, cycle: int, longest: int, reached, slots: int):
             times[0] = 0
             there = np.flatnonzero(times)
             seed = xxhash.xxh32_intdigest(lang)
-            h = np.zeros(len(words), np.uint64)
-            h[there] = np.fromiter((xxhash.xxh64_intdigest(names[i], seed) for i in there.tolist()), np.uint64, len(there))
+            own = np.zeros(len(words), np.uint64)
+            own[there] = np.fromiter((xxhash.xxh64_intdigest(names[i], seed) for i in there.tolist()), np.uint64, len(there))
             if step < cycle:
-                yield out(lang, words.take(pa.array(there)), 1, times[there], np.zeros(len(there)), h[there] & mask)
-                yield out(lang, pa.array([b""], pa.binary()), 0, [times.sum()], [0], [0])
-            own = h[seq]
-            hashes, ok = own, seq != 0
-            when = at_step[hashes & mask].astype(np.int16)
-            when[~ok] = NEVER
+                yield out(lang, words.take(pa.array(there)), 1, times[there], np.zeros(len(there), np.int64), own[there])
+                yield out(lang, pa.array([b""], pa.binary()), 0, times.sum(keepdims=True), np.zeros(1, np.int64), own[:1])
+            when_word = steps_of(own)
+            when_word[0] = NEVER
+            # places whose first n - 1 words have reached the threshold: position, hash, step
+            pos = np.flatnonzero((when_word != NEVER)[seq])
+            hashes, when = own[seq[pos]], when_word[seq[pos]]
             for n in range(2, longest + 1):
-                if len(seq) < n:
-                    break
-                ok = ok[:-1] & (seq[n - 1:] != 0)
-                start = np.maximum(when[:-1], when[1:]) + 1
-                hashes = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[n - 1:]
-                hashes ^= hashes >> np.uint64(29)
-                pos = np.flatnonzero(ok & (start <= step) & (step < start + cycle))
-                if len(pos):
-                    key = seq[pos]
-                    for k in range(1, n):        # the exact number of the first words, then the next word's
-                        if k > 1:
-                            key = np.unique(key, return_inverse=True)[1]
-                        key = key * len(words) + seq[pos + k]
-                    _, first, many = np.unique(key, return_index=True, return_counts=True)
-                    first = pos[first]
-                    parts = [words.take(pa.array(seq[first + k])) for k in range(n)]
-                    yield out(lang, pc.binary_join_element_wise(*parts, b" "), n, many, start[first], hashes[first] & mask)
-                when = at_step[hashes & mask].astype(np.int16)
-                when[~ok] = NEVER
-
-        def out(lang, phrase, n, many, start, slot):
-            k = len(phrase)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang], pa.string()).take(pa.array(np.zeros(k, np.int32))), phrase.cast(pa.string()), pa.array(np.full(k, n, np.int32)),
-                 pa.array(np.asarray(many, np.int64)), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(slot).astype(np.int32))],
-                names=["lang", "phrase", "n", "a", "start", "slot"])
+                side = np.flatnonzero(pos[1:] == pos[:-1] + 1)
+                pos, start, hashes = pos[side], np.maximum(when[side], when[side + 1]) + 1, joined(hashes[side], own[seq[pos[side] + n - 1]])
+                now = np.flatnonzero((start <= step) & (step < start + cycle))
+                if len(now):
+                    # the exact number of the first words, and the last word's
+                    key = seq[pos[now]]
+                    for k in range(1, n - 1):
+                        key = np.unique(key * len(words) + seq[pos[now] + k], return_inverse=True)[1]
+                    key = key * len(words) + seq[pos[now] + n - 1]
+                    if n == 2:
+                        key, many = np.unique(key, return_counts=True)
+                        parts = list(divmod(key, len(words)))
+                        starts = np.maximum(when_word[parts[0]], when_word[parts[1]]) + 1
+                        back = joined(own[parts[0]], own[parts[1]])
+                    else:
+                        _, first, many = np.unique(key, return_index=True, return_counts=True)
+                        first = now[first]
+                        parts = [seq[pos[first] + k] for k in range(n)]
+                        starts, back = start[first], hashes[first]
+                    yield out(lang, pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in parts], b" "), n, many, starts, back)
+                when = steps_of(hashes)
+                frequent = np.flatnonzero(when != NEVER)
+                when = np.maximum(when, start - 1)       # not before its own subphrases, whoever else is in the slot
+                pos, hashes, when = pos[frequent], hashes[frequent], when[frequent]
+
+        def out(lang, phrase, n, many, start, hashes):
+            key = pc.binary_join_element_wise(phrase, pa.scalar(lang.encode(), pa.binary()), b"\n").cast(pa.string())
+            state = (n << (SLOT_BITS + START_BITS)) | (start.astype(np.int64) << SLOT_BITS) | (hashes & mask).astype(np.int64)
+            return pa.RecordBatch.from_arrays([key, pa.array(many.astype(np.int64)), pa.array(state)], names=["key", "a", "state"])
 
         def flush():
             names = [b"", *list(numbers)[1:]]
@@ -120,18 +135,13 @@ def _counter(step: int, cycle: int, longest: int, reached, slots: int):
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seq = []
-                for piece in text.as_buffer().to_pybytes().lower().translate(breaks).split(b"\n"):
-                    words = piece.split()
-                    if words:
-                        seq += words
-                        seq.append(None)
-                if seq:
-                    held.setdefault(lang, []).append(np.fromiter(map(numbers.__getitem__, seq), np.int64, len(seq)))
-                    size += len(seq)
+                seq = text.as_buffer().to_pybytes().lower().translate(breaks).replace(b"\n", b" \xff ").split()
+                seq.append(gap)
+                held.setdefault(lang, []).append(np.fromiter(map(numbers.__getitem__, seq), np.int64, len(seq)))
+                size += len(seq)
                 if size >= FLUSH_WORDS:
                     yield from flush()
-                    numbers, held, size = Numbers({None: 0}), {}, 0
+                    numbers, held, size = Numbers({gap: 0}), {}, 0
         if held:
             yield from flush()
 
@@ -140,7 +150,8 @@ def _counter(step: int, cycle: int, longest: int, reached, slots: int):
 
 def count_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(lang, phrase, n, a): all phrases of 1 to ``longest`` words that occur ``threshold`` times or more in their
-    lang, and per lang one row with n = 0, the number of all its words."""
+    lang, and per lang one row with n = 0, the number of all its words.  ``slots``: a power of two, 64 to 2**32;
+    ``shards`` times ``longest`` is at most 254."""
     import zlib
 
     import numpy as np
@@ -148,33 +159,33 @@ def count_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LO
     scratch = Scratch(spark, "phrases")
     texts = dealt(docs, scratch, shards)
     at_step = np.full(slots, NEVER, np.uint8)
+    n = F.shiftright("state", SLOT_BITS + START_BITS)
+    start = F.shiftright("state", SLOT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1))
+    slot = F.col("state").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
     state, step, last = None, 0, -1
     while step < max(shards, last + 1 + shards):
         reached = spark.sparkContext.broadcast(zlib.compress(at_step.tobytes(), 1))    # at most ``slots`` bytes
         shard = texts.where(F.col("shard") == step % shards).select("lang", "text")
-        new = shard.mapInArrow(_counter(step, shards, longest, reached, slots), COUNTED).withColumn("new", F.col("a"))
-        rows = new if state is None else new.union(state.withColumn("new", F.lit(0).cast("long")))
-        total = rows.groupBy("lang", "phrase").agg(F.max("n").alias("n"), F.sum("a").alias("a"), F.max("start").alias("start"),
-                                                   F.max("slot").alias("slot"), F.sum("new").alias("new"))
+        rows = shard.mapInArrow(_counter(step, shards, longest, reached, slots), COUNTED)
+        total = (rows if state is None else rows.union(state)).groupBy("key").agg(F.sum("a").alias("a"), F.max("state").alias("state"))
         # a phrase below the threshold after its full cycle is done with
-        going = (F.col("n") == 0) | (F.col("a") >= threshold) | (F.col("start") + F.lit(shards - 1) > step)
-        kept = scratch.table(total.where(going))
+        kept = scratch.table(total.where((n == 0) | (F.col("a") >= threshold) | (start + F.lit(shards - 1) > step)))
         if state is not None:
             scratch.drop(state)
-        state = kept.drop("new")
-        state._scratch_path = kept._scratch_path
-        crossed = kept.where((F.col("a") >= threshold) & (F.col("a") - F.col("new") < threshold) & F.col("n").between(1, longest - 1))
-        bits = crossed.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("b")).toArrow()
-        if bits.num_rows:        # at most slots / 64 rows
-            words = np.zeros(slots // 64, np.uint64)
-            words[bits["w"].to_numpy()] = bits["b"].to_numpy().view(np.uint64)
-            now = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-            at_step[now & (at_step == NEVER)] = step
-            last = step
+        state = kept
+        over = state.where((F.col("a") >= threshold) & n.between(1, longest - 1)).select(slot.alias("slot"))
+        bits = over.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("b")).toArrow()
+        words = np.zeros(max(1, slots // 64), np.uint64)                                # at most slots / 64 rows
+        words[bits["w"].to_numpy()] = bits["b"].to_numpy().view(np.uint64)
+        new = np.unpackbits(words.view(np.uint8), bitorder="little")[:slots].astype(bool) & (at_step == NEVER)
+        if new.any():
+            at_step[new], last = step, step
         reached.destroy()
         step += 1
     scratch.drop(texts)
-    return state.where((F.col("a") >= threshold) | (F.col("n") == 0)).select("lang", "phrase", "n", "a")
+    done = state.where((F.col("a") >= threshold) | (n == 0))
+    return done.select(F.substring_index("key", "\n", 1).alias("phrase"), "key", n.cast("int").alias("n"), "a").select(
+        F.expr("substring(key, length(phrase) + 2)").alias("lang"), "phrase", "n", "a")
 
 
 def mine_collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, top: int = 2000, covered: int = 80, **scan) -> DataFrame:
