@@ -33,7 +33,7 @@ THRESHOLD = 30
 LONGEST = 4
 SHARDS = 3
 SLOTS = 1 << 24          # one byte each
-FLUSH_WORDS = 3_000_000  # words that a task holds before it sums them up
+FLUSH_BYTES = 16 << 20   # of text that a task holds before it sums up its words
 NEVER = 255              # slot of phrases that have not reached the threshold
 
 COUNTED = "key string, a long, state long"
@@ -62,16 +62,22 @@ def _counter(step: int, cycle: int, longest: int, reached, slots: int):
         import xxhash
 
         # breaks become a byte that no UTF-8 text holds, as a word of its own
-        breaks, gap = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10), b"\xff"
+        breaks, gap = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" "), b"\xff"
         at_step = np.frombuffer(zlib.decompress(reached.value), np.uint8)
         mask = np.uint64(slots - 1)
-
-        class Numbers(dict):
-            def __missing__(self, word):
-                n = self[word] = len(self)
-                return n
-
-        numbers, held, size = Numbers({gap: 0}), {}, 0
+        held, size = {}, 0
+
+        def numbered(text):
+            """The distinct words of a text, and its words as numbers among them."""
+            raw = np.frombuffer(text, np.uint8)
+            space = raw == 32
+            end = np.flatnonzero(space)
+            length = np.diff(end, prepend=-1) - 1
+            ends = np.cumsum(length[length > 0])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [
+                None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw[~space])])
+            coded = words.dictionary_encode()
+            return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
 
         def joined(left, right):
             h = left * np.uint64(0x9E3779B97F4A7C15) + right
@@ -80,19 +86,20 @@ def _counter(step: int, cycle: int, longest: int, reached, slots: int):
         def steps_of(hashes):
             return at_step[hashes & mask].astype(np.int64)
 
-        def rows(lang, words, names, seq):
-            """Counts of the active phrases of one lang: ``seq`` has the words' numbers, 0 at a break."""
-            times = np.bincount(seq, minlength=len(words))
-            times[0] = 0
+        def rows(lang, words, seq):
+            """Counts of the active phrases of one lang: ``seq`` has the numbers of its words."""
+            names = words.to_pylist()
+            none = names.index(gap)
+            times = np.bincount(seq, minlength=len(names))
+            times[none] = 0
             there = np.flatnonzero(times)
             seed = xxhash.xxh32_intdigest(lang)
-            own = np.zeros(len(words), np.uint64)
-            own[there] = np.fromiter((xxhash.xxh64_intdigest(names[i], seed) for i in there.tolist()), np.uint64, len(there))
+            own = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in names), np.uint64, len(names))
             if step < cycle:
                 yield out(lang, words.take(pa.array(there)), 1, times[there], np.zeros(len(there), np.int64), own[there])
-                yield out(lang, pa.array([b""], pa.binary()), 0, times.sum(keepdims=True), np.zeros(1, np.int64), own[:1])
+                yield out(lang, pa.array([b""], pa.large_binary()), 0, times.sum(keepdims=True), np.zeros(1, np.int64), own[:1])
             when_word = steps_of(own)
-            when_word[0] = NEVER
+            when_word[none] = NEVER
             # places whose first n - 1 words have reached the threshold: position, hash, step
             pos = np.flatnonzero((when_word != NEVER)[seq])
             hashes, when = own[seq[pos]], when_word[seq[pos]]
@@ -116,32 +123,29 @@ def _counter(step: int, cycle: int, longest: int, reached, slots: int):
                         first = now[first]
                         parts = [seq[pos[first] + k] for k in range(n)]
                         starts, back = start[first], hashes[first]
-                    yield out(lang, pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in parts], b" "), n, many, starts, back)
+                    yield out(lang, pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in parts], pa.scalar(b" ", pa.large_binary())), n, many, starts, back)
                 when = steps_of(hashes)
                 frequent = np.flatnonzero(when != NEVER)
                 when = np.maximum(when, start - 1)       # not before its own subphrases, whoever else is in the slot
                 pos, hashes, when = pos[frequent], hashes[frequent], when[frequent]
 
         def out(lang, phrase, n, many, start, hashes):
-            key = pc.binary_join_element_wise(phrase, pa.scalar(lang.encode(), pa.binary()), b"\n").cast(pa.string())
+            key = pc.binary_join_element_wise(phrase, pa.scalar(lang.encode(), pa.large_binary()), pa.scalar(b"\n", pa.large_binary())).cast(pa.string())
             state = (n << (SLOT_BITS + START_BITS)) | (start.astype(np.int64) << SLOT_BITS) | (hashes & mask).astype(np.int64)
             return pa.RecordBatch.from_arrays([key, pa.array(many.astype(np.int64)), pa.array(state)], names=["key", "a", "state"])
 
         def flush():
-            names = [b"", *list(numbers)[1:]]
-            words = pa.array(names, pa.binary())
-            for lang, seqs in held.items():
-                yield from rows(lang, words, names, np.concatenate(seqs))
+            for lang, texts in held.items():
+                yield from rows(lang, *numbered(b"".join(texts)))
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seq = text.as_buffer().to_pybytes().lower().translate(breaks).replace(b"\n", b" \xff ").split()
-                seq.append(gap)
-                held.setdefault(lang, []).append(np.fromiter(map(numbers.__getitem__, seq), np.int64, len(seq)))
-                size += len(seq)
-                if size >= FLUSH_WORDS:
+                raw = text.as_buffer().to_pybytes().lower().translate(breaks).replace(b"\n", b" \xff ") + b" \xff "
+                held.setdefault(lang, []).append(raw)
+                size += len(raw)
+                if size >= FLUSH_BYTES:
                     yield from flush()
-                    numbers, held, size = Numbers({gap: 0}), {}, 0
+                    held, size = {}, 0
         if held:
             yield from flush()
 

@@ -69,7 +69,7 @@ def test_counts_are_whole_whatever_the_shards(spark, monkeypatch, shards, slots,
     """With 64 slots every phrase shares its slot with others: it is activated too early, never counted wrongly."""
     text = [(i, words(200, seed=i % 7, vocab=12) + ". " + words(60, seed=i, vocab=6), "s") for i in range(60)]
     df = docs(spark, text)
-    monkeypatch.setattr(phrases, "FLUSH_WORDS", flush)
+    monkeypatch.setattr(phrases, "FLUSH_BYTES", flush)
     got = {(r.lang, tuple(r.phrase.split(" "))): r.a for r in count_phrases(df, 30, 4, shards, slots).where("n > 0").collect()}
     f, total = grams([("en", t) for _, t, _ in text])
     assert got == {k: a for k, a in f.items() if a >= 30}
