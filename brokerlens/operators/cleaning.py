@@ -94,13 +94,9 @@ def count_infinite(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def fit_medians(df: DataFrame, cols: list[str]) -> dict:
-    """Exact median per column (nulls skipped): one row per column, from
-    the distributed exact quantiles."""
-    from brokerlens.operators.basic import exact_quantiles
-    from brokerlens.operators.profile import _long_values
-    rows = exact_quantiles(_long_values(df, cols), ["column"], "x", [0.5]).collect()
-    got = {r["column"]: r["value"] for r in rows}
-    return {c: got.get(c) for c in cols}
+    """Exact median per column (nulls skipped), all columns side by side."""
+    from brokerlens.operators.quantiles import wide_quantiles
+    return {c: v[0] for c, v in wide_quantiles(df, cols, [0.5]).items()}
 
 
 def impute_median(df: DataFrame, medians: dict) -> DataFrame:

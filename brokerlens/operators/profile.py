@@ -5,10 +5,10 @@ Every multi-column profile is ONE aggregate over the table (a struct per
 column inside an array), exploded to long rows afterwards: never one job
 per column.
 
-Quantiles: ``exact=True`` uses ``basic.exact_quantiles`` (linear
-interpolation like pandas, computed from distributed cumulative counts, so
-no task holds a column's value list); ``exact=False`` uses
-``percentile_approx`` (one pass, state bounded by ``accuracy``).
+Quantiles: ``exact=True`` uses ``quantiles.wide_quantiles`` (linear
+interpolation like pandas, all columns side by side, no row exploded);
+``exact=False`` uses ``percentile_approx`` (one pass, state bounded by
+``accuracy``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brokerlens.functions.scalar import ratio
-from brokerlens.operators.basic import exact_quantiles
+from brokerlens.operators.quantiles import wide_quantiles
 from brokerlens.sources.schema import columns_by_type
 
 
@@ -51,53 +51,40 @@ def dtype_counts(df: DataFrame) -> DataFrame:
     return column_info(df).groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
-def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, x) rows for the given columns as double, missing values (null, NaN) dropped."""
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols
-    ])).alias("_r")).select("_r.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
-
-
-def _exact_quartiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75)) -> DataFrame:
-    names = [f"q{int(round(q * 100))}" for q in qs]
-    long_q = exact_quantiles(_long_values(df, cols), ["column"], "x", qs)
-    return long_q.groupBy("column").agg(*[F.max(F.when(F.col("q") == F.lit(float(q)), F.col("value"))).alias(n)
-                                          for q, n in zip(qs, names)])
+def _quartile_items(df: DataFrame, cols: list[str], qs, names: list[str], exact: bool) -> dict[str, list[Column]]:
+    """Per column its quantiles as columns of an aggregate: fitted constants if exact, else sketches."""
+    if exact:
+        found = wide_quantiles(df, cols, qs)
+        return {c: [F.lit(v).cast("double").alias(n) for v, n in zip(found[c], names)] for c in cols}
+    out = {}
+    for c in cols:
+        x = F.col(f"`{c}`").cast("double")
+        qv = _q(F.when(~F.isnan(x), x), qs, False)
+        out[c] = [qv[i].alias(n) for i, n in enumerate(names)]
+    return out
 
 
 def quartiles(df: DataFrame, cols: list[str], qs=(0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
     """(column, one column per quantile named q25 / q50 / ...)."""
     names = [f"q{int(round(q * 100))}" for q in qs]
-    if exact:
-        return _exact_quartiles(df, cols, qs)
-    items = []
-    for c in cols:
-        qv = _q(F.col(f"`{c}`").cast("double"), qs, False)
-        items.append(F.struct(F.lit(c).alias("column"), *[qv[i].alias(n) for i, n in enumerate(names)]))
-    return _long(df, items)
+    found = _quartile_items(df, cols, qs, names, exact)
+    return _long(df, [F.struct(F.lit(c).alias("column"), *found[c]) for c in cols])
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 %, max per numeric column, missing values (null, NaN) skipped.
 
-    Count, moments, min and max are one aggregate of all columns; exact
-    quantiles come from ``basic.exact_quantiles``, approximate ones from
-    ``percentile_approx`` in the same aggregate."""
+    One aggregate of all columns side by side; exact quantiles come from
+    ``quantiles.wide_quantiles``, approximate ones from the same aggregate."""
     cols = cols or columns_by_type(df)[0]
+    quart = _quartile_items(df, cols, (0.25, 0.5, 0.75), ["q25", "q50", "q75"], exact)
     items = []
     for c in cols:
         x = F.col(f"`{c}`").cast("double")
         x = F.when(~F.isnan(x), x)
-        part = [F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"), F.max(x).alias("max")]
-        if not exact:
-            qv = _q(x, (0.25, 0.5, 0.75), False)
-            part += [qv[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
-        items.append(F.struct(*part))
-    out = _long(df, items)
-    if exact:
-        out = out.join(_exact_quartiles(df, cols), "column", "left")
-    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+        items.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                              F.min(x).alias("min"), *quart[c], F.max(x).alias("max")))
+    return _long(df, items)
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -166,21 +153,27 @@ def categorical_values(df: DataFrame, cols: list[str] | None = None, all_below:
 
 def boxplot_stats(df: DataFrame, cols: list[str] | None = None, whisker: float = 1.5,
                   exact: bool = True) -> DataFrame:
-    """q1, median, q3, whiskers (furthest values within 1.5 IQR) and the
-    number of outliers, per numeric column: the quartiles, then one pass over
-    the values against them."""
+    """q1, median, q3, whiskers (furthest values within 1.5 IQR) and the number of outliers, per numeric column with
+    values: the quartiles, then one aggregate of all columns side by side against them."""
     cols = cols or columns_by_type(df)[0]
-    qt = _exact_quartiles(df, cols) if exact else quartiles(df, cols, exact=False)
-    quart = qt.select("column", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"))
-    lo = F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1"))
-    inside = (F.col("x") >= lo) & (F.col("x") <= hi)
-    # one row per column
-    return (_long_values(df, cols).join(F.broadcast(quart), "column")
-                  .groupBy("column", "q1", "median", "q3")
-                  .agg(F.min(F.when(inside, F.col("x"))).alias("lower_whisker"),
-                       F.max(F.when(inside, F.col("x"))).alias("upper_whisker"),
-                       F.count(F.when(~inside, 1)).alias("outliers")))
+    if exact:
+        found = wide_quantiles(df, cols, (0.25, 0.5, 0.75))
+    else:
+        found = {r["column"]: [r["q25"], r["q50"], r["q75"]] for r in quartiles(df, cols, exact=False).collect()}    # one row per column
+    items = []
+    for c in (c for c in cols if found[c][0] is not None):
+        x = F.col(f"`{c}`").cast("double")
+        x = F.when(~F.isnan(x), x)
+        q1, median, q3 = found[c]
+        lo, hi = F.lit(q1 - whisker * (q3 - q1)), F.lit(q3 + whisker * (q3 - q1))
+        inside = (x >= lo) & (x <= hi)
+        items.append(F.struct(F.lit(c).alias("column"), F.lit(q1).alias("q1"), F.lit(median).alias("median"), F.lit(q3).alias("q3"),
+                              F.min(F.when(inside, x)).alias("lower_whisker"), F.max(F.when(inside, x)).alias("upper_whisker"),
+                              F.count(F.when(~inside, 1)).alias("outliers")))
+    if not items:
+        return df.sparkSession.createDataFrame([], "column string, q1 double, median double, q3 double, lower_whisker double, "
+                                                   "upper_whisker double, outliers long")
+    return _long(df, items)
 
 
 def kde_curve(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, tail_sd: float | None = None) -> DataFrame:

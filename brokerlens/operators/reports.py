@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brokerlens.functions.scalar import message_length, pct, ratio
-from brokerlens.operators.basic import class_counts, exact_quantiles, histogram, materialize, value_counts
+from brokerlens.operators.basic import class_counts, histogram, materialize, value_counts
+from brokerlens.operators.quantiles import wide_quantiles
 
 HOURS = list(range(24))
 
@@ -149,13 +150,13 @@ def _duration_long(dur: DataFrame) -> DataFrame:
 
 
 def attack_duration_summary(df: DataFrame, label: str = "is_ddos") -> DataFrame:
-    """Mean, median, min, max attack duration in seconds, minutes, hours."""
-    dur = materialize(_duration_long(attack_duration(df, label)))      # one row per attacker and unit
-    median = exact_quantiles(dur, ["unit"], "duration", [0.5]).select("unit", F.col("value").alias("median"))
-    return (dur.groupBy("unit")
-               .agg(F.avg("duration").alias("mean"), F.min("duration").alias("min"), F.max("duration").alias("max"),
-                    F.count(F.lit(1)).alias("n_ips"))
-               .join(median, "unit", "left").select("unit", "mean", "median", "min", "max", "n_ips"))
+    """Mean, median, min, max attack duration in seconds, minutes, hours; no rows without an attacker."""
+    dur = materialize(attack_duration(df, label))      # one row per attacker
+    units = {"s": "duration_s", "min": "duration_min", "h": "duration_h"}
+    median = wide_quantiles(dur, list(units.values()), [0.5])
+    rows = F.array(*[F.struct(F.lit(u).alias("unit"), F.avg(c).alias("mean"), F.lit(median[c][0]).cast("double").alias("median"),
+                              F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n_ips")) for u, c in units.items()])
+    return dur.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*").where("n_ips > 0")
 
 
 def attack_duration_hist(df: DataFrame, bins: int = 50, label: str = "is_ddos") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from brokerlens.functions.scalar import ratio
 from brokerlens.operators.basic import dense_codes
+from brokerlens.operators.comoments import pearson
 
 MISSING = "MISSING"
 
@@ -85,64 +86,22 @@ def standardize(df: DataFrame, params, cols: list[str]) -> DataFrame:
 
 # ---- correlation -------------------------------------------------------------------
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pairwise-complete Pearson correlation for the given column pairs.
-
-    The data pass is one distributed aggregate: rows are grouped by their
-    null pattern over the involved columns and, per pattern, Spark takes
-    the count, the sums, sums of squares, min, max and the cross-product
-    sums of the requested pairs (columns shifted by their mean, taken
-    first as one small row, for numerical stability).  Within one
-    pattern a pair is complete on every row or on none, so a pair's
-    statistics are sums over the patterns where both columns are present:
-    each pattern's row is exploded into its complete pairs, and those are
-    added up.  Null when a column is constant over the pair's rows
-    (min = max).
-    """
-    order = [a for p in pairs for a in p]
-    cols = sorted(set(order), key=order.index)
-    idx = {c: i for i, c in enumerate(cols)}
-    x = {c: _q(c).cast("double") for c in cols}
-    means = df.agg(*[F.avg(x[c]).alias(f"m{idx[c]}") for c in cols]).first()
-    xs = {c: x[c] - F.lit(float(means[f"m{idx[c]}"] or 0.0)) for c in cols}
-    prod = sorted({(min(idx[a], idx[b]), max(idx[a], idx[b])) for a, b in pairs if a != b})
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in cols:
-        i = idx[c]
-        aggs += [F.sum(xs[c]).alias(f"s{i}"), F.sum(xs[c] * xs[c]).alias(f"q{i}"),
-                 F.min(x[c]).alias(f"lo{i}"), F.max(x[c]).alias(f"hi{i}")]
-    aggs += [F.sum(xs[cols[i]] * xs[cols[j]]).alias(f"p{i}_{j}") for i, j in prod]
-    per = df.groupBy(F.array(*[x[c].isNotNull() for c in cols]).alias("present")).agg(*aggs)
-
-    def sums(k, a, b):
-        i, j = idx[a], idx[b]
-        ab = F.col(f"q{i}") if i == j else F.col(f"p{min(i, j)}_{max(i, j)}")
-        both = F.col("present")[i] & F.col("present")[j]
-        return F.when(both, F.struct(F.lit(k).alias("k"), F.col("n"), F.col(f"s{i}").alias("sa"), F.col(f"s{j}").alias("sb"),
-                                     F.col(f"q{i}").alias("qa"), F.col(f"q{j}").alias("qb"), ab.alias("ab"),
-                                     F.col(f"lo{i}").alias("la"), F.col(f"hi{i}").alias("ha"),
-                                     F.col(f"lo{j}").alias("lb"), F.col(f"hi{j}").alias("hb")))
-
-    long = per.select(F.explode(F.array(*[sums(k, a, b) for k, (a, b) in enumerate(pairs)])).alias("r")).where("r IS NOT NULL").select("r.*")
-    t = long.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "ab")],
-                              *[F.min(c).alias(c) for c in ("la", "lb")], *[F.max(c).alias(c) for c in ("ha", "hb")])
-    n = F.col("n").cast("double")
-    va, vb = F.col("qa") - F.col("sa") * F.col("sa") / n, F.col("qb") - F.col("sb") * F.col("sb") / n
-    r = (F.col("ab") - F.col("sa") * F.col("sb") / n) / F.sqrt(va * vb)
-    varies = (F.col("la") < F.col("ha")) & (F.col("lb") < F.col("hb")) & (va > 0) & (vb > 0)
-    corr = t.select("k", F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("corr"))
-    spine = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, feature_x string, feature_y string")
-    return F.broadcast(spine).join(corr, "k", "left").select("feature_x", "feature_y", "corr")
+    """Pairwise-complete Pearson correlation (feature_x, feature_y, corr) for the given column pairs, from
+    ``comoments``: one pass, null when a column is constant over the pair's rows."""
+    left, right = (list(dict.fromkeys(side)) for side in zip(*pairs))
+    wanted = df.sparkSession.createDataFrame(pairs, "feature_x string, feature_y string")
+    return wanted.join(pearson(df, left, right), ["feature_x", "feature_y"], "left")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Long Pearson matrix (feature_x, feature_y, corr), pairwise complete,
     every ordered pair and the diagonal, from one aggregate pass."""
-    return pearson_pairs(df, [(a, b) for a in cols for b in cols])
+    return pearson(df, cols)
 
 
 def target_correlation(df: DataFrame, cols: list[str], target: str = "is_ddos") -> DataFrame:
     """Correlation of every column (the target included, 1.0) with the target."""
-    return (pearson_pairs(df, [(c, target) for c in cols])
+    return (pearson(df, cols, [target])
               .select(F.col("feature_x").alias("feature"), "corr")
               .orderBy(F.desc_nulls_last("corr"), "feature"))
 
