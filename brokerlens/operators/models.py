@@ -158,77 +158,54 @@ def _rff(p: int, seed: int, n_components: int = 100):
 
 
 # ---- distance-weighted kNN ------------------------------------------------------------------------
-KNN_TRAIN = 20_000       # training rows at most
-KNN_CELLS = 4_000_000    # distances held at once by a task
-
-
-def knn_train_rows(train: DataFrame, features: list[str], label: str, limit: int, order: str = "mqtt_message_id"):
-    """(X, y, id) of at most ``limit`` training rows as numpy arrays: all rows if they are that few, else
-    of each class its share, the rows with the lowest hash of their id and features."""
+def knn_sample(train: DataFrame, features: list[str], label: str, limit: int, order: str = "mqtt_message_id") -> DataFrame:
+    """At most ``limit`` training rows: all if they are that few, else of each class its share, the rows with
+    the lowest hash of their id and features."""
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
+    if total <= limit:
+        return train
     key = F.xxhash64(*[F.col(c) for c in ([order] if order in train.columns else []) + features])
-    rows = train.select(F.col(label).cast("int").alias("y"), key.alias("key"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
-    got = []
+    out = None
     for y, n in sorted(counts.items(), key=lambda c: (c[0] is None, c[0] or 0)):
-        of_class = rows.where(F.col("y").eqNullSafe(F.lit(y).cast("int")))
-        share = n if total <= limit else max(1, n * limit // total)
-        got += of_class.orderBy("key", *[f"f{i}" for i in range(len(features))]).limit(share).collect()
-    X = np.array([[np.nan if v is None else v for v in r[2:]] for r in got], float).reshape(len(got), len(features))
-    return X, np.array([r["y"] or 0 for r in got], int)
+        of_class = train.where(F.col(label).eqNullSafe(F.lit(y))).withColumn("_key", key)
+        of_class = of_class.orderBy("_key", *features).limit(max(1, n * limit // total)).drop("_key")
+        out = of_class if out is None else out.union(of_class)
+    return out
+
+
+def knn_train_rows(train: DataFrame, features: list[str], label: str, limit: int, order: str = "mqtt_message_id"):
+    """The features and labels of ``knn_sample`` as numpy arrays."""
+    rows = knn_sample(train, features, label, limit, order).select(*[F.col(c).cast("double") for c in features], F.col(label).cast("int")).collect()
+    X = np.array([[np.nan if v is None else v for v in r[:-1]] for r in rows], float).reshape(len(rows), len(features))
+    return X, np.array([r[-1] or 0 for r in rows], int)
 
 
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], k: int, label: str = "is_ddos",
-                keys=("mqtt_message_id",), max_train: int = KNN_TRAIN) -> DataFrame:
+                keys=("mqtt_message_id",), max_train: int | None = None) -> DataFrame:
     """k nearest neighbours (Euclidean, standardised with train statistics), weights 1/d; zero
-    distances take all the weight.
+    distances take all the weight; rows equally far at the k-th place share it.
 
-    A lazy learner's model is its training rows, so they are bounded: at most
-    ``max_train``, stratified by class (exact while the training part has no more).
-    They are sent to the tasks as one small matrix of that size; every test row is
-    scored in place, in chunks of bounded size, with no shuffle and no copy of a row.
-    A missing value counts as the mean."""
+    Exact over all training rows (``knn``), whatever their number.  Only with ``max_train`` the training
+    rows are a sample, stratified by class.  A missing value counts as the mean."""
+    from brokerlens.operators import knn
+    from brokerlens.operators.basic import materialize
     p = len(features)
-    stats = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)],
-                      *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    mean = np.array([stats[f"m{i}"] or 0.0 for i in range(p)])
-    scale = np.array([stats[f"s{i}"] or 1.0 for i in range(p)])
-    X, y = knn_train_rows(train, features, label, max_train)
-    R = np.nan_to_num((X - mean) / scale)
-    fields = [f for f in test.select(*keys).schema.fields]
-    from pyspark.sql import types as T
-    schema = T.StructType([*fields, T.StructField("label", T.IntegerType()), T.StructField("probability", T.DoubleType())])
-    names = [*keys, "label"]
-
-    def neighbours(Q):
-        """Distances and training rows of the k nearest, over blocks of training rows."""
-        best_d = np.full((len(Q), 0), np.inf)
-        best_i = np.zeros((len(Q), 0), int)
-        step = max(1, KNN_CELLS // max(1, len(Q) * p))
-        for at in range(0, len(R), step):
-            d = np.sqrt(((Q[:, None, :] - R[None, at:at + step, :]) ** 2).sum(-1))
-            d = np.concatenate([best_d, d], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(np.arange(at, at + d.shape[1] - best_d.shape[1]), (len(Q), d.shape[1] - best_d.shape[1]))], axis=1)
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            best_d, best_i = np.take_along_axis(d, near, 1), np.take_along_axis(i, near, 1)
-        return best_d, best_i
-
-    def score(batches):
-        for pdf in batches:
-            Q = np.nan_to_num((pdf[[f"f{i}" for i in range(p)]].to_numpy(float) - mean) / scale)
-            prob = np.full(len(Q), np.nan)
-            for at in range(0, len(Q) if len(R) else 0, 1024):
-                d, i = neighbours(Q[at:at + 1024])
-                one, zero = y[i] == 1, d == 0
-                with np.errstate(divide="ignore"):
-                    w = np.where(zero.any(1, keepdims=True), zero, 1.0 / d)
-                prob[at:at + 1024] = (w * one).sum(1) / w.sum(1)
-            out = pdf[names].copy()
-            out["probability"] = prob
-            yield out
-
-    rows = test.select(*keys, F.col(label).cast("int").alias("label"), *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
-    out = rows.mapInPandas(score, schema).withColumn("probability", F.when(~F.isnan("probability"), F.col("probability")))
+    x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features]
+    stats = train.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(x)]).first()
+    mean = [stats[f"m{i}"] or 0.0 for i in range(p)]
+    vec = knn.standard_vector(features, mean, [stats[f"s{i}"] or 1.0 for i in range(p)]).alias("vec")
+    known = train if max_train is None else knn_sample(train, features, label, max_train)
+    points = materialize(known.select(vec, (F.col(label) == 1).cast("long").alias("y")).groupBy("vec").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")))
+    rows = materialize(test.select(*keys, F.col(label).cast("int").alias("label"), vec))
+    if points.isEmpty():
+        voted = rows.select("vec").distinct().select("vec", F.lit(None).cast("double").alias("probability"))
+    else:
+        voted = knn.vote(knn.neighbour_counts(points, rows.select("vec").distinct(), k, p), k)
+    # compared through an expression, so that the rows of a frequent vector can be split
+    voted = voted.select(F.concat("vec", F.array().cast("array<double>")).alias("_vec"), "probability")
+    out = rows.join(voted, F.col("vec") == F.col("_vec"), "left").select(*keys, "label", "probability")
     return out.withColumn("prediction", (F.col("probability") > F.lit(0.5)).cast("int"))
 
 
