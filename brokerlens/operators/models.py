@@ -4,12 +4,13 @@ Fixed configurations of the reference, mapped to MLlib:
   tree_simple  depth 10, min leaf 10        tree_deep  depth 20, min leaf 5
   rf_50        50 trees, depth 15           rf_100     100 trees, depth 20
   rf_200       200 trees, depth 25          knn_3/5/10 distance-weighted kNN
-  mlp          hidden (100,), max 200 iterations
+  mlp          hidden (100,), max 200 epochs; mlp_100_50 and mlp_150_100_50 have those layers
   naive_bayes  Gaussian                     svm        RBF kernel (random Fourier features)
   logistic     max 1000 iterations
+The perceptron (``perceptron``) has relu layers, Adam, a 10 % validation share and
+early stop, as the reference's; ``estimator("mlp")`` is MLlib's, which has none of them.
 Differences: MLlib trees bin continuous features and have no
-min-samples-split; the MLP uses sigmoid hidden units and L-BFGS without
-early stopping; the RBF SVM is approximated by random Fourier features
+min-samples-split; the RBF SVM is approximated by random Fourier features
 (Rahimi & Recht, 2007) + LinearSVC with a logistic (Platt) calibration.
 Trees use raw features, the other models standardised ones.
 """
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ MLP_LAYERS = [(100,), (100, 50), (150, 100, 50)]
 MLP_ITERATIONS = (100, 500)
 
 
+def mlp_layers(name: str) -> tuple:
+    """Hidden layers of a model name: ``mlp`` or ``mlp_<units>_<units>...``."""
+    return tuple(int(x) for x in name.split("_")[1:]) or (100,)
+
+
 def estimator(name: str, n_features: int, seed: int = 42, hidden=(100,), max_iter: int = 200):
     """The MLlib estimator of a named configuration; ``hidden`` layers and ``max_iter`` are the perceptron's."""
     if name == "logistic":
@@ -70,6 +76,15 @@ def assemble(df: DataFrame, features: list[str], scale: bool, scaler=None):
     return scaler.transform(v).drop("features_raw"), scaler
 
 
+def fitted_vector(train: DataFrame, features: list[str]):
+    """Column of the standardised features, with means and deviations of ``train``; a missing value counts as the mean."""
+    from brokerlens.operators.knn import standard_vector
+    x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features]
+    stats = train.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(x)]).first()
+    p = range(len(features))
+    return standard_vector(features, [stats[f"m{i}"] or 0.0 for i in p], [stats[f"s{i}"] or 1.0 for i in p])
+
+
 def _prep(train, test, features, label, scale):
     tr = train.withColumn("label", F.col(label).cast("double"))
     te = test.withColumn("label", F.col(label).cast("double"))
@@ -95,6 +110,9 @@ class Fitted:
         keys = [k for k in keys if k in df.columns]
         if self.name.startswith("knn_"):
             return knn_predict(self.train, df, self.features, int(self.name.split("_")[1]), self.label, keys)
+        if self.name.startswith("mlp"):
+            d = df.select(*keys, F.col(self.label).cast("int").alias("label"), self.scaler.alias("vec")).withColumn("probability", self.model.probability(F.col("vec")))
+            return d.select(*keys, "label", (F.col("probability") > F.lit(0.5)).cast("int").alias("prediction"), "probability")
         d = df.withColumn("label", F.col(self.label).cast("double"))
         d, _ = assemble(d, self.features, self.name not in TREE_MODELS, self.scaler)
         if self.name == "svm":
@@ -110,6 +128,11 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos"
     t0 = time.perf_counter()
     if name.startswith("knn_"):  # lazy learner: the training rows are the model
         return Fitted(name, features, label, train=train, seconds=0.0)
+    if name.startswith("mlp"):
+        from brokerlens.operators.perceptron import train_perceptron
+        vec = fitted_vector(train, features)
+        model = train_perceptron(train, vec, label, len(features), seed=seed, **{"hidden": mlp_layers(name), **options})
+        return Fitted(name, features, label, model, vec, seconds=time.perf_counter() - t0)
     tr = train.withColumn("label", F.col(label).cast("double"))
     tr, scaler = assemble(tr, features, name not in TREE_MODELS)
     if name == "svm":
@@ -191,10 +214,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], k: int,
     from brokerlens.operators import knn
     from brokerlens.operators.basic import materialize
     p = len(features)
-    x = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features]
-    stats = train.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(x)]).first()
-    mean = [stats[f"m{i}"] or 0.0 for i in range(p)]
-    vec = knn.standard_vector(features, mean, [stats[f"s{i}"] or 1.0 for i in range(p)]).alias("vec")
+    vec = fitted_vector(train, features).alias("vec")
     known = train if max_train is None else knn_sample(train, features, label, max_train)
     points = materialize(known.select(vec, (F.col(label) == 1).cast("long").alias("y")).groupBy("vec").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")))
@@ -211,9 +231,9 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], k: int,
 
 # ---- model reports ---------------------------------------------------------------------------------
 def loss_curve(spark: SparkSession, model) -> DataFrame:
-    summary = model.summary() if callable(model.summary) else model.summary
-    hist = list(summary.objectiveHistory)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
+    """Training loss and validation accuracy of each epoch of a perceptron."""
+    rows = [(i, loss, score) for i, (loss, score) in enumerate(zip(model.losses, model.scores))]
+    return spark.createDataFrame(rows, "iteration int, loss double, validation_accuracy double")
 
 
 def tree_importance(spark: SparkSession, model, features: list[str], top: int = 15) -> DataFrame:
@@ -238,33 +258,27 @@ def forest_details(spark: SparkSession, model, name: str) -> DataFrame:
 # ---- selection of k by cross-validated logistic regression ---------------------------------------
 def elbow_k(train: DataFrame, ranked_features: list[str], folds: int = 5, max_k: int = 30, label: str = "is_ddos",
             seed: int = 42) -> DataFrame:
-    """For k = 1..min(p, max_k): mean accuracy of LogisticRegression over
-    ``folds`` hash folds using the k best-ranked features.  The assembled,
-    standardised vectors are computed once and persisted; each k slices
-    them (VectorSlicer)."""
+    """For k = 1..min(p, max_k): mean accuracy of a logistic regression over ``folds`` stratified hash folds using
+    the k best-ranked features.  All fits take their Newton steps together, one pass over the rows a step (``newton``)."""
+    from brokerlens.operators.blocks import matrix_blocks
+    from brokerlens.operators.newton import nested_logistic
     from brokerlens.operators.split import with_folds
     spark = train.sparkSession
-    p = min(len(ranked_features), max_k)
-    base = with_folds(train, folds, seed, label=label).withColumn("label", F.col(label).cast("double"))
-    vec, _ = assemble(base, ranked_features[:p], scale=True)
-    vec = vec.select("fold", "label", "features").persist()
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fold_accuracy(k, f):
-        sl = VectorSlicer(inputCol="features", outputCol="fk", indices=list(range(k)))
-        tr, te = vec.where(F.col("fold") != f), vec.where(F.col("fold") == f)
-        m = LogisticRegression(maxIter=1000, featuresCol="fk", labelCol="label").fit(sl.transform(tr))
-        pr = m.transform(sl.transform(te))
-        return pr.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-
+    features = ranked_features[:max_k]
+    p = len(features)
+    if not p:
+        return spark.createDataFrame([], "k int, cv_accuracy double, best boolean")
+    base = with_folds(train, folds, seed, label=label).where(F.col(label).isNotNull())
+    y = F.array((F.col(label) == 1).cast("double"), F.col("fold").cast("double"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = matrix_blocks(base, fitted_vector(train, features), y, F.lit(seed), tasks)
+    fits = nested_logistic(blocks, p, folds, tasks)
+    blocks.unpersist()
     rows = []
-    # fits of the folds run as concurrent Spark jobs, as CrossValidator(parallelism=...) does
-    with ThreadPoolExecutor(max_workers=folds) as pool:
-        for k in range(1, p + 1):
-            accs = list(pool.map(lambda f: fold_accuracy(k, f), range(folds)))
-            rows.append((k, float(np.mean([a for a in accs if a is not None]))))
-    vec.unpersist()
-    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
+    for k in range(1, p + 1):
+        accs = [fits[k, f][0] for f in range(folds) if (k, f) in fits and not np.isnan(fits[k, f][0])]
+        rows.append((k, float(np.mean(accs)) if accs else None))
+    best = max(rows, key=lambda r: (-1.0 if r[1] is None else r[1], -r[0]))[0]
     return spark.createDataFrame([(k, a, k == best) for k, a in rows], "k int, cv_accuracy double, best boolean")
 
 

@@ -88,13 +88,14 @@ def _model_query(name):
     return run
 
 
-for _name in M.MODEL_NAMES:
+# the three layer sets of the reference's perceptron: mlp has (100,)
+for _name in [*M.MODEL_NAMES, "mlp_100_50", "mlp_150_100_50"]:
     register(f"model_{_name}")(_model_query(_name))
 
 
 @register("loss_curve")
 def q_loss_curve(spark, sf):
-    """Objective per iteration of the MLP (L-BFGS)."""
+    """Training loss and validation accuracy of the perceptron's epochs."""
     tr, te, feats = parts(spark, sf)
     _, model, _ = M.fit_predict(tr, te, feats, "mlp")
     return M.loss_curve(spark, model)
