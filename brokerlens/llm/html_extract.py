@@ -2,21 +2,27 @@
 
 Per host, the block trees of a bounded set of seed pages are aligned one after
 the other by simple tree matching; runs of equal siblings count as one node.
-The merged tree is the host's template: a text that stands at a node on all the
-seed pages with that node (three or more) is constant, the rest of it is a slot.
-Every page of the host is then aligned with the template.  Its text is what
-stands in slots and in nodes the template does not know, without the blocks
-that are no article by their tag or role, or, outside article and main elements,
-by the words of their class; where pages mark an article or main element, only
-what it holds; elsewhere, only the slot that holds most of the host's text.
-
-The words of a class are a guess: a block in which the template finds ``LARGE``
-of the host's varying text stays whatever its class, and where nothing of a page
-is left, it is read again without the guesses, then without its marks.
-
-The seeds are the ``SEEDS`` lowest hashes among a host's distinct pages, a
-bounded sample that fits the template; every page is extracted, from its whole
-html.  Alignment depends on a page's shape alone and is kept per shape.
+The merged tree names the host's nodes and nothing else: every page is aligned with
+it, and a block that it does not know is named by its path below one that it does.
+
+All pages of a host then vote.  For every node the distinct pages that have it,
+the pages on which each text stands there, and the size of the texts are counted.
+A text that stands at a node on ``CONSTANT_SHARE`` of its pages (``CONSTANT_PAGES`` or
+more) is template, the rest of the node is a slot.  A page's text is what stands
+in slots, without the blocks that are no article by their tag or role, or, outside
+article and main elements, by the words of their class; where a page marks an
+article or main element, only what it holds; elsewhere, only the part of the page
+whose slots hold most of the text, by the sizes of its nodes over all pages that
+have them.  So a rare layout is judged by the nodes of its own pages.
+
+The words of a class are a guess: a block whose slots hold ``LARGE`` of the page's
+text stays whatever its class, and where nothing of a page is left, it is read
+again without the guesses, then without its marks.
+
+The seeds are the ``SEEDS`` lowest hashes among a host's distinct pages.  Counts are
+sent to the tasks for nodes on ``NODE_SHARE`` of a host's pages or more (and three); a
+rarer node counts as a slot of its own page.  Texts, nodes and equal pages are told
+apart by 64-bit hashes.  Alignment depends on a page's shape alone and is kept per shape.
 
 Defined cases: null and empty html give the empty text; a page without a host
 takes the template of all such pages; repeated rows get equal texts; broken
@@ -36,9 +42,11 @@ from pyspark.sql import functions as F
 from brokerlens.llm.common import Scratch, documents
 
 SEEDS = 12
-CONSTANT_PAGES = 3     # seed pages on which a text must be the same
+CONSTANT_PAGES = 3     # pages on which a text must be the same
+CONSTANT_SHARE = 0.7   # of the pages that have the node
+NODE_SHARE = 0.001     # of a host's pages: rarer nodes are not sent to the tasks
 LEAST_SHARE = 0.7      # of a node's text that one child must hold to be descended into
-LARGE = 0.5            # of a host's varying text: a slot that holds as much is no furniture
+LARGE = 0.5            # of a page's varying text: a slot that holds as much is no furniture
 KEEP_SHAPES = 20_000   # alignments kept by a worker
 DEEPEST = 150          # deeper blocks are read as siblings at that depth
 WIDEST = 128           # more children than that are pooled by label for the alignment
@@ -342,44 +350,35 @@ def induce(pages: list[str]) -> Slot:
     return root
 
 
-def _weigh(slot: Slot) -> int:
-    return slot.size + sum(_weigh(k) for k in slot.kids)
+def _hash(text: str) -> int:
+    import xxhash
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def main_slot(root: Slot) -> set[int]:
-    """Template nodes in the part that holds most of the varying text."""
-    at = root
-    while at.kids:
-        weights = [_weigh(k) for k in at.kids]
-        best = max(range(len(weights)), key=weights.__getitem__)
-        if weights[best] < LEAST_SHARE * max(1, _weigh(at)) or at.kids[best].label.split(".")[0] in ("p", "h1", "h2", "li", "td"):
-            break
-        at = at.kids[best]
-    inside, todo = set(), [at]
-    while todo:
-        x = todo.pop()
-        inside.add(id(x))
-        todo += x.kids
-    return inside
-
-
-def large_slots(root: Slot) -> set[int]:
-    """Template nodes that hold ``LARGE`` of the host's varying text or more."""
-    total, out, todo = _weigh(root), set(), [root]
-    while todo:
-        x = todo.pop()
-        if total and _weigh(x) >= LARGE * total:
-            out.add(id(x))
-            todo += x.kids
-    return out
+class Wrapper:
+    """A host's template, ready to name the nodes of its pages and to extract them.
 
+    ``votes``: per node (mean size of its slot, hashes of its constant texts), counted over all pages;
+    without it, that of the pages the template was induced from."""
 
-class Wrapper:
-    """A host's template, ready to extract its pages."""
+    def __init__(self, template: Slot, votes: dict | None = None):
+        self.template, self.shapes, self.ids = template, {}, {}
+        todo = [template]
+        while todo:
+            x = todo.pop()
+            self.ids[id(x)] = _hash(f"template {len(self.ids)}")
+            todo += reversed(x.kids)
+        self.votes = self._own_votes() if votes is None else votes
 
-    def __init__(self, template: Slot):
-        self.template, self.inside, self.shapes = template, main_slot(template), {}
-        self.large = large_slots(template)
+    def _own_votes(self) -> dict:
+        out, todo = {}, [self.template]
+        while todo:
+            x = todo.pop()
+            size = max(0, x.size - x.pages * sum(map(len, x.constant)))
+            out[self.ids[id(x)]] = (size / max(1, x.pages), {_hash(t) for t in x.constant})
+            todo += x.kids
+        return out
 
     def align(self, s: Shape) -> dict[int, Slot]:
         """Template node of each node of a shape, by preorder number."""
@@ -397,23 +396,63 @@ class Wrapper:
             got = self.shapes[s.key] = {order[id(y)]: x for x, y in out}
         return got
 
-    def text(self, page: str) -> str:
-        """The page's main text; a page of which nothing is left is read without guesses, then without marks."""
-        root = parse(page)
-        s = shape([root])
+    def named(self, s: Shape) -> list[tuple]:
+        """(node of the shape, its name, number of the node above, dropped) in preorder; a block is dropped if it or one
+        above it is no article by tag, role or style."""
         aligned = self.align(s)
-        slots, todo, n = {}, [(s, self.template)], 0
+        out, todo = [], [(s, -1)]
         while todo:
             x, above = todo.pop()
-            slot = aligned.get(n)
-            n += 1
+            slot = aligned.get(len(out))
+            name = self.ids[id(slot)] if slot is not None else _hash(f"{out[above][1] if above >= 0 else 0}/{x.label}")
+            dropped = above >= 0 and out[above][3] or any(n.suspect for n in x.nodes)
+            todo += [(k, len(out)) for k in reversed(x.kids)]
+            out.append((x, name, above, dropped))
+        return out
+
+    def seen(self, page: str) -> dict:
+        """What a page tells of its nodes: {name: {text hash: its size}}; text in dropped blocks, but headers, is not asked."""
+        out: dict = {}
+        for x, name, _, dropped in self.named(shape([parse(page)])):
+            if not dropped or x.label == "header":
+                texts = out.setdefault(name, {})
+                for n in x.nodes:
+                    if t := n.own_text():
+                        texts[_hash(t)] = 0 if dropped else len(t)
+        return out
+
+    def text(self, page: str) -> str:
+        """The page's main text; a page of which nothing is left is read without guesses, then without marks."""
+        root = parse(page)
+        named = self.named(shape([root]))
+        number, weight, none = {}, [], (0.0, frozenset())
+        for i, (x, name, _, dropped) in enumerate(named):
+            own = []
             for node in x.nodes:
-                slots[id(node)] = (slot, slot or above)
-            todo += [(k, slot or above) for k in reversed(x.kids)]
+                number[id(node)] = i
+                if name not in self.votes:
+                    own.append(node.own_text())
+            weight.append(0.0 if dropped else self.votes[name][0] if name in self.votes else float(sum(map(len, set(own)))))
+        constant = [self.votes.get(name, none)[1] for _, name, _, _ in named]
+        size, kids = [1] * len(named), [[] for _ in named]
+        for i in range(len(named) - 1, 0, -1):
+            above = named[i][2]
+            weight[above] += weight[i]
+            size[above] += size[i]
+            kids[above].append(i)
+        at = 0
+        while kids[at]:
+            best = max(reversed(kids[at]), key=weight.__getitem__)
+            if weight[best] < LEAST_SHARE * max(1, weight[at]) or named[best][0].label.split(".")[0] in ("p", "h1", "h2", "li", "td"):
+                break
+            at = best
+        main = range(at, at + size[at])
+        large = {i for i, w in enumerate(weight) if weight[0] and w >= LARGE * weight[0]}
+        slots = (number, constant, main)
         out: list[str] = []
         for guesses in (True, False):
             def dropped(node):
-                return node.suspect or guesses and node.guess and id(slots[id(node)][0]) not in self.large
+                return node.suspect or guesses and node.guess and number[id(node)] not in large
 
             marked = _mains(root, dropped)
             for top in marked or [root]:
@@ -446,11 +485,12 @@ class Wrapper:
         run.clear()
         if not t:
             return
-        slot, near = slots[id(node)]
-        if slot is not None and slot.constant and (t in slot.constant or node.own_text() in slot.constant):
+        number, constants, main = slots
+        i = number[id(node)]
+        if constants[i] and (_hash(t) in constants[i] or _hash(node.own_text()) in constants[i]):
             return
         if not marked:
-            if id(near) not in self.inside or node.links > 0.6 * sum(len(x) for x in node.items if type(x) is str):
+            if i not in main or node.links > 0.6 * sum(len(x) for x in node.items if type(x) is str):
                 return
         out.append(t)
 
@@ -476,7 +516,7 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, scratch: Scratch, seeds: int = SEEDS) -> DataFrame:
-    """(host, template): the template of each host as JSON, from its seed pages."""
+    """(host, template): the tree of each host as JSON, from its seed pages."""
     known = pages.where(F.length("html") > 0).select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("mark"), "page_id", "html")
     distinct = known.groupBy("host", "mark").agg(F.min("page_id").alias("page_id"))
     nth = F.row_number().over(Window.partitionBy("host").orderBy("mark"))
@@ -484,7 +524,7 @@ def templates(pages: DataFrame, scratch: Scratch, seeds: int = SEEDS) -> DataFra
     chosen = scratch.table(distinct.withColumn("nth", nth).where(F.col("nth") <= seeds).drop("nth"))
     k, c = known.alias("k"), chosen.alias("c")
     on = (F.col("k.host") == F.col("c.host")) & (F.col("k.mark") == F.col("c.mark")) & F.col("k.page_id").eqNullSafe(F.col("c.page_id"))
-    seed = k.join(c, on, "left_semi").select("host", "mark", "html")
+    seed = k.join(c, on, "left_semi").select("host", "mark", "html").dropDuplicates(["host", "mark"])      # repeated rows count once
 
     def learn(key, table):
         import json
@@ -496,31 +536,73 @@ def templates(pages: DataFrame, scratch: Scratch, seeds: int = SEEDS) -> DataFra
     return seed.groupBy("host").applyInArrow(learn, "host string, template string")
 
 
+class _Wrappers(dict):
+    """Wrappers by their text form (template, votes), few at a time."""
+
+    def __missing__(self, key):
+        import json
+        if len(self) > 100:
+            self.clear()
+        template, votes = key
+        tree = Slot.load(json.loads(template)) if template else Slot("#page")
+        self[key] = w = Wrapper(tree, {n: (m, set(c)) for n, m, c in json.loads(votes)} if votes else {})
+        return w
+
+
+def votes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, votes): what all pages of a host say of their nodes, as JSON [[node, mean size, [constant texts]]].
+
+    ``rows``: (host, html, template).  Each distinct page counts once."""
+    def observe(batches):
+        import pyarrow as pa
+        wrappers = _Wrappers()
+        for batch in batches:
+            out: list = [[], [], [], [], []]
+            for host, mark, page, template in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                for node, texts in wrappers[template, None].seen(page).items():
+                    for t, size in {0: 0, **texts}.items():
+                        for held, v in zip(out, (host, node, mark, t, size)):
+                            held.append(v)
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in out[:4]], pa.array(out[4], pa.int32())],
+                                             names=["host", "node", "mark", "text", "size"])
+
+    known = rows.where(F.length("html") > 0).select(F.xxhash64("host").alias("host"), F.xxhash64("html").alias("mark"), "html", "template")
+    seen = known.mapInArrow(observe, "host long, node long, mark long, text long, size int")
+    # text 0 stands for the node itself
+    texts = scratch.table(seen.groupBy("host", "node", "text").agg(F.countDistinct("mark").alias("n"), F.max("size").alias("size")))
+    nodes = texts.groupBy("host", "node").agg(F.max(F.when(F.col("text") == 0, F.col("n"))).alias("pages"), F.sum(F.col("n") * F.col("size")).alias("total"))
+    nodes = scratch.table(nodes.where(F.col("pages") >= CONSTANT_PAGES))
+    common = texts.where((F.col("text") != 0) & (F.col("n") >= CONSTANT_PAGES)).join(nodes.select("host", "node", "pages"), ["host", "node"])
+    fixed = common.where(F.col("n") >= F.lit(CONSTANT_SHARE) * F.col("pages")).groupBy("host", "node").agg(
+        F.sum(F.col("n") * F.col("size")).alias("fixed"), F.collect_list("text").alias("constant"))       # at most a page's texts over CONSTANT_SHARE
+    most = nodes.groupBy("host").agg(F.max("pages").alias("of_host"))
+    kept = nodes.join(most, "host").where(F.col("pages") >= F.lit(NODE_SHARE) * F.col("of_host")).join(fixed, ["host", "node"], "left")
+    mean = (F.col("total") - F.coalesce("fixed", F.lit(0))) / F.col("pages")
+    # per host at most 1 / NODE_SHARE times the nodes of a page
+    entry = F.concat(F.lit("["), F.concat_ws(",", F.col("node").cast("string"), F.round(mean, 3).cast("string"),
+                                             F.concat(F.lit("["), F.concat_ws(",", F.coalesce("constant", F.array()).cast("array<string>")), F.lit("]"))), F.lit("]"))
+    return kept.groupBy("host").agg(F.concat(F.lit("["), F.concat_ws(",", F.sort_array(F.collect_list(entry))), F.lit("]")).alias("votes"))
+
+
 def extract_text(pages: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """(page_id, url, text) per page row: the main text of the whole html."""
     scratch = Scratch(pages.sparkSession, "wrappers")
     kind = dict(pages.dtypes)["page_id"]
     known = scratch.table(templates(pages, scratch, seeds))
+    named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    counted = scratch.table(votes(named.join(known, "host", "left"), scratch))
+    hosts = scratch.table(known.withColumn("mark", F.xxhash64("host")).join(counted.withColumnRenamed("host", "mark"), "mark", "left").drop("mark"))
 
     def run(batches):
-        import json
         import pyarrow as pa
-        wrappers: dict = {}
+        wrappers = _Wrappers()
         for batch in batches:
-            texts = []
-            for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if not page:
-                    texts.append("")
-                    continue
-                if template not in wrappers:
-                    if len(wrappers) > 200:
-                        wrappers.clear()
-                    wrappers[template] = Wrapper(Slot.load(json.loads(template)) if template else Slot("#page"))
-                texts.append(wrappers[template].text(page))
+            texts = [wrappers[template, counts].text(page) if page else ""
+                     for page, template, counts in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(known, "host", "left")
-    return rows.select("page_id", "url", "html", "template").mapInArrow(run, f"page_id {kind}, url string, text string")
+    rows = named.join(hosts, "host", "left")
+    return rows.select("page_id", "url", "html", "template", "votes").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def q_op6(spark, sf_dir: str) -> DataFrame:

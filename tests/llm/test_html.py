@@ -149,3 +149,57 @@ def test_dropped_elements_end_where_they_end():
     }
     alone = Wrapper(induce([]))
     assert {page: alone.text(page) for page in cases} == cases
+
+
+def two_layouts(rare, common):
+    """Pages of one host: ``common`` ones with an article element, ``rare`` ones of another layout without."""
+    rows, want = [], {}
+    for i in range(common + rare):
+        paras = [prose(20_000 + 10 * i + j, 30) for j in range(3)]
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        if i < rare:
+            page = (f"<body><div class=bar>Home and away</div><div class=x1><div class=y1>{body}<p>First told in our paper</p></div><div class=z1>Read our other stories</div></div>"
+                    f"<div class=low>All rights are ours</div></body>")
+        else:
+            page = f"<body><div class=top>Welcome to us</div><article>{body}<p>Thanks for reading all this</p></article><div class=end>{prose(i, 5)}</div></body>"
+        rows.append((i, f"https://two.example.org/{i}", page))
+        want[i] = " ".join(paras)
+    return rows, want
+
+
+def test_a_rare_layout_keeps_its_text_and_loses_its_frame(spark):
+    rows, want = two_layouts(10, 190)
+    assert texts(spark, rows) == want
+
+
+def test_seeds_change_no_result(spark):
+    rows, want = two_layouts(10, 60)
+    for seeds in (1, 3, 40):
+        assert {r.page_id: r.text for r in extract_text(pages(spark, rows), seeds).collect()} == want
+
+
+def test_the_votes_change_the_text_of_pages_without_article(spark):
+    """The same pages read alone keep their frame: what goes, goes by the counts over all pages."""
+    rows, want = two_layouts(30, 0)
+    got = texts(spark, rows)
+    alone = Wrapper(induce([]), {})
+    assert got == want and all(alone.text(page) != want[i] for i, _, page in rows)
+
+
+def test_repeated_rows_vote_once(spark):
+    """Four pages, one of them 3,000 times: its paragraph is not on most of the distinct pages."""
+    rows = [(i, "https://r.example.org/", f"<article><p>{prose(i)}</p><div>Read on at our site</div></article>") for i in range(4)]
+    got = extract_text(pages(spark, rows + [rows[0]] * 3000)).groupBy("page_id", "text").count().collect()
+    assert {(r.page_id, r.text): r["count"] for r in got} == {(i, prose(i)): 3001 if i == 0 else 1 for i in range(4)}
+
+
+def test_a_constant_footer_in_another_language_on_one_page(spark):
+    rows = [(i, "https://f.example.org/", f"<article><p>{prose(i)}</p><div>{'Weiter lesen' if i == 3 else 'Read on here'}</div></article>") for i in range(20)]
+    got = texts(spark, rows)
+    assert all(got[i] == prose(i) for i in range(20) if i != 3) and got[3] == prose(3) + " Weiter lesen"
+
+
+def test_every_page_of_another_layout(spark):
+    """Pages that share no blocks with any other keep their varying text."""
+    rows = [(i, "https://v.example.org/", f"<body><div class=k{'abcdefghij'[i]}x><section class={'abcdefghij'[i]}><p>{prose(i, 30)}</p></section></div>") for i in range(10)]
+    assert texts(spark, rows) == {i: prose(i, 30) for i in range(10)}
