@@ -81,17 +81,19 @@ def roc_auc(df: DataFrame, by=()) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, by=()) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, from the highest down:
-    the share of each class scored at or above the threshold."""
+    """(threshold, fpr, tpr) at every distinct score, from the highest down: the share of each class scored at or
+    above the threshold; before them the start (0, 0), with an infinite threshold."""
     by = list(by)
-    cum = running_sums(_score_counts(df, by), by, "probability", ["pos", "neg"], descending=True)
-    tot = cum.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    counts = _score_counts(df, by)
+    cum = running_sums(counts, by, "probability", ["pos", "neg"], descending=True)
+    tot = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count(F.lit(1)).alias("n_scores"))
     if by:
         j = cum.join(tot, by)
     else:  # one-row totals as scalar subqueries
         j = cum.withColumn("n_pos", tot.select("n_pos").scalar()).withColumn("n_neg", tot.select("n_neg").scalar())
+    start = tot.where("n_scores > 0").select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return j.select(*by, F.col("probability").alias("threshold"),
-                    _z(F.col("cum_neg"), F.col("n_neg")).alias("fpr"), _z(F.col("cum_pos"), F.col("n_pos")).alias("tpr"))
+                    _z(F.col("cum_neg"), F.col("n_neg")).alias("fpr"), _z(F.col("cum_pos"), F.col("n_pos")).alias("tpr")).unionByName(start)
 
 
 def classification_report(df: DataFrame, by=()) -> DataFrame:

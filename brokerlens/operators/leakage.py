@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brokerlens.functions.scalar import ratio
 from brokerlens.operators.basic import running_sums
-from brokerlens.operators.stats import _long_features, target_correlation
+from brokerlens.operators.stats import _long_features, fit_scaler, standardize, target_correlation
 
 HIGH_CORR, CRITICAL_CORR = 0.95, 0.99
 ZERO_VAR = 1e-10
@@ -134,6 +134,17 @@ def remove_leaky_features(df: DataFrame, report: DataFrame, drop_same_distributi
     return df.drop(*leaky_features(report, drop_same_distribution))
 
 
+def remove_and_standardize(train: DataFrame, test: DataFrame, cols: list[str], report: DataFrame, drop_same_distribution: bool = False):
+    """(train, test, kept features): both parts without the condemned features, the others standardised anew with the
+    training part's statistics, as they are fitted again after the drop."""
+    gone = set(leaky_features(report, drop_same_distribution))
+    kept = [c for c in cols if c not in gone]
+    drop = [c for c in cols if c in gone]
+    train, test = train.drop(*drop), test.drop(*drop)
+    params = fit_scaler(train, kept)
+    return standardize(train, params, kept), standardize(test, params, kept), kept
+
+
 def single_class_check(df: DataFrame, label: str = "is_ddos") -> DataFrame:
     return (df.agg(F.countDistinct(label).alias("n_classes"))
               .withColumn("single_class", F.col("n_classes") < 2))

@@ -161,3 +161,12 @@ def pca_reduced_dataset(df: DataFrame, features: list[str], variance: float = 0.
     m = int(np.nonzero(cum >= variance - 1e-12)[0][0] + 1)
     fit = fit_pca(df, features, k=m, standardize=standardize)
     return pca_project(df, fit, m, keep), 100.0 * (1 - m / len(features))
+
+
+def pca_reduction(spark: SparkSession, fit: PcaFit, variance: float = 0.90) -> DataFrame:
+    """(n_features, n_components, reduction_pct, variance_pct) of the fewest components reaching ``variance``."""
+    cum = np.cumsum(fit.ratios)
+    m = int(np.nonzero(cum >= variance - 1e-12)[0][0] + 1)
+    p = len(fit.features)
+    return spark.createDataFrame([(p, m, 100.0 * (1 - m / p), 100.0 * float(cum[m - 1]))],
+                                 "n_features int, n_components int, reduction_pct double, variance_pct double")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brokerlens.functions.scalar import ratio
+from brokerlens.operators.distinct import distinct_counts
 from brokerlens.operators.quantiles import wide_quantiles
 from brokerlens.sources.schema import columns_by_type
 
@@ -121,12 +122,9 @@ def null_patterns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def categorical_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """nunique, nulls and null percent per categorical column."""
     cols = cols or columns_by_type(df)[1]
-    n = F.count(F.lit(1))
-    items = [F.struct(F.lit(c).alias("column"), F.countDistinct(F.col(f"`{c}`")).alias("nunique"),
-                      F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias("nulls"),
-                      (ratio(F.count(F.when(F.col(f"`{c}`").isNull(), 1)), n) * F.lit(100.0)).alias("null_pct"))
-             for c in cols]
-    return _long(df, items)
+    missing = null_counts(df.select(*[F.col(f"`{c}`") for c in cols])).select(
+        "column", "nulls", (ratio(F.col("nulls"), F.col("rows")) * F.lit(100.0)).alias("null_pct"))
+    return distinct_counts(df, cols).join(missing, "column").select("column", "nunique", "nulls", "null_pct")
 
 
 def categorical_values(df: DataFrame, cols: list[str] | None = None, all_below: int = 20,
@@ -176,37 +174,51 @@ def boxplot_stats(df: DataFrame, cols: list[str] | None = None, whisker: float =
     return _long(df, items)
 
 
-def kde_curve(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, tail_sd: float | None = None) -> DataFrame:
-    """Gaussian kernel density of ``col`` on ``grid`` points spanning
-    [min - cut*bw, max + cut*bw], bandwidth by Scott's rule
-    (n^(-1/5) * sample std).
-
-    Values are first reduced to (distinct value, weight).  Each distinct
-    value contributes to every grid point: a per-value explode of ``grid``
-    rows, summed on the map side.  With ``tail_sd`` only the points within
-    that many bandwidths count, which is cheaper and no longer exact.
-    """
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
-    st = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-                  F.min("x").alias("lo"), F.max("x").alias("hi"))
-    n, sd, lo, hi = (st.select(c).scalar() for c in ("n", "sd", "lo", "hi"))
-    bw = sd * F.pow(n.cast("double"), F.lit(-0.2))
-    g0 = lo - F.lit(cut) * bw
-    step = (hi - lo + F.lit(2 * cut) * bw) / F.lit(float(grid - 1))
-    weights = vals.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-    if tail_sd is None:
-        first, last = F.lit(0), F.lit(grid - 1)
+FINE_STEPS = 256      # bins between two points of a density curve
+
+
+def kde_error_bound(bandwidth: float, step: float, fine: int = FINE_STEPS) -> float:
+    """Largest difference of ``kde_curve`` from the sum over all values: the kernel is replaced by its linear interpolation
+    between bins of step / fine, which is at most width**2 / 8 times its largest second derivative off."""
+    return (step / fine) ** 2 / 8 / (bandwidth ** 3 * (2 * 3.141592653589793) ** 0.5)
+
+
+def kde_curve(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, tail_sd: float | None = None, fine: int = FINE_STEPS) -> DataFrame:
+    """Gaussian kernel density of ``col`` on ``grid`` points spanning [min - cut*bw, max + cut*bw], bandwidth by
+    Scott's rule (n^(-1/5) * sample std); null densities where that is undefined or 0.
+
+    Linear binning: each value is shared by the two nearest of (grid - 1) * fine + 1 equidistant bins, in one
+    aggregate with as many rows at most, whatever the number of distinct values.  The curve is the
+    discrete convolution of the bins with the kernel, off the exact one by ``kde_error_bound`` at most;
+    with fewer distinct values than bins these take their place, and it is exact.
+    With ``tail_sd`` the kernel ends at that many bandwidths."""
+    import numpy as np
+    spark = df.sparkSession
+    vals = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    n, sd, lo, hi, distinct = vals.agg(F.count(F.lit(1)), F.stddev_samp("x"), F.min("x"), F.max("x"), F.approx_count_distinct("x")).first()
+    schema = "point long, x double, density double"
+    if not n or not sd:
+        at = [lo] * grid if n else [None] * grid
+        return spark.createDataFrame([(i, at[i], None) for i in range(grid)], schema)
+    bw = sd * n ** -0.2
+    first, step = lo - cut * bw, (hi - lo + 2 * cut * bw) / (grid - 1)
+    size = (grid - 1) * fine + 1
+    points = first + step * np.arange(grid)
+    if distinct <= size // 2:
+        table = vals.groupBy("x").agg(F.count(F.lit(1)).alias("w")).toArrow()                          # fewer than the bins
+        at, weight = table["x"].to_numpy(), table["w"].to_numpy()
     else:
-        first = F.greatest(F.ceil((F.col("x") - F.lit(tail_sd) * bw - g0) / step), F.lit(0))
-        last = F.least(F.floor((F.col("x") + F.lit(tail_sd) * bw - g0) / step), F.lit(grid - 1))
-    contrib = (weights.where(first <= last)
-                      .select("x", "w", F.explode(F.sequence(first, last)).alias("i"))
-                      .withColumn("g", g0 + F.col("i") * step)
-                      .withColumn("k", F.col("w") * F.exp(F.lit(-0.5) * F.pow((F.col("g") - F.col("x")) / bw, 2))))
-    dens = contrib.groupBy("i").agg(F.sum("k").alias("s"))
-    norm = F.lit(1.0) / (n.cast("double") * bw * F.lit((2 * 3.141592653589793) ** 0.5))
-    spine = F.broadcast(vals.sparkSession.range(grid).withColumnRenamed("id", "i"))
-    return (spine.join(dens, "i", "left")
-                 .select(F.col("i").alias("point"), (g0 + F.col("i") * step).alias("x"),
-                         (F.coalesce(F.col("s"), F.lit(0.0)) * norm).alias("density")))
+        place = (F.col("x") - F.lit(first)) / F.lit(step / fine)
+        binned = vals.select(F.floor(place).cast("long").alias("b"), (place - F.floor(place)).alias("f"))
+        table = binned.groupBy("b").agg(F.count(F.lit(1)).alias("w"), F.sum("f").alias("f")).toArrow()  # at most the bins
+        b, w, f = np.clip(table["b"].to_numpy(), 0, size - 1), table["w"].to_numpy(), table["f"].to_numpy()
+        weight = np.zeros(size + 1)
+        np.add.at(weight, b, w - f)
+        np.add.at(weight, b + 1, f)
+        at, weight = first + step / fine * np.flatnonzero(weight), weight[weight != 0]
+    z = (points[:, None] - at[None, :]) / bw
+    kernel = np.exp(-0.5 * z ** 2)
+    if tail_sd is not None:
+        kernel[np.abs(z) > tail_sd] = 0.0
+    density = kernel @ weight / (n * bw * (2 * 3.141592653589793) ** 0.5)
+    return spark.createDataFrame([(i, float(x), float(d)) for i, (x, d) in enumerate(zip(points, density))], schema)

@@ -4,8 +4,8 @@ A row's part in a random split is a pure function of its key columns and
 the seed (``xxhash64``), so the split is repeatable, needs no shuffle or
 sort, and survives task retries.  Stratified splits and folds have exact
 per-class sizes: a row's rank within its class, by the same hash, is its rank
-within one of 4096 hash cells plus the rows of the earlier cells, so that no
-task sees a whole class.
+within a hash cell plus the rows of the earlier cells.  Cells are as many as it takes for
+``CELL_ROWS`` rows each, so that a cell, which one task sorts, does not grow with the table.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 KEY = ["mqtt_message_id", "ts", "general_ip", "mqtt_topic"]
 BUCKETS = 10000
+CELL_ROWS = 100_000
 
 
 def _hash_bucket(df: DataFrame, keys, seed: int, buckets: int = BUCKETS):
@@ -27,11 +28,21 @@ def with_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, keys=KEY,
     return df.withColumn(name, F.when(b < F.lit(int(round(test_size * BUCKETS))), "test").otherwise("train"))
 
 
-def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, keys=KEY):
+def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, keys=KEY, exact: bool = False):
+    """(train, test) by a seeded hash of the keys; with ``exact`` the test part has ceil(n * test_size) rows."""
+    if exact:
+        ranked = with_class_rank(df.withColumn("_one", F.lit(1)), "_one", seed, keys)
+        in_test = F.col("_rank") < F.ceil(F.col("_size") * F.lit(test_size))
+        return ranked.where(~in_test).select(*df.columns), ranked.where(in_test).select(*df.columns)
     s = with_split(df, test_size, seed, keys, "_split")
     return (s.where(F.col("_split") == "train").drop("_split"), s.where(F.col("_split") == "test").drop("_split"))
 
 
+def cell_bits(rows: int) -> int:
+    """Leading bits of a row's hash that name its cell: 12 at least, one more for every doubling beyond."""
+    return min(40, max(12, (max(1, rows) // CELL_ROWS).bit_length()))
+
+
 def with_class_rank(df: DataFrame, label: str, seed: int, keys=KEY) -> DataFrame:
     """Add ``_rank``, from 0, and ``_size`` of the row's class, in the order of a seeded hash of
     the keys (ties by all columns).  A null label is a class of its own."""
@@ -39,11 +50,18 @@ def with_class_rank(df: DataFrame, label: str, seed: int, keys=KEY) -> DataFrame
     every = [F.col(f"`{c}`") for c in df.columns]
     d = df.select("*", F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("null")).alias("_class"),
                   F.xxhash64(F.lit(seed), *(cols or every)).alias("_hash"), F.xxhash64(*every).alias("_tie"))
-    d = d.withColumn("_cell", F.shiftrightunsigned("_hash", 52).cast("int"))
+    bits = cell_bits(df.count())
+    d = d.withColumn("_cell", F.shiftrightunsigned("_hash", 64 - bits))
     counts = d.groupBy("_class", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    of_class = Window.partitionBy("_class")
-    before = counts.select("_class", "_cell", F.sum("_n").over(of_class).alias("_size"), F.coalesce(F.sum("_n").over(
-        of_class.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # two steps, so that no task adds up more than 2**20 cells: over blocks of cells, then within a block
+    counts = counts.withColumn("_block", F.shiftrightunsigned("_cell", 20))
+    blocks = counts.groupBy("_class", "_block").agg(F.sum("_n").alias("_m"))
+    of_class, of_block = Window.partitionBy("_class"), Window.partitionBy("_class", "_block")
+    upto = lambda w, key: w.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_class", "_block", F.sum("_m").over(of_class).alias("_size"),
+                           F.coalesce(F.sum("_m").over(upto(of_class, "_block")), F.lit(0)).alias("_start"))
+    before = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(upto(of_block, "_cell")), F.lit(0))).join(blocks, ["_class", "_block"]).select(
+        "_class", "_cell", "_size", (F.col("_start") + F.col("_inside")).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_class", "_cell").orderBy("_hash", "_tie")) - 1
     return (d.withColumn("_nth", nth).join(before, ["_class", "_cell"])
              .select(*every, (F.col("_before") + F.col("_nth")).alias("_rank"), "_size"))

@@ -151,6 +151,13 @@ def feature_importance_percent(selected: DataFrame) -> DataFrame:
     return selected.withColumn("importance_pct", ratio(F.col("f_score"), tot) * F.lit(100.0))
 
 
+def feature_reduction(selected: DataFrame, n_features: int) -> DataFrame:
+    """(n_features, n_selected, reduction_pct) of a selection among ``n_features``."""
+    n = F.count(F.lit(1)).cast("int")
+    pct = (F.lit(1.0) - F.col("n_selected") / F.lit(n_features)) * F.lit(100.0) if n_features else F.lit(None).cast("double")
+    return selected.agg(n.alias("n_selected")).select(F.lit(n_features).alias("n_features"), "n_selected", pct.alias("reduction_pct"))
+
+
 def f_score_tier(scores: DataFrame) -> DataFrame:
     """'red' above the 75th percentile of F, 'orange' above the median, else 'blue'."""
     s = scores.where(F.col("f_score").isNotNull())

@@ -130,6 +130,20 @@ def q_match_filter(spark, sf):
     return D.match_topic_filter(msgs(spark, sf), "iiot/+/3").select("mqtt_message_id", "mqtt_topic")
 
 
+FILTERS = [f"iiot/{kind}/{level}" for kind in ("+", "view", "click", "error", "purchase") for level in ("+", "#", *range(10))] + ["#", "+/+", "iiot/#", "$SYS/#"]
+
+
+@register("match_topic_filters", oq("""
+, filters AS (SELECT unnest([""" + ", ".join(f"'{f}'" for f in FILTERS) + """]) AS filter),
+patterns AS (SELECT filter, CASE WHEN filter = '#' THEN '.*' ELSE replace(replace(replace(filter, '$', '[$]'), '/#', '(/.*)?'), '+', '[^/]*') END AS p FROM filters),
+topics AS (SELECT DISTINCT mqtt_topic FROM mqtt WHERE mqtt_topic IS NOT NULL)
+SELECT mqtt_topic, filter FROM topics JOIN patterns ON regexp_full_match(mqtt_topic, p)"""))
+def q_match_filters(spark, sf):
+    """Every topic with all the filters of a table that it matches."""
+    from brokerlens.operators.topic_trie import match_topic_filters
+    return match_topic_filters(msgs(spark, sf), spark.createDataFrame([(f,) for f in FILTERS], "filter string"))
+
+
 @register("flooded_topics", oq("""
 SELECT mqtt_topic, count(*) AS attack_messages FROM labelled WHERE is_ddos = 1 AND mqtt_topic IS NOT NULL
 GROUP BY 1 HAVING count(*) > 15"""))

@@ -104,7 +104,7 @@ def q_roc_auc(spark, sf):
 SELECT probability AS threshold,
        coalesce(CAST(sum(neg) OVER (ORDER BY probability DESC) AS DOUBLE) / nullif((SELECT sum(neg) FROM sc), 0), 0) AS fpr,
        coalesce(CAST(sum(pos) OVER (ORDER BY probability DESC) AS DOUBLE) / nullif((SELECT sum(pos) FROM sc), 0), 0) AS tpr
-FROM sc"""), dbl=("threshold", "fpr", "tpr"))
+FROM sc UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0 WHERE (SELECT count(*) FROM sc) > 0"""), dbl=("threshold", "fpr", "tpr"))
 def q_roc_curve(spark, sf):
     return EV.roc_curve(scored(spark, sf))
 

@@ -55,12 +55,15 @@ def q_read_messages(spark, sf):
 SELECT CAST(is_ddos AS VARCHAR) AS key, count(*) AS count FROM labelled GROUP BY 1
 UNION ALL SELECT CAST(hour AS VARCHAR), count(*) FROM labelled GROUP BY 1"""))
 def q_cached(spark, sf):
-    """Persisted labelled table (memory and disk), reused by two reports."""
+    """Persisted labelled table (memory and disk), reused by two reports and freed after them."""
+    from brokerlens.operators.basic import materialize
     lab = cached_messages(fixture_labelled(spark, sf, FT))
     a = lab.groupBy("is_ddos").count()
     b = lab.groupBy("hour").count()
-    return a.select(F.col("is_ddos").cast("string").alias("key"), "count").unionByName(
-        b.select(F.col("hour").cast("string").alias("key"), "count"))
+    out = materialize(a.select(F.col("is_ddos").cast("string").alias("key"), "count").unionByName(
+        b.select(F.col("hour").cast("string").alias("key"), "count")))      # a row per class and hour
+    lab.unpersist()
+    return out
 
 
 @register("write_selected_features", oq("SELECT " + ", ".join(MODEL_FEATURES) + ", is_ddos FROM labelled"),
@@ -118,3 +121,33 @@ def q_rate_limit_stream(spark, sf):
     events.createOrReplaceTempView("events_stream")
     stream = spark.sql(MQTT_FIXTURE_SQL.replace("FROM events) e", "FROM events_stream) e"))
     return rate_limit_alerts(spark, stream, shared_dir(spark), 7, "1 day", "1 hour")
+
+
+@register("daily_ip_state", oq("SELECT * FROM ipf"), dbl=("duplicate_rate_per_ip", "avg_qos_per_ip", "retained_rate_per_ip"))
+def q_daily_ip_state(spark, sf):
+    """Per-IP features added up from a state of one folder a day, written in two loads."""
+    from brokerlens.operators import ip_state as IS
+    from brokerlens.operators.basic import materialize
+    m = mqtt_messages(spark, sf)
+    base = shared_dir(spark) + "/ip_state"
+    early = F.col("ts") < F.to_timestamp(F.lit("2024-01-16"))
+    for part in (m.where(early), m.where(~early | F.col("ts").isNull())):
+        IS.write_days(part, base)
+    out = materialize(IS.roll_up(spark, base))       # one row per IP
+    IS.release(spark, base)
+    return out
+
+
+@register("replay_stream", oq("""
+SELECT general_mac || '_' || general_ip || '_' || mqtt_topic AS general_full_id, mqtt_message_value, count(*) AS count FROM mqtt
+WHERE general_ip IS NOT NULL AND mqtt_message_value IS NOT NULL AND mqtt_topic IS NOT NULL AND ts IS NOT NULL
+GROUP BY 1, 2 HAVING count(*) > 1"""))
+def q_replay_stream(spark, sf):
+    """Replays counted on the stream of events by keyed state that is kept for 60 days after a key's last message;
+    equals batch ``replay_candidates``."""
+    from brokerlens.streaming.replay import replay_alerts
+    events = (spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema)
+                   .option("basePath", sf).parquet(f"{sf}/events.parque[t]"))
+    events.createOrReplaceTempView("events_stream")
+    stream = spark.sql(MQTT_FIXTURE_SQL.replace("FROM events) e", "FROM events_stream) e"))
+    return replay_alerts(spark, stream, shared_dir(spark), keep_seconds=60 * 86_400, watermark="60 days")

@@ -79,6 +79,14 @@ def q_pca_reduced(spark, sf):
     return PC.pca_reduced_dataset(tr, feats, 0.90)[0]
 
 
+@register("pca_reduction")
+def q_pca_reduction(spark, sf):
+    """Components that hold 90 % of the variance, and how much smaller the data set is with them."""
+    tr, _, feats = parts(spark, sf)
+    fit = PC.fit_pca(tr, feats)
+    return PC.pca_reduction(spark, fit, 0.90)
+
+
 def _model_query(name):
     def run(spark, sf):
         tr, te, feats = parts(spark, sf)
@@ -143,3 +151,10 @@ def q_comparison_mllib(spark, sf):
     parts; the comparison table has the best model by test F1."""
     tr, te, feats = parts(spark, sf)
     return M.compare_models(tr, te, feats, M.MODEL_NAMES)
+
+
+@register("model_comparison_cv")
+def q_comparison_cv(spark, sf):
+    """Classifiers with the gap of a threefold cross-validation in place of the hold-out's."""
+    tr, te, feats = parts(spark, sf)
+    return M.compare_models(tr, te, feats, ["logistic", "tree_simple", "tree_deep", "naive_bayes"], folds=3)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brokerlens.functions import scalar as S
 from brokerlens.functions import temporal as TM
 from brokerlens.operators import cleaning as C
+from brokerlens.operators import distinct as DI
 from brokerlens.operators import profile as P
 from brokerlens.operators import split as SP
 from brokerlens.operators.basic import histogram, value_counts
@@ -168,13 +169,19 @@ def q_boxplot(spark, sf):
     f"SELECT '{c}' AS column, count(DISTINCT {c}) AS nunique FROM labelled" for c in ALL) + """)
 SELECT "column", nunique, nunique < 10 AS crosstab, nunique <= 15 AS plot, nunique <= 20 AS all_values FROM nu"""))
 def q_low_card(spark, sf):
-    df = labelled(spark, sf)
-    items = [F.struct(F.lit(c).alias("column"), F.countDistinct(F.col(c)).alias("nunique")) for c in df.columns]
-    nu = P._long(df, items)
+    nu = DI.distinct_counts(labelled(spark, sf))
     return nu.select("column", "nunique", (F.col("nunique") < 10).alias("crosstab"),
                      (F.col("nunique") <= 15).alias("plot"), (F.col("nunique") <= 20).alias("all_values"))
 
 
+@register("bounded_cardinality", oq(", nu AS (" + union(
+    f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n FROM labelled" for c in ALL) + """)
+SELECT "column", least(n, 21) AS nunique, n > 20 AS more FROM nu"""))
+def q_bounded_cardinality(spark, sf):
+    """Distinct values of every column, exact up to 20: the decisions at 10, 15 and 20 need no more."""
+    return DI.bounded_cardinality(labelled(spark, sf))
+
+
 @register("drop_sparse_columns", oq(NULLS_SQL + ' SELECT "column", nulls, nulls > 50 AS drop FROM nc'))
 def q_sparse(spark, sf):
     return C.sparse_columns(labelled(spark, sf), 50)
@@ -186,6 +193,23 @@ def q_constant(spark, sf):
     return C.constant_columns(labelled(spark, sf))
 
 
+# the columns of the fixture at sf0.01 with more than 50 nulls
+SPARSE = ["mqtt_message_id", "general_ip", "mqtt_message_value", "requests_per_ip", "duplicate_rate_per_ip", "unique_topics_per_ip",
+          "avg_qos_per_ip", "retained_rate_per_ip"]
+
+
+@register("without_sparse_columns", oq("SELECT * EXCLUDE (" + ", ".join(SPARSE) + ") FROM labelled"), dbl=("value",))
+def q_without_sparse(spark, sf):
+    """The table without the columns of more than 50 nulls."""
+    return C.drop_sparse_columns(labelled(spark, sf), 50)
+
+
+@register("without_constant_columns", oq("SELECT * EXCLUDE (month) FROM labelled"), dbl=DBL_COLS)
+def q_without_constant(spark, sf):
+    """The table without constant columns (the fixture covers one month)."""
+    return C.drop_constant_columns(labelled(spark, sf))
+
+
 @register("drop_excluded", oq("SELECT * EXCLUDE (" + ", ".join(
     c for c in C.EXCLUDED if c in ALL) + ") FROM labelled"), dbl=DBL_COLS)
 def q_drop_excluded(spark, sf):
@@ -309,6 +333,15 @@ def q_random_split(spark, sf):
     return SP.with_split(labelled(spark, sf), 0.2, 42).select("mqtt_message_id", "general_ip", "is_ddos", "split")
 
 
+@register("random_split_sizes", oq("""
+SELECT 'test' AS split, CAST(ceil(count(*) * 0.2) AS BIGINT) AS count FROM labelled
+UNION ALL SELECT 'train', count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) FROM labelled"""))
+def q_random_split_sizes(spark, sf):
+    """Rows of both parts of a random split of exact size."""
+    train, test = SP.random_split(labelled(spark, sf), 0.2, 42, exact=True)
+    return SP.recombine(train.select(F.lit("train").alias("split")), test.select(F.lit("test").alias("split"))).groupBy("split").count()
+
+
 @register("stratified_split")
 def q_stratified_split(spark, sf):
     train, test = SP.stratified_split(labelled(spark, sf), "is_ddos", 0.2, 42)

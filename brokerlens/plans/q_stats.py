@@ -156,6 +156,14 @@ def q_importance_pct(spark, sf):
     return ST.feature_importance_percent(ST.select_k_best(ST.anova_f(tr, feats), 5))
 
 
+@register("feature_reduction", oq(ANOVA + """
+SELECT 10 AS n_features, 5 AS n_selected, 50.0 AS reduction_pct FROM (SELECT 1 FROM fs LIMIT 1)"""), dbl=("reduction_pct",))
+def q_feature_reduction(spark, sf):
+    """How much smaller the selected feature set is."""
+    tr, _, feats = parts(spark, sf)
+    return ST.feature_reduction(ST.select_k_best(ST.anova_f(tr, feats), 5), len(feats))
+
+
 @register("f_score_tier", oq(ANOVA + """
 , s AS (SELECT * FROM fs WHERE f_score IS NOT NULL),
 p AS (SELECT quantile_cont(f_score, 0.75) AS p75, quantile_cont(f_score, 0.5) AS p50 FROM s)
@@ -266,6 +274,20 @@ def q_remove_leaky(spark, sf):
     return L.remove_leaky_features(tr, L.leak_report(tr, te, feats))
 
 
+# the only feature the report condemns on the fixture is the constant month
+KEPT9 = [c for c in F10 if c != "month"]
+
+
+@register("remove_leaky_standardized", oq(PREP + "\nSELECT mqtt_message_id, is_ddos, " + ", ".join(
+    f"({c} - (SELECT avg({c}) FROM train)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM train) AS {c}"
+    for c in KEPT9) + " FROM test"), dbl=tuple(KEPT9))
+def q_remove_leaky_standardized(spark, sf):
+    """Test part without the condemned features, standardised anew with the training part."""
+    tr, te, feats = parts(spark, sf)
+    _, test, kept = L.remove_and_standardize(tr, te, feats, L.leak_report(tr, te, feats))
+    return test.select("mqtt_message_id", "is_ddos", *kept)
+
+
 @register("single_class_check", oq(PREP + """
 SELECT count(DISTINCT is_ddos) AS n_classes, count(DISTINCT is_ddos) < 2 AS single_class FROM test"""))
 def q_single_class(spark, sf):
