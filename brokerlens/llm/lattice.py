@@ -14,6 +14,14 @@ their leaders and radii, then a member with the other leader, and only where
 those leave a doubt are members compared.  So a group of near copies makes a
 number of rows in proportion to its size.
 
+Blocks.  Clumps within ``BLOCK_DEGREES`` of a leader are neighbours that may or may
+not link; they form blocks of at most ``BLOCK`` clumps, which are filed and ask as one.
+Two blocks that meet are compared in one task, as matrices, once: it counts the links of
+every clump and passes on the counts and a spanning set of links, never the pairs.  Only
+lone clumps, without such neighbours, are compared as rows.  So a wide group, in which most
+vectors meet and few are close enough for a clump, makes rows in proportion to its size
+times the number of its blocks.
+
 Recall.  ``TABLES`` tables with ``PROBES`` neighbours find a pair at exactly the
 least cosine with a probability of about 0.99, closer pairs more often
 (measured in the tests against brute force); links found are exact.
@@ -41,6 +49,8 @@ TABLES = 10
 PROBES = 8
 CLUMP_DEGREES = 9.0    # at most half the angle of the least cosine: members of a clump all link
 CLUMP_SCALE = 1.5      # coarser cells than those of the search
+BLOCK_DEGREES = 28.0   # clumps so near a leader are compared in blocks
+BLOCK = 1024           # clumps of a block, about
 SHARE = 4096           # vectors of a cell that one task clumps, on average
 SKETCH_CUT = 36        # of 128 signs: a pair at 0.95 differs in 13 on average, deviation 3.4
 SEED = 11
@@ -154,8 +164,8 @@ def unit_vectors(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     return rows.where(F.col("unit").isNotNull()), rows.where(F.col("unit").isNull()).select("rid", "vec_id")
 
 
-def _clump_round(clumps: DataFrame, table: int, scratch: Scratch) -> DataFrame:
-    """(rid, leader, angle): for each of (rid, unit, radius) the leader whose clump it joins, itself if none."""
+def _clump_round(clumps: DataFrame, table: int, scratch: Scratch, degrees: float = CLUMP_DEGREES) -> DataFrame:
+    """(rid, leader, angle): for each of (rid, unit, radius) the leader within ``degrees`` whose clump it joins, itself if none."""
     def keyed(batches):
         import numpy as np
         import pyarrow as pa
@@ -174,7 +184,7 @@ def _clump_round(clumps: DataFrame, table: int, scratch: Scratch) -> DataFrame:
     def lead(batches):
         import numpy as np
         import pyarrow as pa
-        widest, held, leaders, ids = math.radians(CLUMP_DEGREES), None, None, []
+        widest, held, leaders, ids = math.radians(degrees), None, None, []
         for batch in batches:
             rid, radius = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             cell, share, unit = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(1)
@@ -222,12 +232,31 @@ def clump(good: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return member, clumps
 
 
-def near_clumps(member: DataFrame, clumps: DataFrame, scratch: Scratch, cosine: float, scale: float, tables: int,
+def _blocks(clumps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rid, block, solo) of every clump, and (block, unit, radius, solo) of the blocks around their leaders; a solo
+    block is a single clump and has its rid."""
+    led = _clump_round(clumps.select("rid", "unit", "radius"), 0, scratch, BLOCK_DEGREES)
+    size = led.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    dealt = led.join(size, "leader").withColumn("share", F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / BLOCK).cast("long")))
+    dealt = scratch.table(dealt.join(clumps.select("rid", "radius"), "rid"))
+    block = scratch.table(dealt.groupBy("leader", "share").agg(F.min("rid").alias("block"), F.max(F.col("angle") + F.col("radius")).alias("radius"),
+                                                               F.count(F.lit(1)).alias("n")))
+    of = dealt.select("rid", "leader", "share").join(block.select("leader", "share", "block", (F.col("n") == 1).alias("solo")), ["leader", "share"])
+    centre = block.join(clumps.select(F.col("rid").alias("leader"), "unit", F.col("radius").alias("own")), "leader")
+    # a block of one clump is that clump, around itself
+    one = F.col("n") == 1
+    lone = clumps.select(F.col("rid").alias("block"), F.col("unit").alias("u1"), F.col("radius").alias("r1"))
+    centre = centre.join(lone, "block").select("block", F.when(one, F.col("u1")).otherwise(F.col("unit")).alias("unit"),
+                                               F.when(one, F.col("r1")).otherwise(F.col("radius")).alias("radius"), one.alias("solo"))
+    return scratch.table(of.select("rid", "block", "solo")), scratch.table(centre)
+
+
+def near_blocks(member: DataFrame, centres: DataFrame, scratch: Scratch, cosine: float, scale: float, tables: int,
                 probes: int) -> DataFrame:
-    """(a, b, ra, rb, dot): pairs of clumps, a < b, of which members meet in a table and may link.
+    """(a, b, ra, rb, dot, solo): pairs of blocks, a < b, of which members meet in a table and may link.
 
-    Every member is filed and asks, but under its clump: members of one clump in one cell count once.
-    Sketches only rule out pairs of lone vectors."""
+    ``member``: (block, unit, lone).  Every member is filed and asks, but under its block: members of one block in one cell
+    count once.  Sketches only rule out pairs of lone vectors."""
     def keyed(batches):
         import numpy as np
         import pyarrow as pa
@@ -239,30 +268,104 @@ def near_clumps(member: DataFrame, clumps: DataFrame, scratch: Scratch, cosine:
                     keys[rows, t] = probe_keys(units, t + 2, scale, probes)
                 bits = np.packbits(units @ _rng(3, units.shape[1]).normal(size=(units.shape[1], 128)) >= 0, axis=1)
                 signs[rows] = np.ascontiguousarray(bits).view(np.int64)
-            lone = ~batch.column(2).to_numpy(zero_copy_only=False)
+            lone = batch.column(2).to_numpy(zero_copy_only=False)
             own = pa.array(list(keys[:, :, 0]), pa.list_(pa.int64()))
             asked = pa.array(list(keys.reshape(n, -1)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(signs[:, i], mask=~lone) for i in (0, 1)], own, asked],
-                                             names=["clump", "s0", "s1", "own", "asked"])
+                                             names=["block", "s0", "s1", "own", "asked"])
 
-    k = scratch.table(member.select("clump", "unit", "several").mapInArrow(
-        keyed, "clump long, s0 long, s1 long, own array<long>, asked array<long>"))
-    filed = k.select(F.col("clump").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.explode("own").alias("key")).distinct()
-    asked = k.select(F.col("clump").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.explode("asked").alias("key")).distinct()
+    k = scratch.table(member.select("block", "unit", "lone").mapInArrow(
+        keyed, "block long, s0 long, s1 long, own array<long>, asked array<long>"))
+    filed = k.select(F.col("block").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"), F.explode("own").alias("key")).distinct()
+    asked = k.select(F.col("block").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"), F.explode("asked").alias("key")).distinct()
     differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     met = asked.join(filed, (asked["key"] == filed["key"]) & (F.col("a") != F.col("b"))
                      & F.coalesce(differ <= SKETCH_CUT, F.lit(True)))
     pairs = scratch.table(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    left = clumps.select(F.col("rid").alias("a"), F.col("unit").alias("ua"), F.col("radius").alias("ra"))
-    right = clumps.select(F.col("rid").alias("b"), F.col("unit").alias("ub"), F.col("radius").alias("rb"))
+    left = centres.select(F.col("block").alias("a"), F.col("unit").alias("ua"), F.col("radius").alias("ra"), F.col("solo").alias("sa"))
+    right = centres.select(F.col("block").alias("b"), F.col("unit").alias("ub"), F.col("radius").alias("rb"), F.col("solo").alias("sb"))
     widest = math.acos(cosine)
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     seen = (pairs.join(left, "a").join(right, "b").where(F.size("ua") == F.size("ub"))
-                 .select("a", "b", "ra", "rb", dot.alias("dot")))
+                 .select("a", "b", "ra", "rb", dot.alias("dot"), (F.col("sa") & F.col("sb")).alias("solo")))
     apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("dot")))) - F.col("ra") - F.col("rb")
     return scratch.table(seen.where((F.col("dot") >= cosine) | (apart <= widest + 1e-9)))
 
 
+COMPARED = "kind int, a long, b long"
+
+
+def _compare_blocks(cosine: float):
+    """Function over (key, clumps of one block, clumps of another): rows (0, clump, vectors of clumps that link with it whole),
+    (1, a, b) for two clumps in doubt, (2, a, b) for links that span all links between whole clumps."""
+    def compare(key, left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def read(t, end=""):
+            unit = t["unit" + end].combine_chunks()
+            return (t["rid" + end].to_numpy(), unit.flatten().to_numpy().reshape(len(unit), -1) if len(unit) else np.zeros((0, 1)),
+                    t["radius" + end].to_numpy(), t["n" + end].to_numpy())
+
+        (ra, ua, wa, na), (rb, ub, wb, nb) = read(left), read(right, "2")
+        own = key[0].as_py() == key[1].as_py()
+        widest, eps = math.acos(cosine), 1e-9
+        out: list = [[], [], []]
+
+        def add(kind, a, b):
+            for held, x in zip(out, (np.full(len(a), kind), a, b)):
+                held.append(np.asarray(x, np.int64))
+
+        to_a, to_b = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
+        root = np.arange(len(ra) + len(rb))      # of the links found, for the spanning set
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for at in range(0, len(ra), 512):
+            rows = slice(at, at + 512)
+            dots = ua[rows] @ ub.T if len(rb) else np.zeros((len(ra[rows]), 0))
+            angle = np.arccos(np.clip(dots, -1.0, 1.0))
+            width = wa[rows, None] + wb[None, :]
+            single = width == 0
+            whole = np.where(single, dots >= cosine, angle + width <= widest - eps)
+            doubt = ~whole & ~single & (angle - width <= widest + eps)
+            if own:      # every pair once, none with itself
+                upper = ra[rows, None] < rb[None, :]
+                whole, doubt = whole & upper, doubt & upper
+            to_a[rows] += whole @ nb
+            to_b += na[rows] @ whole
+            i, j = np.nonzero(doubt)
+            add(1, ra[rows][i], rb[j])
+            for i in np.flatnonzero(whole.any(axis=1)):
+                linked = np.flatnonzero(whole[i])
+                x = top(at + i)
+                tops = np.array([top(len(ra) + j) for j in linked])
+                _, first = np.unique(tops, return_index=True)
+                for f in first[tops[first] != x]:
+                    add(2, [ra[at + i]], [rb[linked[f]]])
+                    root[tops[f]] = x
+        for rid, many in ((ra, to_a), (rb, to_b)):
+            some = np.flatnonzero(many)
+            add(0, rid[some], many[some])
+        kind, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        return pa.table([pa.array(kind.astype(np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+    return compare
+
+
+def compared_blocks(pairs: DataFrame, clumps: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """Rows of ``_compare_blocks`` for the block pairs (a, b); ``clumps``: (rid, block, unit, radius, n)."""
+    pairs = scratch.table(pairs)
+    left = pairs.join(clumps.select(F.col("block").alias("a"), "rid", "unit", "radius", "n"), "a").groupBy("a", "b")
+    # named anew: both sides come from the same tables
+    names = [F.col(c).alias(c + "2") for c in ("rid", "unit", "radius", "n")]
+    right = pairs.select(F.col("a").alias("a2"), F.col("b").alias("b2")).join(clumps.select(F.col("block").alias("b2"), *names), "b2").groupBy("a2", "b2")
+    return scratch.table(left.cogroup(right).applyInArrow(_compare_blocks(cosine), COMPARED))
+
+
 def vector_links(vectors: DataFrame, cosine: float = COSINE, scale: float = SCALE, tables: int = TABLES,
                  probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding)."""
@@ -271,21 +374,27 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, scale: float = SCAL
     scratch = Scratch(vectors.sparkSession, "lattice")
     good, bad = unit_vectors(vectors, scratch)
     member, clumps = clump(good, scratch)
-    sized = clumps.select(F.col("rid").alias("clump"), (F.col("n") > 1).alias("several"))
+    of, centres = _blocks(clumps, scratch)
+    in_block = scratch.table(clumps.join(of, "rid"))
+    sized = in_block.select(F.col("rid").alias("clump"), "block", ((F.col("n") == 1) & F.col("solo")).alias("lone"))
     placed = scratch.table(good.select("rid", "unit").join(member, "rid").join(sized, "clump"))
-    near = near_clumps(placed, clumps, scratch, cosine, scale, tables, probes)
+    near = near_blocks(placed, centres, scratch, cosine, scale, tables, probes)
     widest, eps = math.acos(cosine), 1e-9
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("dot"))))
     single = (F.col("ra") == 0) & (F.col("rb") == 0)
     all_ = F.when(single, F.col("dot") >= cosine).otherwise(angle + F.col("ra") + F.col("rb") <= widest - eps)
-    near = scratch.table(near.withColumn("all", all_).where(F.col("all") | ~single))
-    both = near.select("a", "b", "all").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "all"))
+    lone = scratch.table(near.where("solo").withColumn("all", all_).where(F.col("all") | ~single).select("a", "b", "all"))
+    # blocks with themselves and with each other
+    wide = near.where(~F.col("solo")).select("a", "b").union(centres.where(~F.col("solo")).select(F.col("block").alias("a"), F.col("block").alias("b")))
+    met = compared_blocks(wide, in_block, cosine, scratch)
     n = clumps.select(F.col("rid").alias("b"), F.col("n").alias("n_b"))
-    whole = both.where("all").join(n, "b").groupBy("a").agg(F.sum("n_b").alias("whole"))
+    turned = lambda d: d.union(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    whole = (turned(lone.where("all").select("a", "b")).join(n, "b").select("a", "n_b").union(met.where("kind = 0").select("a", F.col("b").alias("n_b")))
+             .groupBy("a").agg(F.sum("n_b").alias("whole")))
 
     # clumps that may link in part: each member of one against the other's leader, then against its members
     m = placed.select("rid", "clump", "unit")
-    doubt = scratch.table(both.where(~F.col("all")).select("a", "b"))
+    doubt = scratch.table(turned(lone.where(~F.col("all")).select("a", "b").union(met.where("kind = 1").select("a", "b"))))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     lead = clumps.select(F.col("rid").alias("b"), F.col("unit").alias("ub"), F.col("radius").alias("rb"), F.col("n").alias("n_b"))
     one = (doubt.join(m.withColumnRenamed("clump", "a"), "a").join(lead, "b")
@@ -298,7 +407,7 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, scale: float = SCAL
                               .union(tried.groupBy("a", "b", "rid").agg(F.count(F.lit(1)).alias("n_b"))))
     extra = partly.groupBy("rid").agg(F.sum("n_b").alias("extra"))
 
-    edges = near.where("all").select("a", "b").union(partly.select("a", "b"))
+    edges = lone.where("all").select("a", "b").union(met.where("kind = 2").select("a", "b")).union(partly.select("a", "b"))
     comp = connected_components(edges, scratch)
     rooted = scratch.table(clumps.select("rid", "n", "least").join(comp, F.col("rid") == F.col("node"), "left")
                                  .select("rid", "n", "least", F.coalesce("root", "rid").alias("root"))

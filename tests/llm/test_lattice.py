@@ -110,3 +110,58 @@ def test_vector_edges(spark, monkeypatch):
     assert linked == [(False, 7, 4, 7, True), (False, 8, 4, 7, False), (False, 9, 4, 7, False), (False, 9, 4, 7, False), (True, 0, 4, 7, False)]
     assert all(x[3] == x[1] and x[4] for x in n if not x[2] and not x[0])
     assert vector_links(vectors(spark, rows).limit(0)).count() == 0
+
+
+def wide_group(n, seed=5):
+    """Vectors around one centre, at about 20 degrees from each other: most meet, some link, none makes a clump."""
+    r = np.random.default_rng(seed)
+    c = r.normal(size=64)
+    c /= np.linalg.norm(c)
+    return [(i, (c + 0.032 * r.normal(size=64)).tolist()) for i in range(n)]
+
+
+def written_rows(spark, monkeypatch, rows):
+    """The result and the most rows of any scratch table."""
+    from brokerlens.llm.common import Scratch
+    most, real = [], Scratch.table
+
+    def table(self, df, by=None):
+        out = real(self, df, by)
+        most.append(out.count())
+        return out
+    monkeypatch.setattr(Scratch, "table", table)
+    got = {x.vec_id: x for x in vector_links(vectors(spark, rows)).collect()}
+    monkeypatch.setattr(Scratch, "table", real)
+    return got, max(most)
+
+
+def test_a_wide_group_writes_no_pairs(spark, monkeypatch):
+    per_vector = {}
+    for n in (1500, 3000):
+        rows = wide_group(n)
+        got, most = written_rows(spark, monkeypatch, rows)
+        per_vector[n] = most / n
+        x = np.array([v for _, v in rows])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        links = (x @ x.T >= 0.95).sum(axis=1) - 1
+        assert links.sum() > 20 * n
+        found = np.array([got[i].n_links for i in range(n)])
+        assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
+        assert {got[i].component_id for i in range(n) if links[i]} == {min(i for i in range(n) if links[i])}
+    assert max(per_vector.values()) < 50
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_blocks_count_every_link_once(spark, monkeypatch, block):
+    """Wide groups of single vectors, copies and clumps, in blocks of a few and of all."""
+    monkeypatch.setattr(lattice, "BLOCK", block)
+    r = np.random.default_rng(9)
+    rows = wide_group(150, 1) + [(1000 + i, v) for i, v in wide_group(60, 2)]
+    rows += [(2000 + i, (np.array(rows[i % 20][1]) * r.uniform(1, 3)).tolist()) for i in range(60)]          # copies
+    rows += [(3000 + i, cone(r, np.array(rows[3][1]) / np.linalg.norm(rows[3][1]), 0.9995).tolist()) for i in range(25)]
+    links, comp = brute(rows)
+    got = {x.vec_id: x for x in vector_links(vectors(spark, rows)).collect()}
+    want = sum(map(len, links.values()))
+    assert 0.995 * want <= sum(x.n_links for x in got.values()) <= want
+    assert all(got[v].n_links <= len(links[i]) for i, (v, _) in enumerate(rows))
+    assert all(got[v].component_id == comp[i] for i, (v, _) in enumerate(rows))
