@@ -11,6 +11,10 @@ Match guarantee: two texts that share a run of k + w - 1 words share a
 chosen k-gram.  A text with fewer words than that has all its k-grams
 chosen, and one with fewer words than a k-gram is one k-gram as a whole.
 
+Words are what stands between white space; each code point of a script that is written
+without spaces is a word, and longer words are cut every ``LONGEST`` code points, so that
+texts without white space have k-grams as well.
+
 Defined cases: null and word-free texts have the empty fingerprint; two
 empty fingerprints have likeness 1, one empty and one not have 0; equal
 texts have equal fingerprints; an empty table gives no rows; other columns
@@ -22,16 +26,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brokerlens.llm.common import WORD_SPACE, WORD_SPACE_RE, documents, parts
+from brokerlens.llm.common import WORD_SPACE, WORD_SPACE_RE, Scratch, documents
 
 GRAM_LOG = 2           # k = 4 words
 WINDOW_LOG = 4         # w = 16 k-grams
 POSITION_BITS = 31     # of the 63 bits; the other 32 are the hash
 LAST = (1 << POSITION_BITS) - 1
+LONGEST = 32           # code points of a word
+# fixed values: scripts written without spaces between words
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+RANGE_BYTES = 8 << 20  # of text in a range of ids
+MAX_RANGES = 20_000
 
 
 def _words(text: Column) -> Column:
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_SPACE))
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), rf"({UNSPACED}|[^\x20\x09-\x0D]{{{LONGEST}}})", " $1 ")
+    trimmed = F.btrim(cut, F.lit(WORD_SPACE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SPACE_RE))
 
 
@@ -90,23 +100,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def _ranges(docs: DataFrame, n: int) -> Column:
-    """Bucket of a doc_id among at most ``n`` ranges, larger ids first, null ids after all.
+def _ranges(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text, mix) with their ``bucket``, a range of ids and hashes with about ``RANGE_BYTES`` of text, larger
+    ids first, null ids last; and the number of buckets.
 
-    The bounds are at most ``n`` approximate quantiles; the bucket is a function of the id alone,
-    looked up in two steps, so its cost grows with the root of ``n``."""
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
-    bounds = docs.agg(F.percentile_approx("doc_id", probs, 10000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    if not bounds:
-        return F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
-    step = max(1, int(len(bounds) ** 0.5))
-    heads = F.array(*[F.lit(b) for b in bounds[::step]])
-    all_ = F.array(*[F.lit(b) for b in bounds])
-    below = lambda arr: F.size(F.filter(arr, lambda b: b < F.col("doc_id")))
-    block = F.greatest(below(heads) - 1, F.lit(0)) * step
-    rank = block + below(F.slice(all_, block + 1, F.lit(step)))
-    return F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - rank)
+    The bounds are those of a range partitioning of the ids alone, of any type that can be ordered; they are written,
+    so that the bucket is a function of the row."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = int(min(MAX_RANGES, max(2, -(-size // RANGE_BYTES))))
+    key = F.struct("doc_id", F.bitwise_not("mix").alias("rest"))       # falling: by id falling, then by hash rising
+    least = rows.select(key.alias("key")).repartitionByRange(n, F.desc("key")).groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("b"))
+    bounds = scratch.table(least.select("b"))                           # at most MAX_RANGES rows
+    every = bounds.agg(F.reverse(F.sort_array(F.collect_list("b"))).alias("all"))
+    step = max(1, int(n ** 0.5))
+    both = every.select(F.struct("all", F.filter("all", lambda _, i: i % step == 0).alias("heads")).alias("s")).scalar()
+    d = rows.withColumn("key", key).withColumn("bounds", both)
+    above = lambda arr: F.size(F.filter(arr, lambda b: b > F.col("key")))
+    block = F.greatest(above(F.col("bounds.heads")) - 1, F.lit(0)) * step
+    return d.withColumn("bucket", block + above(F.slice("bounds.all", block + 1, F.lit(step)))).drop("bounds"), n
 
 
 def with_next_document(docs: DataFrame) -> DataFrame:
@@ -116,21 +127,20 @@ def with_next_document(docs: DataFrame) -> DataFrame:
 
     Rows go to ranges of ids; each range also gets the first row of the range after it, so that
     one local ``lead`` serves every row, without a sort of all rows in one task."""
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "winnowing")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("bucket", _ranges(base, max(2, 2 * parts(spark)))).withColumn("mix", F.xxhash64("text"))
+    base, n = _ranges(base.withColumn("mix", F.xxhash64("text")), scratch)
     order = [F.col("doc_id").desc_nulls_last(), F.col("mix"), F.col("text")]
-    # the first row of each bucket: its largest id, then its least (hash, text)
-    top = base.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    top = top.select("bucket", "top", F.lead("bucket").over(Window.orderBy("bucket")).alias("after"),
-                     F.min("bucket").over(Window.partitionBy()).alias("start"), F.lag("bucket").over(Window.orderBy("bucket")).alias("before"),
+    # the first row of each bucket; one row per bucket
+    top = base.groupBy("bucket").agg(F.max("key").alias("top"))
+    top = top.select("bucket", "top", F.lag("bucket").over(Window.orderBy("bucket")).alias("before"),
                      F.max("bucket").over(Window.partitionBy()).alias("end"))
-    heads = base.join(F.broadcast(top), "bucket").where(F.col("doc_id").eqNullSafe(F.col("top")))
+    heads = base.join(F.broadcast(top), "bucket").where(F.col("key").eqNullSafe(F.col("top")))
     heads = heads.groupBy(F.coalesce("before", "end").alias("bucket"), "doc_id").agg(F.min(F.struct("mix", "text")).alias("h"))
     rows = base.select("bucket", "doc_id", "mix", "text", F.lit(0).alias("extra")).union(
         heads.select("bucket", "doc_id", "h.mix", "h.text", F.lit(1)))
     w = Window.partitionBy("bucket").orderBy("extra", *order)
-    rows = winnow(rows, "text", "chosen")
+    rows = winnow(rows, "text", "chosen").repartitionByRange(n, "bucket")
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_chosen", F.lead("chosen").over(w))
     return rows.where("extra = 0").drop("extra", "mix", "bucket")
 

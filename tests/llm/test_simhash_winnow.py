@@ -5,7 +5,7 @@ import random
 
 import xxhash
 
-from brokerlens.llm import simhash
+from brokerlens.llm import simhash, winnowing
 from brokerlens.llm.common import Scratch, documents
 from brokerlens.llm.graph import connected_components
 from brokerlens.llm.simhash import q_op7, simhash_components
@@ -187,3 +187,63 @@ def test_next_document_edges(spark):
     assert with_next_document(d.limit(0)).count() == 0
     one = with_next_document(docs(spark, [(7, "only one", "s")])).collect()
     assert one[0].next_text == "only one"
+
+
+def in_order(rows):
+    """(id, text) by falling id, null ids last, then by the hash of the text, then by text."""
+    mix = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    ids = sorted({i for i, _ in rows if i is not None}, reverse=True)
+    rank = {i: n for n, i in enumerate(ids)} | {None: len(ids)}
+    return sorted(rows, key=lambda r: (rank[r[0]], mix(r[1]), r[1]))
+
+
+def check_next(spark, rows, df):
+    want = in_order([(i, t or "") for i, t in rows])
+    got = with_next_document(df).collect()
+    pairs = sorted(((r.doc_id, r.text, r.next_text) for r in got), key=repr)
+    assert pairs == sorted(((i, t, want[(n + 1) % len(want)][1]) for n, (i, t) in enumerate(want)), key=repr)
+    chosen = {r.text: r.chosen for r in got}
+    assert all(r.next_chosen == chosen[r.next_text] for r in got)
+
+
+def test_next_document_of_every_edge_row(spark, monkeypatch):
+    rows = [(i, t) for i, t, _ in edge_rows()]
+    d = docs(spark, edge_rows(), CLASH + ["key", "bounds", "mix"])
+    check_next(spark, rows, d)
+    monkeypatch.setattr(winnowing, "RANGE_BYTES", 5_000)      # a range for every few rows
+    check_next(spark, rows, d)
+    many = [(i % 40, words(20, i)) for i in range(300)]       # equal ids in several ranges
+    check_next(spark, many, docs(spark, [(*r, "s") for r in many]))
+
+
+def test_ids_of_other_types(spark):
+    rows = [(x, words(30, n)) for n, x in enumerate(["b", "a", "ab", "", "é", None, "b"])]
+    check_next(spark, rows, spark.createDataFrame(rows, "doc_id string, text string"))
+    rows = [(x, words(30, n)) for n, x in enumerate([1.5, -2.0, 3.25])]
+    check_next(spark, rows, spark.createDataFrame(rows, "doc_id double, text string"))
+
+
+def test_texts_without_white_space(spark):
+    """Two thirds of a text are enough to see the likeness, also without spaces, and other texts are not alike."""
+    r = random.Random(4)
+    han = ["".join(chr(r.randrange(0x4E00, 0x6000)) for _ in range(300)) for _ in range(2)]
+    thai = ["".join(chr(r.randrange(0x0E01, 0x0E2E)) for _ in range(300)) for _ in range(2)]
+    solid = ["".join(r.choice("abcdefgh0123456789+/") for _ in range(3000)) for _ in range(2)]
+    for a, b in (han, thai, solid):
+        cut = a[:len(a) * 2 // 3] + b[:len(a) // 3]
+        got = winnowed(spark, [(0, a), (1, cut), (2, b), (3, a)])
+        like = lambda x, y: len(set(x.hashes) & set(y.hashes)) / len(set(x.hashes) | set(y.hashes))
+        assert like(got[0], got[1]) > 0.3 and like(got[0], got[2]) < 0.05 and got[0].hashes == got[3].hashes
+    mixed = winnowed(spark, [(0, "abc " + han[0] + " def " + words(40, 1)), (1, "abc " + han[0])])
+    assert set(mixed[0].hashes) & set(mixed[1].hashes)
+
+
+def test_edited_edges(spark):
+    """The edited text and the likenesses of null, empty, short and very long texts, and of repeated rows."""
+    from pyspark.sql import functions as F
+    rows = [(i, t or "") for i, t, _ in edge_rows()]
+    want = in_order(rows)
+    d = with_next_document(docs(spark, edge_rows()))
+    d = d.withColumn("edited", winnowing.edited(F.col("text"), F.col("next_text")))
+    got = sorted(((r.doc_id, r.text, r.edited) for r in d.collect()), key=repr)
+    assert got == sorted(((i, t, t[:len(t) - len(t) // 3] + want[(n + 1) % len(want)][1][:len(t) // 3]) for n, (i, t) in enumerate(want)), key=repr)
