@@ -40,11 +40,21 @@ MAX_RANGES = 20_000
 
 
 def _words(text: Column) -> Column:
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), rf"({UNSPACED}|[^\x20\x09-\x0D]{{{LONGEST}}})", " $1 ")
-    trimmed = F.btrim(cut, F.lit(WORD_SPACE))
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_SPACE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SPACE_RE))
 
 
+def _to_cut(word: Column) -> Column:
+    """Whether a word is long or holds an unspaced script, of which a code point has three bytes or more."""
+    n = F.length(word)
+    return (n > LONGEST) | ((F.octet_length(word) - n >= 2) & word.rlike(UNSPACED))
+
+
+def _cut(text: Column) -> Column:
+    """Text with white space around each code point of an unspaced script and after ``LONGEST`` code points of a word."""
+    return F.regexp_replace(text, rf"({UNSPACED}|[^\x20\x09-\x0D]{{{LONGEST}}})", " $1 ")
+
+
 def _paired(values: str, step: int, join) -> Column:
     """``join`` of each element and the one ``step`` places on; ``values`` itself if it has none."""
     a = F.col(values)
@@ -63,7 +73,9 @@ def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in df.columns]
     k, w = 1 << GRAM_LOG, 1 << WINDOW_LOG
     pair = lambda x, y: F.xxhash64(x, y)
-    d = df.select(*cols, F.transform(_words(F.col(f"`{text}`")), lambda x: F.xxhash64(x)).alias("_h"))
+    d = df.select(*cols, _words(F.col(f"`{text}`")).alias("_h"))
+    d = d.withColumn("_h", F.when(F.exists("_h", _to_cut), _words(_cut(F.col(f"`{text}`")))).otherwise(F.col("_h")))
+    d = d.withColumn("_h", F.transform("_h", lambda x: F.xxhash64(x)))
     d = d.withColumn("_n", F.size("_h"))
     d = d.withColumn("_h", F.when(F.col("_n") < k, _folded("_h", pair)).otherwise(F.col("_h")))
     for j in range(GRAM_LOG):
@@ -140,7 +152,7 @@ def with_next_document(docs: DataFrame) -> DataFrame:
     rows = base.select("bucket", "doc_id", "mix", "text", F.lit(0).alias("extra")).union(
         heads.select("bucket", "doc_id", "h.mix", "h.text", F.lit(1)))
     w = Window.partitionBy("bucket").orderBy("extra", *order)
-    rows = winnow(rows, "text", "chosen").repartitionByRange(n, "bucket")
+    rows = winnow(rows, "text", "chosen").repartition(n, "bucket")
     rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_chosen", F.lead("chosen").over(w))
     return rows.where("extra = 0").drop("extra", "mix", "bucket")
 
