@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brokerlens.llm.common import WORD_SPACE, WORD_SPACE_RE, Scratch, documents
+from brokerlens.llm.common import WORD_SPACE, WORD_SPACE_RE, Scratch, documents, parts
 
 GRAM_LOG = 2           # k = 4 words
 WINDOW_LOG = 4         # w = 16 k-grams
@@ -113,13 +113,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _ranges(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """``rows`` (doc_id, text, mix) with their ``bucket``, a range of ids and hashes with about ``RANGE_BYTES`` of text, larger
+    """``rows`` (doc_id, text, mix) with their ``bucket``, a range of ids and hashes with about ``RANGE_BYTES`` of text or less, larger
     ids first, null ids last; and the number of buckets.
 
     The bounds are those of a range partitioning of the ids alone, of any type that can be ordered; they are written,
     so that the bucket is a function of the row."""
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = int(min(MAX_RANGES, max(2, -(-size // RANGE_BYTES))))
+    n = int(min(MAX_RANGES, max(2, 2 * parts(rows.sparkSession), -(-size // RANGE_BYTES))))
     key = F.struct("doc_id", F.bitwise_not("mix").alias("rest"))       # falling: by id falling, then by hash rising
     least = rows.select(key.alias("key")).repartitionByRange(n, F.desc("key")).groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("b"))
     bounds = scratch.table(least.select("b"))                           # at most MAX_RANGES rows
