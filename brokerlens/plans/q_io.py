@@ -80,8 +80,8 @@ def q_write_selected(spark, sf):
 def q_write_feature_list(spark, sf):
     """Features with the top ANOVA F scores written one per line, read back."""
     from brokerlens.operators.stats import anova_f, select_k_best
-    from brokerlens.plans.training import prepared_parts
-    tr, _, feats = prepared_parts(fixture_labelled(spark, sf, FT))
+    from brokerlens.plans.training import CUTOFF, prepared_parts
+    tr, _, feats = prepared_parts(fixture_labelled(spark, sf, FT), cutoff=CUTOFF)
     names = [r["feature"] for r in select_k_best(anova_f(tr, feats), 5).collect()]
     out = shared_dir(spark) + "/features"
     SK.write_feature_list(spark, names, out)

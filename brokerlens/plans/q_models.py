@@ -19,7 +19,7 @@ from brokerlens.plans.training import prepared_parts
 
 
 def parts(spark, sf):
-    """Cleaned train / test parts and the non-constant features of train."""
+    """Cleaned train / test parts of a stratified hold-out and the non-constant features of train."""
     tr, te, feats = prepared_parts(fixture_labelled(spark, sf, FT))
     const = {r["column"] for r in constant_columns(tr, feats).where("constant").collect()}
     return tr, te, [f for f in feats if f not in const]

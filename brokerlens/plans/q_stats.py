@@ -22,7 +22,7 @@ def labelled(spark, sf):
 
 
 def parts(spark, sf):
-    return prepared_parts(labelled(spark, sf))
+    return prepared_parts(labelled(spark, sf), cutoff=CUTOFF)
 
 
 def union(parts_):

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brokerlens.operators.cleaning import MODEL_FEATURES, fit_medians, impute_median, replace_infinite
+from brokerlens.operators.split import stratified_split
 
-CUTOFF = "2024-01-25 00:00:00"      # of the fixture's messages
+CUTOFF = "2024-01-25 00:00:00"      # of the fixture's messages, for the queries that are checked by SQL
+TEST_SIZE = 0.2
 
 
 def model_frame(labelled: DataFrame, features=MODEL_FEATURES, label: str = "is_ddos",
@@ -37,8 +39,10 @@ def clean_parts(train: DataFrame, test: DataFrame, features: list[str]):
     return impute_median(tr, med), impute_median(replace_infinite(test, features), med)
 
 
-def prepared_parts(labelled: DataFrame, features=MODEL_FEATURES, cutoff: str = CUTOFF):
+def prepared_parts(labelled: DataFrame, features=MODEL_FEATURES, cutoff: str | None = None, test_size: float = TEST_SIZE, seed: int = 42):
+    """(train, test, features), cleaned: a stratified random hold-out of ``test_size``, or with ``cutoff`` the
+    messages from that time on."""
     mf = model_frame(labelled, features)
     feats = [c for c in features if c in mf.columns]
-    tr, te = time_split(mf, cutoff)
+    tr, te = time_split(mf, cutoff) if cutoff is not None else stratified_split(mf, "is_ddos", test_size, seed)
     return clean_parts(tr, te, feats) + (feats,)

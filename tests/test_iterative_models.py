@@ -119,3 +119,16 @@ def test_elbow_passes_are_few(spark, monkeypatch):
     monkeypatch.setattr(newton, "sum_over_tasks", lambda *a: seen.append(1) or real(*a))
     M.elbow_k(ring(spark, 400), ["a", "b"], folds=5)
     assert 2 <= len(seen) <= 15
+
+
+def test_models_are_held_out_by_class_not_by_a_date(spark):
+    """The default split keeps the class shares and needs no date of the data."""
+    from brokerlens.plans.training import prepared_parts
+    from tests.helpers import frame, msg
+    rows = [msg(i, ip=f"ip{i % 9}") for i in range(1000)]
+    df = frame(spark, rows).withColumn("is_ddos", (F.col("mqtt_message_id") % 10 == 0).cast("int")).withColumn("hour", F.lit(1))
+    tr, te, feats = prepared_parts(df)
+    size = lambda d: {r.is_ddos: r["count"] for r in d.groupBy("is_ddos").count().collect()}
+    assert size(te) == {0: 180, 1: 20} and size(tr) == {0: 720, 1: 80} and "mqtt_qos" in feats
+    tr, te, _ = prepared_parts(df, cutoff="2024-01-01 00:10:00")
+    assert tr.count() == 600 and te.count() == 400
