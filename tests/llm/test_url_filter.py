@@ -89,3 +89,14 @@ def test_equal_rules_and_empty(spark):
     assert found(judge_urls(urls, twice)) == [(1, "a.net", "/x", "net/", "block")]
     assert found(judge_urls(urls, spark.createDataFrame([], RULE))) == [(1, "a.net", "/x", None, "allow")]
     assert found(judge_urls(spark.createDataFrame([], SCHEMA), twice)) == []
+
+
+def test_scratch_is_released(spark):
+    """What an operator wrote to the shared folder goes once its result is done with."""
+    from brokerlens.llm.common import Scratch, release_scratch
+    judged = judge_urls(spark.createDataFrame([(1, "http://a.net/x", "", "", "")], SCHEMA), spark.createDataFrame(RULES, RULE))
+    assert judged.count() == 1 and Scratch.bases
+    left = list(Scratch.bases)
+    release_scratch(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(left[-1]).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert not Scratch.bases and not any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p)) for p in left)
