@@ -1,18 +1,27 @@
 """Line dedup by pairwise alignment.
 
-Each document is a sequence of line hashes (blank lines aside).  A line
-alone may be frequent, so the key by which overlapping documents are found
-is made rare: the hash of the shortest run of lines from a given line on that
-has ``MIN_WORDS`` words, and that of the shortest such run up to it.  Every
-line of a block of that size lies in a run of one of the two kinds within the
-block, so the runs' first documents hold all of it.  Every holder of a key is
-paired with the key's first document, so the pairs grow with the lines, however
-many documents hold one.
-
-A pair is aligned by patience diff: lines that occur once in both, in their
+Each document is a sequence of line hashes (blank lines aside).  Lines that
+one document holds are in no common block, so a document falls into the
+segments between them; those with fewer than ``MIN_WORDS`` words go no further.
+Overlapping segments are found through keys:
+
+- a rare line, one that stands at ``RARE`` places at most over all documents,
+  pairs each segment that holds it with the earlier ones;
+- lines that stand at more places are made rare by their neighbours: the key
+  is the hash of the shortest run of such lines from a given one on that has
+  ``MIN_WORDS`` words, and that of the shortest such run up to it.  Every holder
+  of a run is paired with the run's first holder only, so the pairs grow with
+  the lines, however many documents hold one.
+
+A common block with a rare line is found as a whole through that line.  In any
+other block every line lies in a run within the block, so the first holders
+of its runs hold all of it.
+
+A pair carries the lines around its keys, as many as the shorter segment can
+reach.  They are aligned by patience diff: lines that occur once in both, in their
 longest increasing order, widened to equal neighbours, again between and
 after those until nothing new aligns; blocks of lines that repeat within
-a document are found by their keys.  Common blocks of ``MIN_WORDS`` words or more are
+a document are found by their runs.  Common blocks of ``MIN_WORDS`` words or more are
 deleted from the later document, the one with the larger id.  The first
 holder of a line never loses it.
 
@@ -26,6 +35,7 @@ whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +43,10 @@ from pyspark.sql import functions as F
 from brokerlens.llm.common import Scratch, documents
 
 MIN_WORDS = 50
+# places of a line, over all documents, up to which it is a key by itself
+RARE = 3
+# tasks that the holders of one line or run are dealt to
+SALTS = 8
 
 
 def run_keys(hashes, words, min_words: int = MIN_WORDS):
@@ -53,15 +67,31 @@ def run_keys(hashes, words, min_words: int = MIN_WORDS):
     return out
 
 
-def block_keys(hashes, words, min_words: int = MIN_WORDS) -> list[int]:
-    """Keys of the shortest runs of ``min_words`` words from each line on and up to each line."""
+def block_keys(hashes, words, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(start, key) of the shortest runs of ``min_words`` words from each line on and up to each line."""
     import xxhash
     import numpy as np
     raw, n = np.asarray(hashes, np.int64).tobytes(), len(hashes)
     runs = {(start, end) for start, end, _ in run_keys(hashes, words, min_words)}
     runs.update((n - end, n - start) for start, end, _ in run_keys(hashes[::-1], words[::-1], min_words))
-    keys = {xxhash.xxh64_intdigest(raw[8 * start:8 * end], 7) for start, end in runs}
-    return [key - (1 << 64) if key >> 63 else key for key in keys]
+    keys = [(start, xxhash.xxh64_intdigest(raw[8 * start:8 * end], 7)) for start, end in runs]
+    return [(start, key - (1 << 64) if key >> 63 else key) for start, key in keys]
+
+
+def segment_keys(hashes, words, frequent, min_words: int = MIN_WORDS) -> dict:
+    """{(key, is a rare line): [first, last start]} of a segment's rare lines and runs of frequent lines."""
+    found = [((h, True), i) for i, (h, often) in enumerate(zip(hashes, frequent)) if not often]
+    at = 0
+    for often, run in groupby(frequent):
+        end = at + len(list(run))
+        if often:
+            found += [((key, False), at + i) for i, key in block_keys(hashes[at:end], words[at:end], min_words)]
+        at = end
+    out: dict = {}
+    for key, i in found:
+        span = out.setdefault(key, [i, i])
+        span[0], span[1] = min(span[0], i), max(span[1], i)
+    return out
 
 
 def _anchors(a, b, open_b):
@@ -123,36 +153,104 @@ def _text_key():
     return F.xxhash64("text").alias("mark")
 
 
-def document_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, mark, hashes, words, numbers, keys): the non-blank lines of each document with their
-    line numbers, and the keys of its runs."""
+def document_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, lines): hash, words and line number of the non-blank lines of each document."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def lines(batches):
         import pyarrow as pa
         import xxhash
-        longs = pa.list_(pa.int64())
         for batch in batches:
-            hashes, words, numbers, keys = [], [], [], []
+            hashes, words, numbers, ends = [], [], [], [0]
             for text in batch.column(2).to_pylist():
-                h, w, n = [], [], []
                 for i, line in enumerate((text or "").split("\n")):
                     line = line.strip()
                     if line:
                         x = xxhash.xxh64_intdigest(line.encode(), 1)
-                        h.append(x - (1 << 64) if x >> 63 else x)
-                        w.append(len(line.split()))
-                        n.append(i)
-                hashes.append(h)
-                words.append(w)
-                numbers.append(n)
-                keys.append(block_keys(h, w, min_words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(x, longs) for x in (hashes, words, numbers, keys)]],
-                names=["doc_id", "mark", "hashes", "words", "numbers", "keys"])
+                        hashes.append(x - (1 << 64) if x >> 63 else x)
+                        words.append(len(line.split()))
+                        numbers.append(i)
+                ends.append(len(hashes))
+            fields = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(words, pa.int32()), pa.array(numbers, pa.int32())],
+                                                names=["hash", "words", "number"])
+            rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["doc_id", "mark", "lines"])
 
     return docs.select("doc_id", _text_key(), "text").mapInArrow(
-        lines, f"doc_id {kind}, mark long, hashes array<long>, words array<long>, numbers array<long>, keys array<long>")
+        lines, f"doc_id {kind}, mark long, lines array<struct<hash: long, words: int, number: int>>")
+
+
+def _meet(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the one row of ``table`` for their key; the rows of a hot key are dealt to ``SALTS`` tasks.
+
+    Always a sort-merge join: the rows move the same way whatever the input's size."""
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted.hint("merge"), [key, "salt"]).drop("salt")
+
+
+def shared_segments(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, mark, part, hashes, words, numbers, keys) of the runs of lines, ``min_words`` words at
+    least, that other documents hold too; ``part`` is the place of the first line."""
+    kind = dict(lines.dtypes)["doc_id"]
+    each = lines.select("doc_id", "mark", F.posexplode("lines").alias("at", "line")).select(
+        "doc_id", "mark", "at", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"), F.col("line.number").alias("number"))
+    holder = F.xxhash64("doc_id", "mark")
+    shared = (each.groupBy("hash").agg(F.count(F.lit(1)).alias("places"), F.min(holder).alias("one"), F.max(holder).alias("other"))
+                  .where("one <> other").select("hash", (F.col("places") > RARE).alias("frequent")))
+    # a set: rows of equal id and text count as one document
+    held = _meet(each, shared, "hash").groupBy("doc_id", "mark").agg(
+        F.sort_array(F.collect_set(F.struct("at", "hash", "words", "number", "frequent"))).alias("lines"))
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        longs = pa.list_(pa.int64())
+        key_type = pa.list_(pa.struct([("key", pa.int64()), ("rare", pa.bool_()), ("lo", pa.int32()), ("hi", pa.int32())]))
+        for batch in batches:
+            col = batch.column(2)
+            at, hashes, words, numbers, frequent = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in col.flatten().flatten())
+            ends = np.cumsum([len(x) for x in col])
+            breaks = np.flatnonzero(np.diff(at) != 1) + 1
+            cuts = np.union1d(np.concatenate([[0], ends]), breaks)
+            of = np.searchsorted(ends, cuts[:-1], side="right")
+            total = np.concatenate([[0], np.cumsum(words)])
+            docs, rows = [], [[], [], [], [], []]
+            for doc, a, b in zip(of, cuts[:-1], cuts[1:]):
+                if total[b] - total[a] < min_words:
+                    continue
+                h, w = hashes[a:b].tolist(), words[a:b].tolist()
+                keys = segment_keys(h, w, frequent[a:b].tolist(), min_words)
+                docs.append(doc)
+                for out, x in zip(rows, (int(at[a]), h, w, numbers[a:b],
+                                         [{"key": k, "rare": rare, "lo": lo, "hi": hi} for (k, rare), (lo, hi) in keys.items()])):
+                    out.append(x)
+            take = pa.array(docs, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(rows[0], pa.int32()),
+                 *[pa.array(x, longs) for x in rows[1:4]], pa.array(rows[4], key_type)],
+                names=["doc_id", "mark", "part", "hashes", "words", "numbers", "keys"])
+
+    return held.mapInArrow(cut, f"doc_id {kind}, mark long, part int, hashes array<long>, words array<long>, numbers array<long>, "
+                                "keys array<struct<key: long, rare: boolean, lo: int, hi: int>>")
+
+
+def overlapping(segments: DataFrame) -> DataFrame:
+    """(a, b, low, high): segments ``b`` that share keys with an earlier document's segment ``a``, and the
+    least and largest distance of a key's places in them."""
+    seg = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "part", F.size("hashes").alias("n"))
+    keys = segments.select("doc_id", "mark", seg.alias("seg"), F.explode("keys").alias("k")).select("doc_id", "mark", "seg", "k.*")
+    holder = F.struct("seg", "lo", "hi")
+    # a rare line has RARE holders at most
+    rare = keys.where("rare").groupBy("key").agg(F.sort_array(F.collect_list(holder)).alias("held"))
+    rare = rare.select(F.explode(F.flatten(F.transform("held", lambda b, i: F.transform(
+        F.slice("held", 1, i), lambda a: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
+    runs = keys.where("NOT rare")
+    first = runs.groupBy("key").agg(F.min(holder).alias("a"), F.count(F.lit(1)).alias("holders")).where("holders > 1").drop("holders")
+    runs = _meet(runs, first, "key").select("a", holder.alias("b"))
+    other = ~(F.col("a.seg.doc_id").eqNullSafe(F.col("b.seg.doc_id")) & (F.col("a.seg.mark") == F.col("b.seg.mark")))
+    return (rare.unionByName(runs).where(other).groupBy(F.col("a.seg").alias("a"), F.col("b.seg").alias("b"))
+                .agg(F.min(F.col("a.lo") - F.col("b.hi")).alias("low"), F.max(F.col("a.hi") - F.col("b.lo")).alias("high")))
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -160,21 +258,23 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and the ids of the earlier documents that hold them."""
     scratch = Scratch(docs.sparkSession, "lines")
     kind = dict(docs.dtypes)["doc_id"]
-    lines = scratch.table(document_lines(docs, min_words))
-    keys = lines.select("doc_id", "mark", F.explode("keys").alias("key"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    first = scratch.table(keys.groupBy("key").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-                              .select("key", F.col("f.doc_id").alias("first_id"), F.col("f.mark").alias("first_mark")))
-    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
-    pairs = scratch.table(keys.join(first, "key").where(~same).select("doc_id", "mark", "first_id", "first_mark").distinct())
-    both = pairs.select("doc_id", "mark").union(pairs.select("first_id", "first_mark")).distinct()
-    slim = lines.alias("l").join(both.alias("b"), F.col("l.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("l.mark") == F.col("b.mark")), "left_semi")
-    slim = scratch.table(slim.select("doc_id", "mark", "hashes", "words", "numbers").dropDuplicates(["doc_id", "mark"]))
-    p, a, b = pairs.alias("p"), slim.alias("a"), slim.alias("b")
-    joined = (p.join(b, F.col("p.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("p.mark") == F.col("b.mark")))
-               .join(a, F.col("p.first_id").eqNullSafe(F.col("a.doc_id")) & (F.col("p.first_mark") == F.col("a.mark")))
-               .select("p.doc_id", "p.mark", "p.first_id", F.col("b.hashes").alias("h"), F.col("b.words").alias("w"),
-                       F.col("b.numbers").alias("n"), F.col("a.hashes").alias("ah"), F.col("a.words").alias("aw")))
+    lines = scratch.table(document_lines(docs))
+    segments = scratch.table(shared_segments(lines, min_words))
+    pairs = scratch.table(overlapping(segments))
+
+    def around(side, start, end, *columns):
+        """``pairs`` with the lines of that side from ``start`` to ``end``."""
+        s = segments.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), F.col("part").alias("at"), *columns)
+        met = lambda p: p.join(s.hint("merge"), F.col(f"{side}.doc_id").eqNullSafe(F.col("i"))
+                               & (F.col(f"{side}.mark") == F.col("m")) & (F.col(f"{side}.part") == F.col("at")))
+        cut = [F.slice(c, start + 1, end - start).alias(f"{side}_{c}") for c in columns]
+        return lambda p: met(p).select(*[c for c in p.columns], *cut)
+
+    low, high, zero = F.col("low"), F.col("high"), F.lit(0)
+    later = around("b", F.greatest(zero, -high), F.least(F.col("b.n"), F.col("a.n") - low), "hashes", "words", "numbers")
+    earlier = around("a", F.greatest(zero, low), F.least(F.col("a.n"), F.col("b.n") + high), "hashes", "words")
+    joined = earlier(later(pairs)).select("b.doc_id", "b.mark", F.col("a.doc_id").alias("first_id"),
+                                          "b_hashes", "b_words", "b_numbers", "a_hashes", "a_words")
 
     def align(batches):
         import pyarrow as pa
@@ -189,7 +289,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = scratch.table(joined.mapInArrow(align, f"doc_id {kind}, mark long, first_id {kind}, gone array<long>"))
     out = scratch.table(found.select("doc_id", "mark", "first_id", F.explode("gone").alias("line")).groupBy("doc_id", "mark")
                              .agg(F.sort_array(F.collect_set("line")).alias("gone"), F.sort_array(F.collect_set("first_id")).alias("earlier")))
-    scratch.drop(lines, first, pairs, slim, found)
+    scratch.drop(lines, segments, pairs, found)
     return out
 
 

@@ -7,7 +7,8 @@ import pytest
 
 from brokerlens.llm import toxicity
 from brokerlens.llm.common import documents
-from brokerlens.llm.line_dedup import MIN_WORDS, common_blocks, dedup_lines, q_op8
+from brokerlens.llm.line_dedup import (MIN_WORDS, RARE, common_blocks, dedup_lines, document_lines, overlapping, q_op8,
+                                       segment_keys, shared_segments)
 from tests.llm.helpers import CLASH, SF, docs, edge_rows, words
 
 
@@ -84,6 +85,48 @@ def test_blocks_that_go_on_beyond_the_first_holder(spark):
         assert got[i] == set().union(*[shared_blocks(earlier, text) for _, earlier, _ in rows[:i]])
 
 
+@pytest.mark.parametrize("vocab,copies", [(400, 1), (90, 2), (30, 1)])
+def test_rare_and_frequent_lines_find_every_block(spark, vocab, copies):
+    import random
+    r = random.Random(vocab)
+    lines = [words(r.choice((3, 12, 26, 55)), 1000 + i) for i in range(vocab)]
+    rows = []
+    for i in range(70):
+        at = r.randrange(vocab - 4)
+        text = [r.choice(lines) for _ in range(r.randrange(4))] + lines[at:at + r.randrange(1, 5)] + [words(9, 5000 + i)] + [r.choice(lines)] * r.randrange(2)
+        rows += [(i, "\n\n".join(text), "s")] * copies
+    got = {r.doc_id: set(r.gone) for r in dedup_lines(docs(spark, rows), report=True).collect()}
+    texts = dict((i, t) for i, t, _ in rows)
+    for i, text in texts.items():
+        assert got[i] == set().union(*[shared_blocks(texts[k], text) for k in range(i)])
+
+
+def test_keys_are_rare_lines_and_runs_of_frequent_lines():
+    keys = segment_keys([7, 8, 9, 7], [30, 30, 60, 30], [False, True, True, False])
+    assert keys[(7, True)] == [0, 3] and (8, True) not in keys
+    runs = [span for (_, rare), span in keys.items() if not rare]
+    # 8+9 from line 1 on; 9 alone, from line 2 on and up to it
+    assert sorted(runs) == [[1, 1], [2, 2]]
+
+
+def test_pairs_carry_only_the_lines_around_their_keys(spark):
+    passages = [words(60, 10 + i) for i in range(40)]
+    heading = words(8, 9)
+    rows = [(0, "\n".join(passages), "s")]
+    rows += [(1 + i, f"{heading}\n{words(20, 100 + i)}\n{p}", "s") for i, p in enumerate(passages)]
+    rows += [(100 + i, f"{passages[3]}\n{words(20, 200 + i)}", "s") for i in range(RARE + 3)]
+    segments = shared_segments(document_lines(docs(spark, rows)))
+    got = segments.collect()
+    # the heading of 8 words stands in 40 documents and is no segment
+    assert len(got) == 1 + 40 + RARE + 3 and all(len(r.hashes) == 1 for r in got if r.doc_id)
+    pairs = overlapping(segments).collect()
+    # one pair a passage, with the long document only, and one for each further holder of passage 3
+    assert sorted((p.b.doc_id, p.a.doc_id) for p in pairs) == [(r[0], 0) for r in rows[1:]]
+    assert all(min(p.a.n, p.b.n + p.high) - max(0, p.low) == 1 for p in pairs)
+    out = {r.doc_id: r for r in dedup_lines(docs(spark, rows), report=True).collect()}
+    assert all(list(out[r[0]].earlier) == [0] and passages[3] not in out[r[0]].text for r in rows[1:])
+
+
 def test_line_dedup_edges(spark):
     d = docs(spark, edge_rows(), CLASH)
     got = dedup_lines(d)
