@@ -63,12 +63,15 @@ def q_column_info(spark, sf):
     return P.column_info(labelled(spark, sf))
 
 
-@register("dtype_counts")
+KINDS = "(VALUES " + ", ".join(f"('{c}', '{t}', '{k}')" for c, t, k in LABELLED) + ") AS kinds(\"column\", dtype, kind)"
+
+
+@register("dtype_counts", oq(f"SELECT dtype, count(*) AS n_columns FROM {KINDS} GROUP BY dtype"))
 def q_dtype_counts(spark, sf):
     return P.dtype_counts(labelled(spark, sf))
 
 
-@register("columns_by_type")
+@register("columns_by_type", oq(f'SELECT "column", kind FROM {KINDS}'))
 def q_columns_by_type(spark, sf):
     """Numeric / categorical grouping of the labelled table's columns."""
     return P.column_info(labelled(spark, sf)).select("column", "kind")
@@ -349,7 +352,10 @@ def q_stratified_split(spark, sf):
             .unionByName(test.select("mqtt_message_id", "is_ddos", F.lit("test").alias("split"))))
 
 
-@register("split_summary")
+@register("split_summary", oq(""", of_class AS (SELECT is_ddos, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS tested FROM labelled GROUP BY is_ddos),
+of_part AS (SELECT 'test' AS part, is_ddos, tested AS count FROM of_class
+            UNION ALL SELECT 'train', is_ddos, n - tested FROM of_class)
+SELECT part, is_ddos, count, 100.0 * count / sum(count) OVER (PARTITION BY part) AS percent FROM of_part WHERE count > 0"""), dbl=("percent",))
 def q_split_summary(spark, sf):
     train, test = SP.stratified_split(labelled(spark, sf), "is_ddos", 0.2, 42)
     return SP.split_summary(train, test)
