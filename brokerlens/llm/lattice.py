@@ -1,11 +1,16 @@
 """Embedding near-duplicates by E8 lattice hashing.
 
 A unit vector is projected by random orthonormal rows onto 8 dimensions, scaled, and
-decoded to the nearest point of the E8 lattice, in several tables.  A vector
-is filed under its own lattice point and asks for that point and the nearest
-of its 240 neighbours.  Two vectors that meet in any table, and whose
-random sign sketches do not rule a link out, are verified by their cosine in
-double precision.
+decoded to the nearest point of the E8 lattice.  A cell is the lattice points of
+one or more such blocks together; there are several tables of cells.  A vector
+is filed under its own cell and asks for that cell and for those in which one block's
+point is replaced by the nearest of its 240 neighbours.  Two vectors that meet in
+any table, and whose random sign sketches do not rule a link out, are verified by
+their cosine in double precision.
+
+Growth.  The number of blocks grows with the logarithm of the number of vectors
+(``search_plan``), so that the vectors of a cell that have nothing to do with each other
+stay a few at every size; the number of tables follows from the blocks and the recall.
 
 Clumps.  Vectors within ``CLUMP_DEGREES`` of a leader are filed as one clump, in two rounds,
 first by one table's cells and then by another's.  Members of a clump are
@@ -22,9 +27,9 @@ lone clumps, without such neighbours, are compared as rows.  So a wide group, in
 vectors meet and few are close enough for a clump, makes rows in proportion to its size
 times the number of its blocks.
 
-Recall.  ``TABLES`` tables with ``PROBES`` neighbours find a pair at exactly the
-least cosine with a probability of about 0.99, closer pairs more often
-(measured in the tests against brute force); links found are exact.
+Recall.  There are as many tables as it takes to find a pair at exactly the
+least cosine with a probability of ``RECALL`` at every number of blocks, closer pairs more
+often (measured in the tests against brute force); links found are exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are their own component; vectors of
@@ -44,9 +49,11 @@ from brokerlens.llm.common import Scratch, documents
 from brokerlens.llm.graph import connected_components
 
 COSINE = 0.95
-SCALE = 3.0            # of a projected unit vector; larger cells hold more of their surroundings
-TABLES = 10
-PROBES = 8
+SCALE = 1.5            # of a projected unit vector; at a smaller scale cells hold more of their surroundings
+PROBES = 4
+RECALL = 0.99          # of pairs at exactly the least cosine
+STRANGERS = 4          # unrelated vectors of a cell, at most, on average
+TRIALS = 3000          # random pairs on which the plan of the search is measured
 CLUMP_DEGREES = 9.0    # at most half the angle of the least cosine: members of a clump all link
 CLUMP_SCALE = 1.5      # coarser cells than those of the search
 BLOCK_DEGREES = 28.0   # clumps so near a leader are compared in blocks
@@ -88,23 +95,23 @@ def _rng(*key):
     return np.random.default_rng([SEED, *key])
 
 
-def projected(units, table: int, scale: float):
+def projected(units, table: int, block: int, scale: float):
     """Rows of ``units`` on 8 random orthonormal axes, ``scale`` long on average (shorter rows are padded)."""
     import numpy as np
     if units.shape[1] < 8:
         units = np.pad(units, ((0, 0), (0, 8 - units.shape[1])))
     dim = units.shape[1]
-    axes = np.linalg.qr(_rng(1, dim, table).normal(size=(dim, 8)))[0]
+    axes = np.linalg.qr(_rng(1, dim, table, block).normal(size=(dim, 8)))[0]
     return units @ axes * (scale * math.sqrt(dim / 8))
 
 
-def point_keys(points, table: int, dim: int):
+def point_keys(points, table: int, block: int, dim: int):
     """64-bit keys of lattice points (rows of 8 half-integers)."""
     import numpy as np
     odd = _rng(2).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     twice = np.rint(2 * points).astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
-        h = (twice * odd).sum(axis=-1, dtype=np.uint64) + np.uint64(table * 1_000_003 + dim)
+        h = (twice * odd).sum(axis=-1, dtype=np.uint64) + np.uint64((table * 1_009 + block) * 1_000_003 + dim)
         for _ in range(2):
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -112,18 +119,55 @@ def point_keys(points, table: int, dim: int):
     return h.view(np.int64)
 
 
-def cell_keys(units, table: int, scale: float = SCALE):
-    return point_keys(nearest_point(projected(units, table, scale)), table, units.shape[1])
+def cell_keys(units, table: int, blocks: int = 1, scale: float = SCALE):
+    """Keys of the rows' own cells: the sum of the keys of their blocks' points."""
+    return sum(point_keys(nearest_point(projected(units, table, b, scale)), table, b, units.shape[1]) for b in range(blocks))
 
 
-def probe_keys(units, table: int, scale: float = SCALE, probes: int = PROBES):
-    """Keys of each row's own lattice point, first, and of the ``probes`` neighbouring points nearest to it."""
+def probe_keys(units, table: int, blocks: int = 1, scale: float = SCALE, probes: int = PROBES):
+    """Keys of each row's own cell, first, and of the ``probes`` cells nearest to it that differ in one block."""
+    import numpy as np
+    r, own, gains, steps = roots(), 0, [], []
+    for b in range(blocks):
+        x = projected(units, table, b, scale)
+        c = nearest_point(x)
+        gain = (x - c) @ r.T
+        best = np.argpartition(-gain, probes, axis=1)[:, :probes]
+        here = point_keys(c, table, b, units.shape[1])
+        own = own + here
+        gains.append(np.take_along_axis(gain, best, axis=1))
+        steps.append(point_keys(c[:, None] + r[best], table, b, units.shape[1]) - here[:, None])
+    gain, step = np.concatenate(gains, axis=1), np.concatenate(steps, axis=1)
+    first = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
+    return np.concatenate([own[:, None], own[:, None] + np.take_along_axis(step, first, axis=1)], axis=1)
+
+
+def search_plan(n: int, dim: int, cosine: float = COSINE, scale: float = SCALE, probes: int = PROBES,
+                recall: float = RECALL) -> tuple[int, int]:
+    """(blocks, tables) of a search among ``n`` vectors of ``dim`` components.
+
+    Blocks: the fewest with which ``n`` random vectors share a cell with ``STRANGERS`` others at most; tables: the
+    fewest that find pairs at exactly ``cosine`` with probability ``recall``.  Both chances are measured on random vectors from
+    a fixed seed, so that equal arguments give equal plans."""
     import numpy as np
-    x = projected(units, table, scale)
-    c, r = nearest_point(x), roots()
-    best = np.argpartition(-((x - c) @ r.T), probes, axis=1)[:, :probes]
-    points = np.concatenate([c[:, None], c[:, None] + r[best]], axis=1)
-    return point_keys(points, table, units.shape[1])
+
+    def units(rng):
+        x = rng.normal(size=(TRIALS, dim))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    # more components than this do not change the chances
+    dim = min(max(dim, 2), 64)
+    x, t = units(_rng(4)), units(_rng(5))
+    held = np.unique(cell_keys(x, 0, 1, scale), return_counts=True)[1]
+    same = max(1.0, float((held * (held - 1)).sum())) / (TRIALS * (TRIALS - 1))
+    blocks = 1
+    while n * same ** blocks > STRANGERS and same < 0.5 and blocks < dim / 2:
+        blocks += 1
+    t -= (t * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * t / np.linalg.norm(t, axis=1, keepdims=True)
+    found = np.mean([(probe_keys(x, k, blocks, scale, probes) == cell_keys(y, k, blocks, scale)[:, None]).any(axis=1).mean() for k in range(4)])
+    found = min(max(float(found), 1 / TRIALS), 0.999)
+    return blocks, max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
 
 
 def _by_dimension(column):
@@ -164,7 +208,7 @@ def unit_vectors(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     return rows.where(F.col("unit").isNotNull()), rows.where(F.col("unit").isNull()).select("rid", "vec_id")
 
 
-def _clump_round(clumps: DataFrame, table: int, scratch: Scratch, degrees: float = CLUMP_DEGREES) -> DataFrame:
+def _clump_round(clumps: DataFrame, table: int, scratch: Scratch, blocks: int, degrees: float = CLUMP_DEGREES) -> DataFrame:
     """(rid, leader, angle): for each of (rid, unit, radius) the leader within ``degrees`` whose clump it joins, itself if none."""
     def keyed(batches):
         import numpy as np
@@ -172,7 +216,7 @@ def _clump_round(clumps: DataFrame, table: int, scratch: Scratch, degrees: float
         for batch in batches:
             keys = np.zeros(batch.num_rows, np.int64)
             for rows, units in _by_dimension(batch.column(1)):
-                keys[rows] = cell_keys(units, table, CLUMP_SCALE)
+                keys[rows] = cell_keys(units, table, blocks, CLUMP_SCALE)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=["rid", "unit", "radius", "cell"])
 
     cells = scratch.table(clumps.select("rid", "unit", "radius").mapInArrow(keyed, "rid long, unit array<double>, radius double, cell long"))
@@ -218,12 +262,12 @@ def _clump_round(clumps: DataFrame, table: int, scratch: Scratch, degrees: float
     return out
 
 
-def clump(good: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def clump(good: DataFrame, scratch: Scratch, blocks: int) -> tuple[DataFrame, DataFrame]:
     """(rid, clump) of every vector, and (rid, unit, radius, n, least) of the clumps by their leader's rid."""
     member = good.select("rid", F.col("rid").alias("clump"))
     clumps = good.select("rid", "unit", F.lit(0.0).alias("radius"), F.lit(1).cast("long").alias("n"), F.col("vec_id").alias("least"))
     for table in (0, 1):
-        led = _clump_round(clumps, table, scratch)
+        led = _clump_round(clumps, table, scratch, blocks)
         size = (clumps.select("rid", "radius", "n", "least").join(led, "rid").groupBy("leader")
                       .agg(F.max(F.col("angle") + F.col("radius")).alias("radius"), F.sum("n").alias("n"), F.min("least").alias("least")))
         clumps = scratch.table(clumps.select("rid", "unit").join(size, F.col("rid") == F.col("leader"))
@@ -232,10 +276,10 @@ def clump(good: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return member, clumps
 
 
-def _blocks(clumps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _blocks(clumps: DataFrame, scratch: Scratch, blocks: int) -> tuple[DataFrame, DataFrame]:
     """(rid, block, solo) of every clump, and (block, unit, radius, solo) of the blocks around their leaders; a solo
     block is a single clump and has its rid."""
-    led = _clump_round(clumps.select("rid", "unit", "radius"), 0, scratch, BLOCK_DEGREES)
+    led = _clump_round(clumps.select("rid", "unit", "radius"), 0, scratch, blocks, BLOCK_DEGREES)
     size = led.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
     dealt = led.join(size, "leader").withColumn("share", F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / BLOCK).cast("long")))
     dealt = scratch.table(dealt.join(clumps.select("rid", "radius"), "rid"))
@@ -251,8 +295,8 @@ def _blocks(clumps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return scratch.table(of.select("rid", "block", "solo")), scratch.table(centre)
 
 
-def near_blocks(member: DataFrame, centres: DataFrame, scratch: Scratch, cosine: float, scale: float, tables: int,
-                probes: int) -> DataFrame:
+def near_blocks(member: DataFrame, centres: DataFrame, scratch: Scratch, cosine: float, scale: float, blocks: int,
+                tables: int, probes: int) -> DataFrame:
     """(a, b, ra, rb, dot, solo): pairs of blocks, a < b, of which members meet in a table and may link.
 
     ``member``: (block, unit, lone).  Every member is filed and asks, but under its block: members of one block in one cell
@@ -265,7 +309,7 @@ def near_blocks(member: DataFrame, centres: DataFrame, scratch: Scratch, cosine:
             keys, signs = np.zeros((n, tables, probes + 1), np.int64), np.zeros((n, 2), np.int64)
             for rows, units in _by_dimension(batch.column(1)):
                 for t in range(tables):
-                    keys[rows, t] = probe_keys(units, t + 2, scale, probes)
+                    keys[rows, t] = probe_keys(units, t + 2, blocks, scale, probes)
                 bits = np.packbits(units @ _rng(3, units.shape[1]).normal(size=(units.shape[1], 128)) >= 0, axis=1)
                 signs[rows] = np.ascontiguousarray(bits).view(np.int64)
             lone = batch.column(2).to_numpy(zero_copy_only=False)
@@ -366,19 +410,23 @@ def compared_blocks(pairs: DataFrame, clumps: DataFrame, cosine: float, scratch:
     return scratch.table(left.cogroup(right).applyInArrow(_compare_blocks(cosine), COMPARED))
 
 
-def vector_links(vectors: DataFrame, cosine: float = COSINE, scale: float = SCALE, tables: int = TABLES,
+def vector_links(vectors: DataFrame, cosine: float = COSINE, scale: float = SCALE, recall: float = RECALL,
                  probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of (vec_id, embedding)."""
     if 2 * CLUMP_DEGREES >= math.degrees(math.acos(cosine)):
         raise ValueError("CLUMP_DEGREES must be less than half the angle of the least cosine")
     scratch = Scratch(vectors.sparkSession, "lattice")
     good, bad = unit_vectors(vectors, scratch)
-    member, clumps = clump(good, scratch)
-    of, centres = _blocks(clumps, scratch)
+    size = good.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("unit")).alias("dim")).first()
+    blocks, tables = search_plan(size["n"], size["dim"] or 64, cosine, scale, probes, recall)
+    # a clump's surroundings are wider than a link's
+    coarse = max(1, blocks - 1)
+    member, clumps = clump(good, scratch, coarse)
+    of, centres = _blocks(clumps, scratch, coarse)
     in_block = scratch.table(clumps.join(of, "rid"))
     sized = in_block.select(F.col("rid").alias("clump"), "block", ((F.col("n") == 1) & F.col("solo")).alias("lone"))
     placed = scratch.table(good.select("rid", "unit").join(member, "rid").join(sized, "clump"))
-    near = near_blocks(placed, centres, scratch, cosine, scale, tables, probes)
+    near = near_blocks(placed, centres, scratch, cosine, scale, blocks, tables, probes)
     widest, eps = math.acos(cosine), 1e-9
     angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("dot"))))
     single = (F.col("ra") == 0) & (F.col("rb") == 0)

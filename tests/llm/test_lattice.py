@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from brokerlens.llm import lattice
 from brokerlens.llm.common import documents
-from brokerlens.llm.lattice import nearest_point, q_op10, roots, vector_links
+from brokerlens.llm.lattice import cell_keys, nearest_point, probe_keys, q_op10, roots, search_plan, vector_links
 
 VEC = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())),
                     T.StructField("rid", T.StringType()), T.StructField("clump", T.StringType())])
@@ -65,7 +65,39 @@ def test_links_match_brute_force(spark):
         assert (got[v].n_links, got[v].component_id, got[v].kept) == (len(links[i]), comp[i], comp[i] == v)
 
 
-def test_recall_at_the_threshold(spark):
+@pytest.mark.parametrize("dim", [8, 16, 64, 200])
+@pytest.mark.parametrize("n", [300, 10 ** 4, 10 ** 6, 10 ** 10])
+def test_plan_keeps_the_recall_at_every_size(dim, n):
+    """Pairs at the least cosine meet in one of the plan's tables, however many blocks a cell has."""
+    blocks, tables = search_plan(n, dim)
+    r = np.random.default_rng(2)
+    x = r.normal(size=(800, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.array([cone(r, v, 0.95) for v in x])
+    met = np.zeros(len(x), bool)
+    for t in range(2, 2 + tables):
+        met |= (probe_keys(x, t, blocks) == cell_keys(y, t, blocks)[:, None]).any(axis=1)
+    assert met.mean() >= 0.97
+
+
+def test_cells_of_strangers_do_not_grow():
+    """Random vectors in one cell, per vector: the same few with ten times as many vectors."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (2_000, 20_000, 200_000):
+        blocks, _ = search_plan(n, 64)
+        size = np.unique(cell_keys(x[:n], 2, blocks), return_counts=True)[1].astype(float)
+        assert (size * (size - 1)).sum() / n <= 2 * lattice.STRANGERS
+    plans = [search_plan(10 ** k, 64) for k in range(2, 13)]
+    assert plans == sorted(plans) and plans[0][0] == 1 and plans[-1][0] <= 5
+    assert search_plan(0, 64) == (plans[0][0], plans[0][1]) and search_plan(10 ** 9, 1)[0] == 1
+
+
+@pytest.mark.parametrize("strangers", [4, 1e-3, 1e-6])
+def test_recall_at_the_threshold(spark, monkeypatch, strangers):
+    """With one block and with the blocks of much larger tables."""
+    monkeypatch.setattr(lattice, "STRANGERS", strangers)
     r = np.random.default_rng(7)
     base = r.normal(size=(600, 64))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
@@ -77,8 +109,10 @@ def test_recall_at_the_threshold(spark):
     assert 0.95 * want <= sum(got.values()) <= want
 
 
-def test_clumps_count_every_link(spark):
+@pytest.mark.parametrize("strangers", [4, 1e-4])
+def test_clumps_count_every_link(spark, monkeypatch, strangers):
     """Groups of near copies and a wide group whose members link in part."""
+    monkeypatch.setattr(lattice, "STRANGERS", strangers)
     r = np.random.default_rng(3)
     rows = []
     for g, (n, least) in enumerate([(120, 0.9999), (60, 0.999), (80, 0.985)]):
