@@ -29,6 +29,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+PART_ROWS = 500_000     # at most, of a partition that MLlib passes over
+
 TREE_MODELS = {"tree_simple", "tree_deep", "rf_50", "rf_100", "rf_200"}
 MODEL_NAMES = ["logistic", "tree_simple", "tree_deep", "knn_3", "knn_5", "knn_10", "rf_50", "rf_100", "rf_200",
                "mlp", "naive_bayes", "svm"]
@@ -93,6 +95,12 @@ def _prep(train, test, features, label, scale):
     return tr, te
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the cores: a narrow table is small on disk, so that few tasks would read it."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
+    return df.repartition(parts)
+
+
 def _scored(pred: DataFrame, keys) -> DataFrame:
     return pred.select(*keys, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
                        F.coalesce(F.get(vector_to_array("probability"), 1), F.lit(0.0)).alias("probability"))
@@ -113,7 +121,7 @@ class Fitted:
         if self.name.startswith("mlp"):
             d = df.select(*keys, F.col(self.label).cast("int").alias("label"), self.scaler.alias("vec")).withColumn("probability", self.model.probability(F.col("vec")))
             return d.select(*keys, "label", (F.col("probability") > F.lit(0.5)).cast("int").alias("prediction"), "probability")
-        d = df.withColumn("label", F.col(self.label).cast("double"))
+        d = spread(df.select(*keys, *self.features, F.col(self.label).cast("double").alias("label")))
         d, _ = assemble(d, self.features, self.name not in TREE_MODELS, self.scaler)
         if self.name == "svm":
             svc, platt = self.model
@@ -133,7 +141,7 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos"
         vec = fitted_vector(train, features)
         model = train_perceptron(train, vec, label, len(features), seed=seed, **{"hidden": mlp_layers(name), **options})
         return Fitted(name, features, label, model, vec, seconds=time.perf_counter() - t0)
-    tr = train.withColumn("label", F.col(label).cast("double"))
+    tr = spread(train.select(*features, F.col(label).cast("double").alias("label")))
     tr, scaler = assemble(tr, features, name not in TREE_MODELS)
     if name == "svm":
         if tr.select("label").distinct().limit(2).count() < 2:

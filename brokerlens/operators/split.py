@@ -67,11 +67,16 @@ def with_class_rank(df: DataFrame, label: str, seed: int, keys=KEY) -> DataFrame
              .select(*every, (F.col("_before") + F.col("_nth")).alias("_rank"), "_size"))
 
 
+def with_part(df: DataFrame, label: str = "is_ddos", test_size: float = 0.2, seed: int = 42, keys=KEY, name: str = "in_test") -> DataFrame:
+    """Add whether the row is in the test part, which has ``test_size`` of each class, rounded."""
+    in_test = F.col("_rank") < F.round(F.col("_size") * F.lit(test_size))
+    return with_class_rank(df, label, seed, keys).select(*[F.col(f"`{c}`") for c in df.columns], in_test.alias(name))
+
+
 def stratified_split(df: DataFrame, label: str = "is_ddos", test_size: float = 0.2, seed: int = 42, keys=KEY):
     """(train, test) with ``test_size`` of each class, rounded, in the test part."""
-    ranked = with_class_rank(df, label, seed, keys)
-    in_test = F.col("_rank") < F.round(F.col("_size") * F.lit(test_size))
-    return ranked.where(~in_test).select(*df.columns), ranked.where(in_test).select(*df.columns)
+    ranked = with_part(df, label, test_size, seed, keys, "_in_test")
+    return ranked.where("NOT _in_test").drop("_in_test"), ranked.where("_in_test").drop("_in_test")
 
 
 def with_folds(df: DataFrame, k: int = 3, seed: int = 42, keys=KEY, name: str = "fold", label: str | None = None) -> DataFrame:

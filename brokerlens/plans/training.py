@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brokerlens.operators.cleaning import MODEL_FEATURES, fit_medians, impute_median, replace_infinite
-from brokerlens.operators.split import stratified_split
+from brokerlens.operators.basic import materialize
+from brokerlens.operators.split import with_part
 
 CUTOFF = "2024-01-25 00:00:00"      # of the fixture's messages, for the queries that are checked by SQL
 TEST_SIZE = 0.2
@@ -41,8 +42,14 @@ def clean_parts(train: DataFrame, test: DataFrame, features: list[str]):
 
 def prepared_parts(labelled: DataFrame, features=MODEL_FEATURES, cutoff: str | None = None, test_size: float = TEST_SIZE, seed: int = 42):
     """(train, test, features), cleaned: a stratified random hold-out of ``test_size``, or with ``cutoff`` the
-    messages from that time on."""
+    messages from that time on.
+
+    The parts of the random hold-out are written down, first labelled and ranked, then cleaned: medians, fits and
+    scores pass over them many times, and each pass would label and rank all messages anew."""
     mf = model_frame(labelled, features)
     feats = [c for c in features if c in mf.columns]
-    tr, te = time_split(mf, cutoff) if cutoff is not None else stratified_split(mf, "is_ddos", test_size, seed)
-    return clean_parts(tr, te, feats) + (feats,)
+    if cutoff is not None:
+        return clean_parts(*time_split(mf, cutoff), feats) + (feats,)
+    both = materialize(with_part(materialize(mf), "is_ddos", test_size, seed))
+    tr, te = clean_parts(*(both.where(c).drop("in_test") for c in ("NOT in_test", "in_test")), feats)
+    return materialize(tr), materialize(te), feats
