@@ -9,7 +9,9 @@ Fixed configurations of the reference, mapped to MLlib:
   logistic     max 1000 iterations
 The perceptron (``perceptron``) has relu layers, Adam, a 10 % validation share and
 early stop, as the reference's; ``estimator("mlp")`` is MLlib's, which has none of them.
-Differences: MLlib trees bin continuous features and have no
+The forests (``forest``) are MLlib's in all choices (bins, Gini, square root of the features, Poisson samples,
+pruning), but over equal rows added up; ``estimator("rf_50")`` is MLlib's own.
+Differences: trees bin continuous features and have no
 min-samples-split; the RBF SVM is approximated by random Fourier features
 (Rahimi & Recht, 2007) + LinearSVC with a logistic (Platt) calibration.
 Trees use raw features, the other models standardised ones.
@@ -17,6 +19,7 @@ Trees use raw features, the other models standardised ones.
 
 from __future__ import annotations
 
+import math
 import time
 
 import numpy as np
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 
 PART_ROWS = 500_000     # at most, of a partition that MLlib passes over
 
-TREE_MODELS = {"tree_simple", "tree_deep", "rf_50", "rf_100", "rf_200"}
+FORESTS = {"rf_50": (50, 15), "rf_100": (100, 20), "rf_200": (200, 25)}      # trees, depth
+TREE_MODELS = {"tree_simple", "tree_deep", *FORESTS}
 MODEL_NAMES = ["logistic", "tree_simple", "tree_deep", "knn_3", "knn_5", "knn_10", "rf_50", "rf_100", "rf_200",
                "mlp", "naive_bayes", "svm"]
 
@@ -58,8 +62,8 @@ def estimator(name: str, n_features: int, seed: int = 42, hidden=(100,), max_ite
         return DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=10, seed=seed, labelCol="label")
     if name == "tree_deep":
         return DecisionTreeClassifier(maxDepth=20, minInstancesPerNode=5, seed=seed, labelCol="label")
-    if name in ("rf_50", "rf_100", "rf_200"):
-        trees, depth = {"rf_50": (50, 15), "rf_100": (100, 20), "rf_200": (200, 25)}[name]
+    if name in FORESTS:
+        trees, depth = FORESTS[name]
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=5, seed=seed,
                                       labelCol="label")
     if name == "mlp":
@@ -122,6 +126,10 @@ class Fitted:
             d = df.select(*keys, F.col(self.label).cast("int").alias("label"), self.scaler.alias("vec")).withColumn("probability", self.model.probability(F.col("vec")))
             return d.select(*keys, "label", (F.col("probability") > F.lit(0.5)).cast("int").alias("prediction"), "probability")
         d = spread(df.select(*keys, *self.features, F.col(self.label).cast("double").alias("label")))
+        if self.name in FORESTS:
+            x = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(math.nan)) for c in self.features])
+            d = d.select(*keys, F.col("label").cast("int").alias("label"), self.model.probability(x).alias("probability"))
+            return d.select(*keys, "label", (F.col("probability") > F.lit(0.5)).cast("int").alias("prediction"), "probability")
         d, _ = assemble(d, self.features, self.name not in TREE_MODELS, self.scaler)
         if self.name == "svm":
             svc, platt = self.model
@@ -141,6 +149,10 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos"
         vec = fitted_vector(train, features)
         model = train_perceptron(train, vec, label, len(features), seed=seed, **{"hidden": mlp_layers(name), **options})
         return Fitted(name, features, label, model, vec, seconds=time.perf_counter() - t0)
+    if name in FORESTS:
+        from brokerlens.operators.forest import train_forest
+        model = train_forest(train, features, label, *FORESTS[name], seed=seed, **options)
+        return Fitted(name, features, label, model, seconds=time.perf_counter() - t0)
     tr = spread(train.select(*features, F.col(label).cast("double").alias("label")))
     tr, scaler = assemble(tr, features, name not in TREE_MODELS)
     if name == "svm":
@@ -251,15 +263,14 @@ def tree_importance(spark: SparkSession, model, features: list[str], top: int =
 
 
 def forest_importance_std(spark: SparkSession, model, features: list[str], top: int = 20) -> DataFrame:
-    per_tree = np.array([t.featureImportances.toArray() for t in model.trees])
-    mean, std = model.featureImportances.toArray(), per_tree.std(axis=0)
+    mean, per_tree = model.importances()
+    std = per_tree.std(axis=0)
     rows = sorted(((f, float(mean[i]), float(std[i])) for i, f in enumerate(features)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows[:top], "feature string, importance double, std double")
 
 
 def forest_details(spark: SparkSession, model, name: str) -> DataFrame:
-    return spark.createDataFrame([(name, model.getNumTrees, model.getOrDefault("maxDepth"), model.numFeatures,
-                                   model.numClasses, model.totalNumNodes)],
+    return spark.createDataFrame([(name, len(model.trees), model.depth, len(model.cuts), model.classes, model.nodes)],
                                  "model string, n_trees int, max_depth int, n_features int, n_classes int, total_nodes int")
 
 
