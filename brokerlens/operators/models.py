@@ -153,19 +153,23 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "is_ddos"
         from brokerlens.operators.forest import train_forest
         model = train_forest(train, features, label, *FORESTS[name], seed=seed, **options)
         return Fitted(name, features, label, model, seconds=time.perf_counter() - t0)
-    tr = spread(train.select(*features, F.col(label).cast("double").alias("label")))
-    tr, scaler = assemble(tr, features, name not in TREE_MODELS)
+    rows = train.select(*features, F.col(label).cast("double").alias("label"))
     if name == "svm":
+        from brokerlens.operators.basic import materialize
+        _, scaler = assemble(rows, features, True)
+        equal = materialize(rows.groupBy(*[F.col(f"`{c}`") for c in features], "label").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+        tr, _ = assemble(spread(equal), features, True, scaler)
         if tr.select("label").distinct().limit(2).count() < 2:
             raise OneClassError("svm needs both classes in the training part")
         rff = _rff(len(features), seed)
         trz = rff(tr).persist()
-        svc = LinearSVC(maxIter=100, regParam=0.0, labelCol="label", rawPredictionCol="margin_vec").fit(trz)
+        svc = LinearSVC(maxIter=100, regParam=0.0, labelCol="label", weightCol="weight", rawPredictionCol="margin_vec").fit(trz)
         platt_in = svc.transform(trz).drop("prediction").withColumn(
             "mvec", array_to_vector(F.array(vector_to_array("margin_vec")[1])))
-        platt = LogisticRegression(labelCol="label", featuresCol="mvec").fit(platt_in)
+        platt = LogisticRegression(labelCol="label", weightCol="weight", featuresCol="mvec").fit(platt_in)
         trz.unpersist()
         return Fitted(name, features, label, (svc, platt), scaler, rff=rff, seconds=time.perf_counter() - t0)
+    tr, scaler = assemble(spread(rows), features, name not in TREE_MODELS)
     model = estimator(name, len(features), seed, **options).fit(tr)
     return Fitted(name, features, label, model, scaler, seconds=time.perf_counter() - t0)
 
